@@ -1,0 +1,5 @@
+"""No streaming operator is provided: the capabilities rebuilt here are batch only.
+
+Every column function in :mod:`panelweave.functions` is stateless and therefore
+also valid on a streaming DataFrame.
+"""
