@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +22,11 @@ STOPWORDS: dict[str, tuple[str, ...]] = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it any number of times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def paragraphs(text: Column, min_words: int, separator: str = r"\n{2,}") -> Column:
     """Array of paragraphs: outer newlines trimmed, split on the separator, inner newlines
     removed unless a non-ASCII character follows, spaces trimmed, short ones dropped."""
@@ -34,11 +39,14 @@ def paragraphs(text: Column, min_words: int, separator: str = r"\n{2,}") -> Colu
 def overlapping_windows(text: Column, words: int, overlap: float) -> Column:
     """Array of word windows of the given size; a short text is one window."""
     step = int(words * (1 - overlap))
-    tokens = F.split(text, " ", -1)
-    extra = F.greatest(F.ceil((F.size(tokens) - words) / F.lit(float(step))), F.lit(0)).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), extra),
-        lambda i: F.btrim(F.array_join(F.slice(tokens, i * step + 1, F.lit(words)), " "), F.lit(" ")))
+
+    def windows(tokens: Column) -> Column:
+        extra = F.greatest(F.ceil((F.size(tokens) - words) / F.lit(float(step))), F.lit(0)).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), extra),
+            lambda i: F.btrim(F.array_join(F.slice(tokens, i * step + 1, F.lit(words)), " "), F.lit(" ")))
+
+    return let(F.split(text, " ", -1), windows)
 
 
 def strip_direction_marks(text: Column) -> Column:
@@ -57,20 +65,21 @@ def after_last_marker(text: Column, marker: str) -> Column:
     return F.when(F.size(pieces) > 1, F.btrim(F.element_at(pieces, -1), F.lit(" \n")))
 
 
-def language_scores(text: Column, profiles: Mapping[str, Sequence[str]] = STOPWORDS) -> dict[str, Column]:
-    tokens = F.split(F.lower(text), r"[^\p{L}]+", -1)
-    return {lang: F.size(F.filter(tokens, lambda t, w=tuple(words): t.isin(*w)))
-            for lang, words in profiles.items()}
+def _hits(tokens: Column, words: Sequence[str]) -> Column:
+    return F.size(F.filter(tokens, lambda t: t.isin(*words)))
 
 
 def detect_language(text: Column, profiles: Mapping[str, Sequence[str]] = STOPWORDS) -> Column:
-    """Language with most stopwords, the earlier profile on ties, null when none occurs."""
-    scores = language_scores(text, profiles)
-    best = F.greatest(*scores.values())
-    out = F.lit(None).cast("string")
-    for lang in reversed(list(scores)):
-        out = F.when((scores[lang] == best) & (best > 0), F.lit(lang)).otherwise(out)
-    return out
+    """Language with most stopwords, the earlier profile on ties, null when none occurs. The
+    text is split once and its stopwords are counted once per profile."""
+    names = F.array(*[F.lit(lang) for lang in profiles])
+    tokens = F.split(F.lower(text), r"[^\p{L}]+", -1)
+
+    def winner(scores: Column) -> Column:
+        best = F.array_max(scores)
+        return F.when(best > 0, F.element_at(names, F.array_position(scores, best).cast("int")))
+
+    return let(let(tokens, lambda ts: F.array(*[_hits(ts, words) for words in profiles.values()])), winner)
 
 
 def pad_ids(ids: Column, length: int, pad: int = 0) -> Column:
@@ -80,7 +89,17 @@ def pad_ids(ids: Column, length: int, pad: int = 0) -> Column:
 
 def attention_mask(ids: Column, length: int) -> Column:
     used = F.least(F.size(ids), F.lit(length))
-    return F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: (i <= used).cast("int"))
+    return F.concat(F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), F.lit(length) - used))
+
+
+def _only(ids: Column, first: Column, last: Column) -> Column:
+    """Ids at the 0-based positions first to last, the ignore label elsewhere. Built from three
+    pieces, so a row costs its length once."""
+    size = F.size(ids)
+    lo = F.greatest(F.least(first, size), F.lit(0)).cast("int")
+    hi = F.greatest(F.least(last + 1, size), lo).cast("int")
+    blank = F.lit(IGNORE).cast("bigint")
+    return F.concat(F.array_repeat(blank, lo), F.slice(ids, lo + 1, hi - lo), F.array_repeat(blank, size - hi))
 
 
 def labels_until_eos(ids: Column, bos: int, eos: int) -> Column:
@@ -89,8 +108,8 @@ def labels_until_eos(ids: Column, bos: int, eos: int) -> Column:
     start = F.array_position(ids, bos)
     tail = F.when(start > 0, F.slice(ids, start.cast("int"), F.size(ids)))
     offset = F.array_position(tail, eos)
-    last = F.when(offset > 0, start + offset - 2).otherwise(F.size(ids))
-    return F.transform(ids, lambda x, i: F.when(i <= F.coalesce(last, F.size(ids)), x).otherwise(IGNORE))
+    last = F.coalesce(F.when(offset > 0, start + offset - 2), F.size(ids).cast("bigint"))
+    return _only(ids, F.lit(0), last)
 
 
 def labels_answer_span(ids: Column, text: Column, answer: Column) -> Column:
@@ -102,9 +121,10 @@ def labels_answer_span(ids: Column, text: Column, answer: Column) -> Column:
     def token_at(char: Column) -> Column:
         return F.size(F.split(F.substring(text, F.lit(1), char), " ", -1)) - 1
 
-    first, last = token_at(start_char), token_at(end_char) + 1
-    return F.transform(ids, lambda x, i: F.when(
-        (start_char > 0) & (i >= first) & (i <= last), x).otherwise(IGNORE))
+    absent = start_char == 0
+    first = F.when(absent, F.size(ids)).otherwise(token_at(start_char))
+    last = F.when(absent, F.size(ids)).otherwise(token_at(end_char) + 1)
+    return _only(ids, first, last)
 
 
 def fill(template: Column, **values: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.operators.scale import attach_stats, global_index, null_safe_join, ordered_rank
+from panelweave.session import durable
 
 
 def dup_flag(df: DataFrame, keys: Sequence[str], name: str = "is_dup") -> DataFrame:
@@ -16,14 +17,18 @@ def dup_flag(df: DataFrame, keys: Sequence[str], name: str = "is_dup") -> DataFr
     return out.withColumn(name, (F.col("__n") > 1).cast("int")).drop("__n")
 
 
-def dup_due_to(df: DataFrame, keys: Sequence[str], extra: str, name: str = "is_dup_age") -> DataFrame:
-    """1 when rows repeat on the keys but not once the extra column joins them. Counts per
-    (keys, extra) feed the counts per keys, so the rows are joined only once."""
+def _dup_levels(df: DataFrame, keys: Sequence[str], extra: str, name: str) -> DataFrame:
+    """One row per (keys, extra) with the flag. Rows collapse before the window, which then spans
+    the distinct values of ``extra`` of one key only."""
     fine = df.groupBy(*keys, extra).agg(F.count(F.lit(1)).alias("__nf"))
-    coarse = fine.groupBy(*keys).agg(F.sum("__nf").alias("__nc"))
-    both = null_safe_join(fine, coarse, keys)
-    flagged = both.select(*keys, extra, ((F.col("__nc") > 1) & (F.col("__nf") == 1)).cast("int").alias(name))
-    return null_safe_join(df, flagged, [*keys, extra])
+    coarse = F.sum("__nf").over(Window.partitionBy(*keys))
+    return fine.withColumn("__nc", coarse).select(
+        *keys, extra, ((F.col("__nc") > 1) & (F.col("__nf") == 1)).cast("int").alias(name))
+
+
+def dup_due_to(df: DataFrame, keys: Sequence[str], extra: str, name: str = "is_dup_age") -> DataFrame:
+    """1 when rows repeat on the keys but not once the extra column joins them."""
+    return null_safe_join(df, _dup_levels(df, keys, extra, name), [*keys, extra])
 
 
 def number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "n") -> DataFrame:
@@ -59,17 +64,19 @@ def band_rank(age: Column, order: Sequence[str]) -> Column:
 def broadest_age(df: DataFrame, series: Sequence[str], keys: Sequence[str], age: str,
                  order: Sequence[str], overrides: Column | None = None,
                  name: str = "large_agegroup") -> DataFrame:
-    """Among rows repeated only through age, 1 on the broadest band the series has. ``keys`` are
-    the columns repeated rows share; ``overrides`` is a rank that replaces the band order where
-    it is not null (smaller is better)."""
-    flagged = dup_due_to(df, keys, age, "is_dup_age")
+    """Among rows repeated only through age, 1 on the broadest band the series has. ``keys`` hold
+    the series and are what repeated rows share; ``overrides`` is a rank over keys and age that
+    replaces the band order where it is not null (smaller is better). Everything is decided on
+    the collapsed (keys, age) level, and the rows are joined once."""
+    levels = _dup_levels(df, keys, age, "is_dup_age")
     rank = band_rank(F.col(age), order)
     if overrides is not None:
         rank = F.coalesce(overrides, rank)
-    ranked = flagged.withColumn("__r", F.when(F.col("is_dup_age") == 1, rank))
-    best = attach_stats(ranked, series, [F.min("__r").alias("__best")])
-    return best.withColumn(name, F.coalesce((F.col("__r") == F.col("__best")).cast("int"), F.lit(0))).drop(
-        "__r", "__best")
+    ranked = levels.withColumn("__r", F.when(F.col("is_dup_age") == 1, rank))
+    best = ranked.groupBy(*series).agg(F.min("__r").alias("__best"))
+    chosen = null_safe_join(ranked, best, series).withColumn(
+        name, F.coalesce((F.col("__r") == F.col("__best")).cast("int"), F.lit(0))).drop("__r", "__best")
+    return null_safe_join(df, chosen, [*keys, age])
 
 
 def dedup_series(df: DataFrame, age_order: Sequence[str], vintage_rank: Column, series: str = "series",
@@ -78,24 +85,35 @@ def dedup_series(df: DataFrame, age_order: Sequence[str], vintage_rank: Column,
                  strict: bool = False) -> DataFrame:
     """The exclusion cascade: narrower age bands, repeated rows outside the longest sub-series,
     repeated comparators, repeated rows of older vintages. With ``strict`` a repetition left on
-    (series, group, period) raises."""
+    (series, group, period) raises.
+
+    Each rule reads what the one before left, so the two intermediate results are written to the
+    checkpoint folder; without that every rule would recompute all earlier ones.
+    """
+    key, parent = [series, group, period], [series, age]
     aged = broadest_age(df, [series], [series, subgroup, group, period], age, age_order)
-    kept = aged.where((F.col("is_dup_age") == 0) | (F.col("large_agegroup") == 1))
-
-    key = [series, group, period]
-    not_national = F.col(subgroup) != national
-    step = dup_flag(kept, key, "is_dup")
-    step = step.withColumn("__any_dup", F.col("is_dup")).withColumn(
-        "is_dup", F.when(not_national, F.col("is_dup")).otherwise(0))
-    step = longest_series(step, [series, age, subgroup, group], [series, age])
-    step = latest_vintage(step, [series, age], vintage_rank)
-    step = step.where(~((F.col("is_longest") == 0) & (F.col("is_dup") == 1)))
+    kept = durable(aged.where((F.col("is_dup_age") == 0) | (F.col("large_agegroup") == 1)).select(*df.columns))
+
+    ranked = kept.withColumn("__v", vintage_rank)
+    repeats = kept.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = kept.groupBy(*parent, subgroup, group).agg(F.count(F.lit(1)).alias("__len"))
+    best = ranked.groupBy(*parent).agg(F.min("__v").alias("__best"))
+    most = sizes.groupBy(*parent).agg(F.max("__len").alias("__most"))
+    step = null_safe_join(ranked, repeats, key)
+    step = null_safe_join(step, sizes, [*parent, subgroup, group])
+    step = null_safe_join(null_safe_join(step, best, parent), most, parent)
+    repeated = F.col("__n") > 1
+    scoped = repeated & F.coalesce(F.col(subgroup) != national, F.lit(True))
+    longest = F.col("__len") == F.col("__most")
+    latest = F.coalesce(F.col("__v") == F.col("__best"), F.lit(False))
+    drop = ~longest & scoped
     if comparator is not None:
-        step = step.where(~(F.coalesce(comparator, F.lit(False)) & (F.col("__any_dup") == 1)))
-    step = dup_flag(step.drop("is_dup", "__any_dup"), key, "is_dup")
-    step = step.withColumn("is_dup", F.when(not_national, F.col("is_dup")).otherwise(0))
-    out = step.where(~((F.col("is_latest") == 0) & (F.col("is_longest") == 1) & (F.col("is_dup") == 1)))
-    out = out.drop("is_dup", "is_longest", "is_latest", "is_dup_age", "large_agegroup")
+        drop = drop | (F.coalesce(comparator, F.lit(False)) & repeated)
+    step = durable(step.where(~drop).select(*df.columns, longest.alias("__longest"), latest.alias("__latest")))
+
+    left = attach_stats(step, key, [F.count(F.lit(1)).alias("__n")])
+    scoped = (F.col("__n") > 1) & F.coalesce(F.col(subgroup) != national, F.lit(True))
+    out = left.where(~(~F.col("__latest") & F.col("__longest") & scoped)).select(*df.columns)
     if strict:
         checked = attach_stats(out, key, [F.count(F.lit(1)).alias("__n")])
         out = checked.withColumn(series, F.when(F.col("__n") > 1, F.raise_error(

@@ -28,37 +28,43 @@ def read_csv(spark: SparkSession, path: str, schema: str, columns: Sequence[str]
     return df.select(*columns) if columns else df
 
 
-def read_pairs(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def read_pairs(spark: SparkSession, path: str, kind: str, multi_line: bool = True) -> DataFrame:
     """JSON objects of parallel arrays to one row per index; a missing ``related`` is null."""
     one, two = PAIR_COLUMNS[kind]
     schema = f"{one} array<string>, {two} array<string>, related array<string>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    return raw.select(F.explode(F.arrays_zip(one, two, F.coalesce(
-        "related", F.array().cast("array<string>")).alias("related"))).alias("r")).select("r.*")
+    raw = spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    related = F.coalesce("related", F.array().cast("array<string>")).alias("related")
+    return raw.select(F.explode(F.arrays_zip(F.col(one), F.col(two), related)).alias("r")).select("r.*")
 
 
 def read_instruct(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     return spark.read.schema("instruction string, output string").option("multiLine", multi_line).json(path)
 
 
-def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """Every file NNN.txt under a tree, one row per whole file."""
+def read_corpus(spark: SparkSession, folder: str, pattern: str = "[0-9][0-9][0-9].txt") -> DataFrame:
+    """Every matching file under a tree, one row per whole file."""
     return (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "[0-9][0-9][0-9].txt").text(folder)
+            .option("pathGlobFilter", pattern).text(folder)
             .select(F.input_file_name().alias("path"), F.col("value").alias("text")))
 
 
-def read_docs(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored documents with title and author from the index of their search-term folder. The
-    folder number is the term, the file number the position."""
+def read_doc_index(spark: SparkSession, folder: str) -> DataFrame:
+    """term_idx, pos, title, author from the index file of every search-term folder."""
+    return (spark.read.schema("pos int, title string, author string").option("recursiveFileLookup", True)
+            .option("pathGlobFilter", "index.csv").option("escape", '"').csv(folder)
+            .withColumn("term_idx", F.regexp_extract(F.input_file_name(), r"/(\d+)/index\.csv$", 1).cast("int")))
+
+
+def read_docs(spark: SparkSession, folder: str, index: DataFrame | None = None,
+              pattern: str = "[0-9][0-9][0-9].*", term_in_path: str = r"/(\d+)/\d+\.[^/]*$",
+              pos_in_path: str = r"/\d+/(\d+)\.[^/]*$") -> DataFrame:
+    """Stored documents joined to title and author by search term and position, both of which the
+    path tells."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "[0-9][0-9][0-9].*").load(folder).select(
-                 F.regexp_extract("path", r"/(\d+)/\d+\.[^/]*$", 1).cast("int").alias("term_idx"),
-                 F.regexp_extract("path", r"/\d+/(\d+)\.[^/]*$", 1).cast("int").alias("pos"), "content"))
-    index = (spark.read.schema("pos int, title string, author string").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "index.csv").option("escape", '"').csv(folder)
-             .withColumn("term_idx", F.regexp_extract(F.input_file_name(), r"/(\d+)/index\.csv$", 1).cast("int")))
-    return files.join(index, ["term_idx", "pos"])
+             .option("pathGlobFilter", pattern).load(folder).select(
+                 F.regexp_extract("path", term_in_path, 1).cast("int").alias("term_idx"),
+                 F.regexp_extract("path", pos_in_path, 1).cast("int").alias("pos"), "content"))
+    return files.join(read_doc_index(spark, folder) if index is None else index, ["term_idx", "pos"])
 
 
 def read_experiments(spark: SparkSession, results_glob: str, results_schema: str, config: DataFrame,
