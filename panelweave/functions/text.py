@@ -59,10 +59,10 @@ def truncate_tokens(text: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(text, " ", -1), 1, n), " ")
 
 
-def after_last_marker(text: Column, marker: str) -> Column:
-    """Text behind the last marker, trimmed; null where the marker is missing."""
-    pieces = F.split(text, r"\Q" + marker + r"\E", -1)
-    return F.when(F.size(pieces) > 1, F.btrim(F.element_at(pieces, -1), F.lit(" \n")))
+def after_last_marker(text: Column, marker: str, keep_unmarked: bool = False) -> Column:
+    """Text behind the last marker, trimmed. Without a marker null, or the text itself."""
+    last = F.btrim(F.substring_index(text, marker, -1), F.lit(" \n"))
+    return last if keep_unmarked else F.when(F.contains(text, F.lit(marker)), last)
 
 
 def _hits(tokens: Column, words: Sequence[str]) -> Column:

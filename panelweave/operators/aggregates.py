@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.operators.scale import attach_stats, exact_percentiles
+from panelweave.operators.scale import attach_stats, exact_percentiles, with_row
 
 
 def roll_up(df: DataFrame, detail: str, keys: Sequence[str], val: str, label: str) -> DataFrame:
@@ -25,7 +25,7 @@ def count_by(df: DataFrame, col: str) -> DataFrame:
     """Group sizes, largest first, with the grand total on each row."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    return counts.crossJoin(F.broadcast(total)).orderBy(F.desc("n"), col)
+    return with_row(counts, total).orderBy(F.desc("n"), col)
 
 
 def group_max(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -103,10 +103,12 @@ def min_size(df: DataFrame, keys: Sequence[str], n: int = 2) -> DataFrame:
 
 
 def success_rate(panel: DataFrame, series: str, t: str, val: str, categories: Sequence[str]) -> DataFrame:
-    """Share of year-on-year rises per category. A series counts in each of its categories once;
-    the panel is unique on (series, t), so the one-row-back window spans a bounded group."""
-    step = Window.partitionBy(series).orderBy(t)
-    rises = panel.withColumn("__rise", (F.col(val) > F.lag(val).over(step)).cast("int"))
+    """Share of year-on-year rises per category. A series counts in each of its categories once; a
+    missing year is no rise, neither for itself nor for the year after. The panel is unique on
+    (series, t), so the one-row-back window spans a bounded group."""
+    back = Window.partitionBy(series).orderBy(t)
+    follows = F.lag(t).over(back) == F.col(t) - 1
+    rises = panel.withColumn("__rise", (follows & (F.col(val) > F.lag(val).over(back))).cast("int"))
     per_series = rises.groupBy(series).agg(
         F.coalesce(F.sum("__rise"), F.lit(0)).alias("__rises"),
         *[F.first(c, ignorenulls=True).alias(c) for c in categories])
@@ -114,7 +116,7 @@ def success_rate(panel: DataFrame, series: str, t: str, val: str, categories: Se
     long = per_series.select("__rises", F.explode(F.array_distinct(F.array(*categories))).alias("category"))
     counted = long.where(F.col("category").isNotNull()).groupBy("category").agg(
         F.sum("__rises").alias("rises"), F.count(F.lit(1)).alias("series"))
-    return counted.crossJoin(F.broadcast(years)).select(
+    return with_row(counted, years).select(
         "category", (F.col("rises") / (F.col("series") * F.col("__steps"))).alias("success_rate"))
 
 
@@ -124,7 +126,7 @@ def attach_scalar(df: DataFrame, scalars: DataFrame) -> DataFrame:
     checked = first.select(*[
         F.when(F.col("__n") > 1, F.raise_error(F.lit("more than one scalar row")).cast(
             scalars.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in scalars.columns])
-    return df.crossJoin(F.broadcast(checked))  # exactly one row
+    return with_row(df, checked)
 
 
 def trim_edges(edges: DataFrame, weight: str = "weight", lo: float = 0.05, hi: float = 0.95,
@@ -132,7 +134,7 @@ def trim_edges(edges: DataFrame, weight: str = "weight", lo: float = 0.05, hi: f
     """Zero the weights outside the two exact percentiles of the non-zero weights."""
     cuts = exact_percentiles(edges.where(F.col(weight) != 0), weight, [lo, hi], tiebreak)
     inside = (F.col(weight) <= F.col("p1")) & (F.col(weight) >= F.col("p0"))
-    return edges.crossJoin(F.broadcast(cuts)).withColumn(
+    return with_row(edges, cuts).withColumn(
         "trimmed", F.when(inside, F.col(weight)).otherwise(F.lit(0.0))).drop("p0", "p1")
 
 

@@ -5,21 +5,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.answers import LABELS, argmax_label, expected_scale
 from panelweave.functions.numbers import half_up
-from panelweave.operators.scale import null_safe_join
 
 
 def normalise_answers(df: DataFrame, keys: Sequence[str], answer: str, logprob: str) -> DataFrame:
     """Token log-probabilities to answer probabilities that sum to 1 per key; several tokens of an
     answer (spelling variants) add up."""
     per_answer = df.groupBy(*keys, answer).agg(F.sum(F.exp(logprob)).alias("__p"))
-    totals = per_answer.groupBy(*keys).agg(F.sum("__p").alias("__t"))
-    return null_safe_join(per_answer, totals, keys).select(
-        *keys, answer, (F.col("__p") / F.col("__t")).alias("probability"))
+    # one row per candidate answer is left, so the window over a key is small
+    total = F.sum("__p").over(Window.partitionBy(*keys))
+    return per_answer.select(*keys, answer, (F.col("__p") / total).alias("probability"))
 
 
 def relabel(df: DataFrame, option: str, labels: Mapping[str, str], reverse: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions import text as tx
 from panelweave.operators.ranks import keep_first
-from panelweave.operators.scale import global_index
+from panelweave.operators.scale import global_index, hash_text, hash_unit
 
 
 def split_paragraphs(df: DataFrame, text: str, min_words: int, separator: str = r"\n{2,}") -> DataFrame:
@@ -110,7 +110,4 @@ def flatten_chat(df: DataFrame, conv: str, turn: str, role: str, text: str,
 
 def split_docs(df: DataFrame, doc: str, train_share: float, seed: int) -> DataFrame:
     """Mark whole documents as train or test by their hash, without a shuffle."""
-    from panelweave.operators.scale import hash_text
-
-    unit = F.conv(F.substring(hash_text(seed, doc), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return df.withColumn("split", F.when(unit < train_share, "train").otherwise("test"))
+    return df.withColumn("split", F.when(hash_unit(hash_text(seed, doc)) < train_share, "train").otherwise("test"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.operators.scale import running_sums
+from panelweave.operators.scale import attach_stats, global_running_sum, with_row
 
 
 def filter_experiments(config: DataFrame, model_parts: Sequence[str], model: str = "llm_name", **fields) -> DataFrame:
@@ -40,16 +40,19 @@ def prf(df: DataFrame, by: Sequence[str], classes: Sequence[str] = ("Yes",), lab
     return df.groupBy(*by).agg(*aggs).select(*by, *cells)
 
 
-def roc_auc(df: DataFrame, by: Sequence[str], truth: str, score: str, buckets: int = 4096) -> DataFrame:
-    """Area under the curve with ties counted half. Rows collapse to one per distinct score, and
-    the running count of negatives is taken in score buckets, so no experiment is sorted whole."""
+def roc_auc(df: DataFrame, by: Sequence[str], truth: str, score: str) -> DataFrame:
+    """Area under the curve with ties counted half. Rows collapse to one per distinct score; the
+    negatives below a score are a running sum over the range-cut (experiment, score) order, so no
+    experiment has to fit one task."""
     counts = df.groupBy(*by, score).agg(
         F.sum((F.col(truth) == 1).cast("bigint")).alias("__pos"),
         F.sum((F.col(truth) == 0).cast("bigint")).alias("__neg"))
-    bucket = F.floor(F.greatest(F.least(F.col(score), F.lit(1.0)), F.lit(0.0)) * buckets).cast("int")
-    running = running_sums(counts, by, bucket, [score], {"__below": F.col("__neg")})
-    won = F.sum(F.col("__pos") * (F.col("__below") + F.col("__neg") / 2))
-    return running.groupBy(*by).agg(F.try_divide(won, (F.sum("__pos") * F.sum("__neg")).cast("double")).alias("roc_auc"))
+    running = global_running_sum(counts, [*by, score], "__neg", "__before")
+    # negatives of earlier experiments are the same constant on all rows of this one
+    placed = attach_stats(running, by, [F.min("__before").alias("__base")])
+    won = F.sum(F.col("__pos") * (F.col("__before") - F.col("__base") + F.col("__neg") / 2))
+    return placed.groupBy(*by).agg(
+        F.try_divide(won, F.sum("__pos").cast("double") * F.sum("__neg").cast("double")).alias("roc_auc"))
 
 
 def calibration(df: DataFrame, by: Sequence[str], truth: str, score: str) -> DataFrame:
@@ -83,7 +86,7 @@ def exp_table(metrics: DataFrame, config: DataFrame, key: str, fields: Sequence[
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     """Counts in equal-width bins between the extremes; the top value falls in the last bin."""
     ends = df.agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"))
-    placed = df.where(F.col(col).isNotNull()).crossJoin(F.broadcast(ends))
+    placed = with_row(df.where(F.col(col).isNotNull()), ends)
     width = F.col("__hi") - F.col("__lo")
     spot = F.coalesce(F.floor(F.try_divide(F.col(col) - F.col("__lo"), width) * bins), F.lit(0))
     return placed.groupBy(F.least(spot, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.operators.scale import hash_rank, hash_text, rank_within
+from panelweave.operators.scale import hash_rank, hash_text, hash_unit, running_sums, with_row
 
 
 def union_fill(frames: Sequence[DataFrame]) -> DataFrame:
@@ -30,19 +30,19 @@ def interleave(frames: Sequence[DataFrame], weights: Sequence[float], ids: Seque
                   [f.withColumn("source_no", F.lit(i)) for i, f in enumerate(frames)])
     ranked = hash_rank(rows, ["source_no"], seed, ids, "__j")
 
-    unit = F.conv(F.substring(hash_text(seed, "step"), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    pick, edge = F.lit(len(frames) - 1), 1.0
+    unit = hash_unit(hash_text(seed, "step"))
+    pick = F.lit(len(frames) - 1)
     for i in reversed(range(len(frames) - 1)):
         edge = sum(weights[: i + 1])
         pick = F.when(unit < edge, F.lit(i)).otherwise(pick)
     steps = spark.range(total + 1).withColumnRenamed("id", "step").withColumn("source_no", pick)
     bucket = F.expr(f"step DIV {max(block, total // 65536)}")
-    drawn = rank_within(steps, ["source_no"], bucket, ["step"], "__j")
+    drawn = running_sums(steps, ["source_no"], bucket, ["step"], {"__j": F.lit(1).cast("bigint")})
     limits = F.lit(sizes[0])
     for i, size in enumerate(sizes):
         limits = F.when(F.col("source_no") == i, F.lit(size)).otherwise(limits)
     stop = drawn.agg(F.min(F.when(F.col("__j") == limits - 1, F.col("step"))).alias("__stop"))
-    used = drawn.crossJoin(F.broadcast(stop)).where(
+    used = with_row(drawn, stop).where(
         F.col("__stop").isNull() | (F.col("step") <= F.col("__stop"))).drop("__stop")
     return used.join(ranked, ["source_no", "__j"]).drop("__j")
 

@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.text import fill, single_spaced
 from panelweave.operators.ranks import top_n
-from panelweave.operators.scale import attach_stats, hash_bucket, hash_rank, hash_text, running_sums
+from panelweave.operators.scale import (
+    attach_stats,
+    hash_bucket,
+    hash_number,
+    hash_rank,
+    hash_text,
+    running_sums,
+    with_row,
+)
+from panelweave.session import durable
 
 STRIDE = 2_305_843_009_213_693_951  # prime 2^61 - 1: steps through any smaller range without repeats
 
@@ -27,10 +36,11 @@ def negatives(df: DataFrame, item: str, others: Sequence[str], seed: int,
     sizes = df.groupBy(item).agg(F.count(F.lit(1)).alias("__n")).withColumn("__ih", hash_text(seed, item))
     starts = running_sums(sizes, [], hash_bucket(F.col("__ih")), ["__ih", item], {"__s": F.col("__n")})
     total = df.agg(F.count(F.lit(1)).alias("__all"))
-    placed = (ranked.join(starts.drop("__ih"), item).crossJoin(F.broadcast(total))
-              .withColumn("__at", F.col("__s") + F.col("__k")))
+    # read twice below, as the drawing rows and as the rows drawn
+    placed = durable(with_row(ranked.join(starts.drop("__ih"), item), total).withColumn(
+        "__at", F.col("__s") + F.col("__k")))
     room = F.col("__all") - F.col("__n")
-    offset = F.conv(F.substring(hash_text(seed, F.lit("offset"), item), 1, 8), 16, 10).cast("decimal(20,0)")
+    offset = hash_number(hash_text(seed, F.lit("offset"), item)).cast("decimal(20,0)")
     wide = "decimal(19,0)"
     place = (offset + F.col("__k").cast(wide) * (F.lit(STRIDE).cast(wide) % room.cast(wide))) % room.cast(wide)
     draws = placed.where((F.col("__k") < room) & (room > 0)).select(
@@ -46,8 +56,8 @@ def negatives(df: DataFrame, item: str, others: Sequence[str], seed: int,
 def split_stratified(df: DataFrame, strata: Sequence[str], train_share: float, ids: Sequence[str],
                      seed: int) -> DataFrame:
     """Train and test with the same share of every stratum."""
-    ranked = attach_stats(hash_rank(df, strata, seed, ids, "__r"), strata,
-                          [F.count(F.lit(1)).alias("__n")], nulls_match=False)
+    ranked = attach_stats(hash_rank(df, strata, seed, ids, "__r", nulls_match=True), strata,
+                          [F.count(F.lit(1)).alias("__n")], source=df)
     cut = F.floor(F.col("__n") * train_share + 0.5)
     return ranked.withColumn("split", F.when(F.col("__r") < cut, "train").otherwise("test")).drop("__r", "__n")
 
@@ -59,15 +69,15 @@ def sample_n(df: DataFrame, n: int, ids: Sequence[str], seed: int = 42) -> DataF
 
 def sample_balanced(df: DataFrame, label: str, n: int, ids: Sequence[str], seed: int = 42) -> DataFrame:
     """n/2 rows of label Yes and n/2 of label No."""
-    hashed = df.where(F.col(label).isin("Yes", "No")).withColumn("__h", hash_text(seed, *ids))
-    return top_n(hashed, [label], ["__h", *ids], n // 2, "__p").drop("__h", "__p")
+    ranked = hash_rank(df.where(F.col(label).isin("Yes", "No")), [label], seed, ids, "__r")
+    return ranked.where(F.col("__r") < n // 2).drop("__r")
 
 
 def sample_strata(df: DataFrame, col: str, n: int, ids: Sequence[str], seed: int = 42) -> DataFrame:
     """⌈n × share⌉ rows of every category, at least one."""
-    sized = attach_stats(hash_rank(df, [col], seed, ids, "__r"), [col], [F.count(F.lit(1)).alias("__n")],
-                         nulls_match=False).crossJoin(
-        F.broadcast(df.where(F.col(col).isNotNull()).agg(F.count(F.lit(1)).alias("__all"))))
+    sized = attach_stats(hash_rank(df, [col], seed, ids, "__r", nulls_match=True), [col],
+                         [F.count(F.lit(1)).alias("__n")], source=df)
+    sized = with_row(sized, df.agg(F.count(F.lit(1)).alias("__all")))
     want = F.greatest(F.lit(1), F.ceil(F.lit(n) * F.col("__n") / F.col("__all")))
     return sized.where(F.col("__r") < want).drop("__r", "__n", "__all")
 
@@ -93,8 +103,8 @@ def _draw(rows: DataFrame, keys: Sequence[str], examples: DataFrame, k: int, see
     """k different examples per row: consecutive places, from a hashed start, in hash order."""
     placed = hash_rank(examples, [], f"{seed}{tag}", ids, "__at")
     size = examples.agg(F.count(F.lit(1)).alias("__size"))
-    start = F.conv(F.substring(hash_text(f"{seed}{tag}", *keys), 1, 8), 16, 10).cast("bigint")
-    wanted = (rows.select(*keys).crossJoin(F.broadcast(size))
+    start = hash_number(hash_text(f"{seed}{tag}", *keys))
+    wanted = (with_row(rows.select(*keys), size)
               .withColumn("__d", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
               .where(F.col("__d") < F.col("__size"))
               .withColumn("__at", (start + F.col("__d")) % F.col("__size")).drop("__size"))

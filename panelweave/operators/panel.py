@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.operators.scale import with_row
+
 # fixed values of the smoothing kernel
 CONSTANT, LENGTH_SCALE, NOISE = 1.0, 2.0, 1.0
 
@@ -22,7 +24,7 @@ def deflate(df: DataFrame, prices: DataFrame, people: DataFrame, t: str, val: st
     """value × price(base) / price(year) / population. ``prices`` is (t, cpi); ``people`` is
     (area…, t, population)."""
     at_base = prices.where(F.col(t) == base).agg(F.max("cpi").alias("__base"))
-    factors = prices.crossJoin(F.broadcast(at_base)).select(t, (F.col("__base") / F.col("cpi")).alias("__f"))
+    factors = with_row(prices, at_base).select(t, (F.col("__base") / F.col("cpi")).alias("__f"))
     joined = df.join(factors, t).join(people, [*area, t])
     return joined.withColumn("adjusted", F.col(val) * F.col("__f") / F.col("population")).drop("__f", "population")
 
@@ -45,13 +47,12 @@ def line_fit(panel: DataFrame, keys: Sequence[str], x: Column, y: str, where: Co
 def detrend(panel: DataFrame, key: str, t: str, val: str, train_end: int) -> DataFrame:
     """Remove the training line and add the training mean back. The fitted values average to the
     training mean, so later periods keep their value."""
-    position = F.row_number().over(Window.partitionBy(key).orderBy(t)) - 1
-    placed = panel.withColumn("__pos", position)
-    fit = line_fit(placed, [key], F.col("__pos"), val, F.col(t) <= train_end)
-    line = F.col("intercept") + F.col("slope") * F.col("__pos")
-    return placed.join(fit, key).withColumn(
+    position = F.col(t) - train_end
+    fit = line_fit(panel, [key], position, val, F.col(t) <= train_end)
+    line = F.col("intercept") + F.col("slope") * position
+    return panel.join(fit, key).withColumn(
         "detrended", F.when(F.col(t) <= train_end, F.col(val) - line + F.col("mean")).otherwise(F.col(val))
-    ).drop("__pos", "slope", "intercept", "mean")
+    ).drop("slope", "intercept", "mean")
 
 
 def refine(panel: DataFrame, key: str, t: str, val: str, k: int, first: int, last: int) -> DataFrame:
@@ -92,7 +93,7 @@ def normalise(panel: DataFrame, key: str, t: str, val: str, train_end: int, wors
 def scale_fixed(df: DataFrame, val: str, lo: float = -2.5, hi: float = 2.5) -> DataFrame:
     """Scale by fixed bounds widened with the extremes of the whole column."""
     seen = df.agg(F.least(F.min(val), F.lit(lo)).alias("__lo"), F.greatest(F.max(val), F.lit(hi)).alias("__hi"))
-    return df.crossJoin(F.broadcast(seen)).withColumn(
+    return with_row(df, seen).withColumn(
         "scaled", (F.col(val) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).drop("__lo", "__hi")
 
 

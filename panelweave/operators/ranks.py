@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from panelweave.operators.scale import attach_stats, global_index, null_safe_join, ordered_rank
 from panelweave.session import durable
 
+PUSHED_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
+
 
 def dup_flag(df: DataFrame, keys: Sequence[str], name: str = "is_dup") -> DataFrame:
     """1 when the key combination occurs more than once; nulls equal each other."""
@@ -131,17 +133,18 @@ def gaps(df: DataFrame, keys: Sequence[str], t: str) -> DataFrame:
 
 
 def diff(panel: DataFrame, keys: Sequence[str], t: str, val: str, name: str = "change") -> DataFrame:
-    """Change to the previous period; the panel is unique on (keys, t)."""
+    """Change to the previous period, null where that period is missing. The panel is unique on
+    (keys, t), so a group holds each period once."""
     w = Window.partitionBy(*keys).orderBy(t)
-    return panel.withColumn(name, F.col(val) - F.lag(val).over(w))
+    follows = F.lag(t).over(w) == F.col(t) - 1
+    return panel.withColumn(name, F.when(follows, F.col(val) - F.lag(val).over(w)))
 
 
-def first_fall(panel: DataFrame, keys: Sequence[str], t: str, val: str) -> DataFrame:
-    """0-based position of the first fall per series, null without one."""
-    w = Window.partitionBy(*keys).orderBy(t)
-    stepped = panel.withColumn("__pos", F.row_number().over(w) - 1).withColumn(
-        "__d", F.col(val) - F.lag(val).over(w))
-    return stepped.groupBy(*keys).agg(F.min(F.when(F.col("__d") < 0, F.col("__pos"))).alias("first_fall"))
+def first_fall(panel: DataFrame, keys: Sequence[str], t: str, val: str, first: int) -> DataFrame:
+    """0-based place of the first fall per series counted from period ``first``, null without one."""
+    stepped = diff(panel, keys, t, val, "__d")
+    place = F.min(F.when(F.col("__d") < 0, F.col(t))) - first
+    return stepped.groupBy(*keys).agg(place.alias("first_fall"))
 
 
 def reindex(relation: DataFrame, key: str, limit: int) -> DataFrame:
@@ -153,8 +156,11 @@ def reindex(relation: DataFrame, key: str, limit: int) -> DataFrame:
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int,
           name: str = "position") -> DataFrame:
-    """First n rows per key; Spark pushes the rank limit below the shuffle, so every task
-    forwards at most n rows per key."""
+    """First n rows per key. Spark pushes a small rank limit below the shuffle, so every task
+    forwards at most n rows per key; a large one is cut from the range-partitioned order."""
+    if n > PUSHED_LIMIT:
+        ranked = ordered_rank(df, keys, order, name)
+        return ranked.withColumn(name, F.col(name) + 1).where(F.col(name) <= n)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 

@@ -264,8 +264,8 @@ def _(t):
 
 _RATES = f"""{PANEL}, cat AS (SELECT c_custkey AS series, c_mktsegment AS category1, 'nation ' || CAST(c_nationkey AS VARCHAR) AS category2,
   CASE WHEN c_acctbal > 5000 THEN 'rich' END AS category3 FROM customer),
-  rises AS (SELECT series, sum(CASE WHEN value > prev THEN 1 ELSE 0 END) AS rises FROM
-    (SELECT series, value, lag(value) OVER (PARTITION BY series ORDER BY year) AS prev FROM panel) GROUP BY 1),
+  rises AS (SELECT p.series, sum(CASE WHEN p.value > b.value THEN 1 ELSE 0 END) AS rises FROM panel p
+    LEFT JOIN panel b ON b.series = p.series AND b.year = p.year - 1 GROUP BY 1),
   long AS (SELECT r.series, rises, unnest([category1, category2, category3]) AS category FROM rises r JOIN cat ON cat.series = r.series),
   rates AS (SELECT category, sum(rises) / (count(*) * (SELECT count(DISTINCT year) - 1.0 FROM panel)) AS rate
     FROM long WHERE category IS NOT NULL GROUP BY 1)"""
@@ -401,17 +401,17 @@ def _(t):
     return rk.gaps(fx.panel(t), ["series"], "year")
 
 
-@query("first_difference", f"""WITH {PANEL} SELECT series, year, {sql_rnd('value - lag(value) OVER (PARTITION BY series ORDER BY year)', 2)}
+@query("first_difference", f"""WITH {PANEL} SELECT series, year, {sql_rnd('value - CASE WHEN lag(year) OVER (PARTITION BY series ORDER BY year) = year - 1 THEN lag(value) OVER (PARTITION BY series ORDER BY year) END', 2)}
   AS change FROM panel""")
 def _(t):
     return rk.diff(fx.panel(t), ["series"], "year", "value").select("series", "year", rnd(F.col("change"), 2).alias("change"))
 
 
-@query("first_decrease", f"""WITH {PANEL}, d AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY year) - 1 AS pos,
-  value - lag(value) OVER (PARTITION BY series ORDER BY year) AS d FROM panel)
+@query("first_decrease", f"""WITH {PANEL}, d AS (SELECT p.series, p.year - 1995 AS pos, p.value - b.value AS d FROM panel p
+    LEFT JOIN panel b ON b.series = p.series AND b.year = p.year - 1)
   SELECT series, min(CASE WHEN d < 0 THEN pos END) AS first_fall FROM d GROUP BY 1""")
 def _(t):
-    return rk.first_fall(fx.panel(t), ["series"], "year", "value")
+    return rk.first_fall(fx.panel(t), ["series"], "year", "value", YEARS[0])
 
 
 @query("reindex_dense", """WITH r AS (SELECT DISTINCT l_partkey AS indicator, l_suppkey AS program FROM lineitem
@@ -453,7 +453,7 @@ def _(t):
         "program", "year", rnd(F.col("adjusted"), 6).alias("adjusted"))
 
 
-@query("detrend_linear", f"""WITH {PANEL}, p AS (SELECT *, CAST(row_number() OVER (PARTITION BY series ORDER BY year) - 1 AS DOUBLE) AS x FROM panel),
+@query("detrend_linear", f"""WITH {PANEL}, p AS (SELECT *, CAST(year AS DOUBLE) AS x FROM panel),
   f AS (SELECT series, count(*) AS n, avg(x) AS mx, avg(value) AS my FROM p WHERE year <= {TRAIN_END} GROUP BY 1),
   s AS (SELECT p.series, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, sum((x - mx) * (value - my)) AS sxy, sum((x - mx) * (x - mx)) AS sxx
     FROM p JOIN f ON f.series = p.series WHERE year <= {TRAIN_END} GROUP BY 1)

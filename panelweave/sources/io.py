@@ -43,9 +43,8 @@ def read_instruct(spark: SparkSession, path: str, multi_line: bool = False) -> D
 
 def read_corpus(spark: SparkSession, folder: str, pattern: str = "[0-9][0-9][0-9].txt") -> DataFrame:
     """Every matching file under a tree, one row per whole file."""
-    return (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", pattern).text(folder)
-            .select(F.input_file_name().alias("path"), F.col("value").alias("text")))
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+    return files.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def read_doc_index(spark: SparkSession, folder: str) -> DataFrame:
