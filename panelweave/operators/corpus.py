@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from panelweave.functions import text as tx
 from panelweave.operators.ranks import keep_first
-from panelweave.operators.scale import global_index, hash_text, hash_unit
+from panelweave.operators.scale import global_index, hash_text, hash_unit, size_checked
+
+VOCABULARY_BROADCAST = 1_000_000  # rows; about 25 MB in memory
 
 
 def split_paragraphs(df: DataFrame, text: str, min_words: int, separator: str = r"\n{2,}") -> DataFrame:
@@ -64,8 +66,10 @@ def vocabulary(df: DataFrame, doc: str, text: str, first_id: int = 0) -> DataFra
 
 
 def encode(df: DataFrame, doc: str, text: str, vocab: DataFrame) -> DataFrame:
-    """Token id array per document, in text order. A group is one document's own tokens."""
-    joined = tokens(df, doc, text).join(vocab.select("token", "token_id"), "token")
+    """Token id array per document, in text order. A group is one document's own tokens. The
+    vocabulary is broadcast only when it is counted to be small."""
+    table = size_checked(vocab.select("token", "token_id"), VOCABULARY_BROADCAST)
+    joined = tokens(df, doc, text).join(table, "token")
     ordered = F.sort_array(F.collect_list(F.struct("pos", "token_id")))
     return joined.groupBy(doc).agg(F.transform(ordered, lambda s: s["token_id"]).alias("ids"))
 

@@ -19,6 +19,15 @@ HASH_DIGITS = 4  # 65,536 buckets: a key with 10^12 rows still has about 15 mill
 _IN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id
 
 
+def size_checked(small: DataFrame, limit: int) -> DataFrame:
+    """Mark a side for broadcast when it is known to have at most ``limit`` rows, else for a
+    shuffled join, whose hot partitions the adaptive skew join splits. Counts at most limit + 1
+    rows; give it a frame that is cheap to read again."""
+    if small.limit(limit + 1).count() <= limit:
+        return F.broadcast(small)
+    return small.hint("merge")
+
+
 def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate. The only product in the package: its right side
     is an ungrouped aggregate, which has exactly one row."""

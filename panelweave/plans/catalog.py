@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from panelweave.plans import (  # noqa: F401
+    flow_queries,
     graph_queries,
     pair_queries,
     panel_queries,
