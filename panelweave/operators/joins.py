@@ -12,25 +12,28 @@ from panelweave.operators.scale import null_safe_join
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join with a many-to-one check: a repeated key in ``dim`` raises. The check is an
-    aggregation on the join key, so it shares the exchange of the join."""
+    """Left join with a many-to-one check: a repeated key in ``dim`` raises. A null key finds the
+    row of the null key, if there is one."""
     rest = [c for c in dim.columns if c not in on]
     checked = dim.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*rest)).alias("__row"))
     message = F.lit("lookup table has more than one row for a key")
     guarded = checked.select(*on, *[
         F.when(F.col("__n") > 1, F.raise_error(message).cast(dim.schema[c].dataType))
         .otherwise(F.col(f"__row.{c}")).alias(c) for c in rest])
-    return df.join(guarded, list(on), "left")
+    return null_safe_join(df, guarded, on)
 
 
 def attach_outer(df: DataFrame, stats: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Full outer join of per-key statistics."""
-    return df.join(stats, list(on), "full_outer")
+    """Full outer join of per-key statistics. Put together from a left join, whose hot keys can be
+    split (those of a full outer join cannot), and the keys the rows lack."""
+    matched = null_safe_join(df, stats, on)
+    missing = null_safe_join(stats, df.select(*on).distinct(), on, "left_anti")
+    return matched.unionByName(missing, allowMissingColumns=True)
 
 
 def minus(df: DataFrame, existing: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is not present yet."""
-    return df.join(existing.select(*on).distinct(), list(on), "left_anti")
+    return null_safe_join(df, existing.select(*on).distinct(), on, "left_anti")
 
 
 def naive_pairs(indicators: DataFrame, items: DataFrame, categories: Sequence[str], item_category: str,
@@ -44,7 +47,8 @@ def naive_pairs(indicators: DataFrame, items: DataFrame, categories: Sequence[st
 
 
 def with_category(df: DataFrame, categories: DataFrame, on: Sequence[str]) -> DataFrame:
-    return df.join(categories.distinct(), list(on), "full_outer")
+    """Full outer join to the distinct categories."""
+    return attach_outer(df, categories.distinct(), on)
 
 
 def restrict(pairs: DataFrame, allowed: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -98,14 +102,14 @@ def with_default(rows: DataFrame, default: DataFrame, key: str) -> DataFrame:
 def expand_items(outcome: DataFrame, mapping: DataFrame, item: str, names: str) -> DataFrame:
     """Replace a broad item by each of its fine names; items without names drop."""
     fine = mapping.select(F.col(item), F.explode(names).alias("__fine"))
-    return (outcome.join(fine, item).withColumnRenamed(item, f"{item}_original")
+    return (null_safe_join(outcome, fine, [item], "inner").withColumnRenamed(item, f"{item}_original")
             .withColumnRenamed("__fine", item))
 
 
 def rename_items(outcome: DataFrame, mapping: DataFrame, item: str, name: str) -> DataFrame:
     """Replace a broad item by its one derived name, null when it has none."""
     named = mapping.select(F.col(item), F.col(name).alias("__name"))
-    return (outcome.join(named, item, "left").withColumnRenamed(item, f"{item}_original")
+    return (null_safe_join(outcome, named, [item]).withColumnRenamed(item, f"{item}_original")
             .withColumnRenamed("__name", item))
 
 

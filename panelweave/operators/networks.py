@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.answers import edge_weight
 from panelweave.functions.uncertainty import certainty
 from panelweave.operators.joins import resolve, with_default
+from panelweave.operators.scale import null_safe_join
 
 
 def edge_threshold(df: DataFrame, yes: Column, least: float = 0.5) -> DataFrame:
@@ -50,7 +51,7 @@ def i2i_network(edges: DataFrame, nodes: DataFrame, method: str, threshold: floa
     last = nodes.groupBy("name").agg(F.max("idx").alias("idx"))
     one = last.select(F.col("name").alias("indicator1"), F.col("idx").alias("src"))
     two = last.select(F.col("name").alias("indicator2"), F.col("idx").alias("dst"))
-    named = kept.join(one, "indicator1").join(two, "indicator2")
+    named = null_safe_join(null_safe_join(kept, one, ["indicator1"], "inner"), two, ["indicator2"], "inner")
     return named.groupBy("src", "dst").agg(F.max_by("__w", order).alias("weight"))
 
 
@@ -62,7 +63,7 @@ def allocate(budget: DataFrame, relation: DataFrame, shares: DataFrame, power: f
     weighted = relation.join(shares, "indicator").withColumn("__w", weight)
     totals = weighted.groupBy("program").agg(F.sum("__w").alias("__t"))
     funds = totals.join(budget, "program").select("program", (F.col("amount") / F.col("__t")).alias("__unit"))
-    return weighted.join(funds, "program").groupBy("indicator").agg(
+    return null_safe_join(weighted, funds, ["program"], "inner").groupBy("indicator").agg(
         F.sum(F.col("__w") * F.col("__unit")).alias("amount"))
 
 

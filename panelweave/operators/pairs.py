@@ -15,11 +15,13 @@ from panelweave.operators.scale import (
     hash_number,
     hash_rank,
     hash_text,
+    null_safe_join,
     running_sums,
     with_row,
 )
 from panelweave.session import durable
 
+SMALL_SAMPLE = 100_000
 STRIDE = 2_305_843_009_213_693_951  # prime 2^61 - 1: steps through any smaller range without repeats
 
 
@@ -37,7 +39,7 @@ def negatives(df: DataFrame, item: str, others: Sequence[str], seed: int,
     starts = running_sums(sizes, [], hash_bucket(F.col("__ih")), ["__ih", item], {"__s": F.col("__n")})
     total = df.agg(F.count(F.lit(1)).alias("__all"))
     # read twice below, as the drawing rows and as the rows drawn
-    placed = durable(with_row(ranked.join(starts.drop("__ih"), item), total).withColumn(
+    placed = durable(with_row(null_safe_join(ranked, starts.drop("__ih"), [item], "inner"), total).withColumn(
         "__at", F.col("__s") + F.col("__k")))
     room = F.col("__all") - F.col("__n")
     offset = hash_number(hash_text(seed, F.lit("offset"), item)).cast("decimal(20,0)")
@@ -63,7 +65,10 @@ def split_stratified(df: DataFrame, strata: Sequence[str], train_share: float, i
 
 
 def sample_n(df: DataFrame, n: int, ids: Sequence[str], seed: int = 42) -> DataFrame:
-    """n rows without replacement, all rows when there are no more."""
+    """n rows without replacement, all rows when there are no more. A small n is a top-n of the
+    hashes; a large one must not meet in one task and is cut from the hash ranks."""
+    if n > SMALL_SAMPLE:
+        return hash_rank(df, [], seed, ids, "__r").where(F.col("__r") < n).drop("__r")
     return df.withColumn("__h", hash_text(seed, *ids)).orderBy("__h", *ids).limit(n).drop("__h")
 
 

@@ -192,7 +192,7 @@ def stitch_pages(pages: DataFrame, doc: str, page: str, text: str, marker: str,
     the texts concatenated in page order are the document.
     """
     cut = pages.groupBy(doc).agg(F.max(F.when(F.contains(F.col(text), F.lit(marker)), F.col(page))).alias("__cut"))
-    kept = pages.join(cut, doc).where(F.col("__cut").isNull() | (F.col(page) < F.col("__cut"))).drop("__cut")
+    kept = null_safe_join(pages, cut, [doc]).where(F.col("__cut").isNull() | (F.col(page) < F.col("__cut"))).drop("__cut")
     head = kept.select(F.col(doc), (F.col(page) - 1).alias(page), F.substring(text, 1, 1).alias("__next"))
     joined = kept.join(head, [doc, page], "left")
     low = F.coalesce((F.lower("__next") == F.col("__next")) & (F.upper("__next") != F.col("__next")), F.lit(False))

@@ -36,7 +36,13 @@ def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
                    nulls_match: bool = True) -> DataFrame:
-    """Equi-join on equally named keys, keeping the left ones; nulls may match nulls."""
+    """Equi-join on equally named keys, keeping the left ones; nulls may match nulls.
+
+    The null-safe form has a second use. An aggregate on the join key would feed the join without
+    an exchange of its own, and the adaptive skew join splits a hot left partition only when both
+    sides come straight from an exchange. Null-safe keys differ from the grouping keys, so the
+    (small) aggregate is exchanged once more and hot keys do get split.
+    """
     renamed = right
     for i, key in enumerate(keys):
         renamed = renamed.withColumnRenamed(key, f"__rk{i}")
@@ -50,14 +56,14 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def attach_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column],
-                 nulls_match: bool = True, source: DataFrame | None = None) -> DataFrame:
-    """Per-key aggregates on every row. Partial aggregation runs before the shuffle and the row
-    side of the join can be split by the adaptive skew join. ``source`` gives the rows to
-    aggregate when ``df`` is a costlier view of the same rows."""
+                 source: DataFrame | None = None) -> DataFrame:
+    """Per-key aggregates on every row, null being a key like any other. Partial aggregation runs
+    before the shuffle and the row side of the join can be split by the adaptive skew join.
+    ``source`` gives the rows to aggregate when ``df`` is a costlier view of the same rows."""
     stats = (df if source is None else source).groupBy(*keys).agg(*aggs)
     if not keys:
         return with_row(df, stats)
-    return null_safe_join(df, stats, keys, "left" if nulls_match else "inner", nulls_match)
+    return null_safe_join(df, stats, keys)
 
 
 def hash_text(seed: int | str, *cols: str | Column) -> Column:
