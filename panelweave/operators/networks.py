@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.answers import edge_weight
 from panelweave.functions.uncertainty import certainty
-from panelweave.operators.joins import resolve, with_default
+from panelweave.operators.joins import resolve
 from panelweave.operators.scale import null_safe_join
 
 
@@ -24,8 +24,14 @@ def b2i_network(edges: DataFrame, items: DataFrame, indicators: DataFrame, defau
                 yes: Column, least: float = 0.5) -> DataFrame:
     """(indicator_idx, item_idx) rows of the edges that pass, names fanned out to all indices,
     the default rows for indicators left without any."""
-    kept = resolve(edge_threshold(edges, yes, least).select("budget_item", "indicator").distinct(), items, indicators)
-    return with_default(kept.select("indicator_idx", "item_idx").distinct(), default, "indicator_idx")
+    passing = edge_threshold(edges, yes, least).select("budget_item", "indicator").distinct()
+    known = null_safe_join(passing, items.select(F.col("name").alias("budget_item")).distinct(), ["budget_item"], "left_semi")
+    rows = resolve(known, items, indicators).select("indicator_idx", "item_idx")
+    # which indicators got a program is decided on names, before the fan-out
+    named = indicators.select(F.col("idx").alias("indicator_idx"), F.col("name").alias("indicator"))
+    covered = null_safe_join(named, known.select("indicator").distinct(), ["indicator"], "left_semi")
+    missing = null_safe_join(default, covered.select("indicator_idx"), ["indicator_idx"], "left_anti")
+    return rows.unionByName(missing.select("indicator_idx", "item_idx"))
 
 
 def i2i_network(edges: DataFrame, nodes: DataFrame, method: str, threshold: float | None = None,

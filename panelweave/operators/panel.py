@@ -195,19 +195,21 @@ def forecast(panel: DataFrame, key: str, t: str, val: str, years: Sequence[int],
 
     @F.pandas_udf("array<double>")
     def continued(rows: pd.Series) -> pd.Series:
-        out = []
-        for r in rows:
-            y = np.array(list(r), dtype=float)
-            falls = np.flatnonzero(np.diff(y) < 0)
-            if len(falls) == 0:
-                out.append(y if keep_rising else None)
-                continue
-            start = falls[0] + 1
-            known = (np.arange(len(y)) < start) & ~np.isnan(y)
-            fitted = posterior_mean(axis, known, y[known][None, :])[0]
-            y[start:] = np.fmax(fitted[start:], y[start:])
-            out.append(y)
-        return pd.Series(out)
+        if len(rows) == 0:
+            return rows
+        grid = np.array([list(r) for r in rows], dtype=float)
+        falls = np.diff(grid, axis=1) < 0
+        falling = falls.any(axis=1)
+        start = np.where(falling, falls.argmax(axis=1) + 1, len(axis))
+        known = (np.arange(len(axis)) < start[:, None]) & ~np.isnan(grid)
+        patterns, which = np.unique(known[falling], axis=0, return_inverse=True)
+        members = np.flatnonzero(falling)
+        for i, mask in enumerate(patterns):  # one small solve per pattern of earlier years
+            own = members[which.ravel() == i]
+            fitted = posterior_mean(axis, mask, grid[own][:, mask])
+            later = np.arange(len(axis)) >= start[own][:, None]
+            grid[own] = np.where(later, np.fmax(fitted, grid[own]), grid[own])
+        return pd.Series([row if keep_rising or fell else None for row, fell in zip(grid, falling)])
 
     arrays = _years_as_array(panel, key, t, val, years).withColumn("__f", continued("__y")).where("__f IS NOT NULL")
     return _as_rows(arrays, key, t, {val: "__f"}, years)
