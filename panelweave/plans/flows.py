@@ -14,6 +14,7 @@ from panelweave.operators import answers as ans
 from panelweave.operators import corpus as cp
 from panelweave.operators import panel as pn
 from panelweave.operators import pairs as pr
+from panelweave.operators.scale import spread
 from panelweave.session import durable
 
 
@@ -38,7 +39,7 @@ def corpus_rows(docs: DataFrame, doc: str, text: str, languages: Sequence[str],
                 seed: int = 10, separator: str = r"\n{2,}") -> DataFrame:
     """Documents to padded token rows, split into train and test by whole document. The chunk table
     is written once because both the vocabulary and the encoding read it."""
-    marked = cp.split_docs(docs.select(doc, text), doc, train_share, seed)
+    marked = cp.split_docs(spread(docs.select(doc, text), doc), doc, train_share, seed)
     chunked = cp.chunk_overlap(cp.split_paragraphs(marked, text, min_words, separator), text, words, overlap)
     kept = cp.language_filter(chunked, text, languages)
     chunks = durable(kept.withColumn("chunk_id", F.concat_ws("-", doc, "paragraph_no", "chunk_no")))

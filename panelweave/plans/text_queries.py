@@ -8,8 +8,14 @@ from panelweave.functions import names as nm
 from panelweave.functions import text as tx
 from panelweave.operators import corpus as cp
 from panelweave.operators import ranks as rk
+from panelweave.operators.scale import spread
 from panelweave.plans.registry import query, sql_hash, sql_unit
 
+
+def _docs(t):
+    return spread(t.documents.select("doc_id", "text"), "doc_id")
+
+
 # outer newlines off, lone newlines off unless a non-ASCII character follows
 _CLEAN = "trim(regexp_replace({p}, '\\n([\\x00-\\x7F]|$)', '\\1', 'g'), ' ')"
 
@@ -22,7 +28,7 @@ def _paragraph_sql(min_words: int, separator: str) -> str:
 
 @query("split_paragraphs", f"WITH {_paragraph_sql(10, chr(92) + 'n{2,}')} SELECT doc_id, CAST(paragraph_no AS INTEGER) AS paragraph_no, text FROM paras")
 def _(t):
-    return cp.split_paragraphs(t.documents.select("doc_id", "text"), "text", 10)
+    return cp.split_paragraphs(_docs(t), "text", 10)
 
 
 _W, _S = 196, 107
@@ -34,7 +40,7 @@ _CHUNKS = f"""{_paragraph_sql(1, chr(92) + 'n{2,}')}, w AS (SELECT doc_id, parag
 @query("chunk_overlap", f"""WITH {_CHUNKS} SELECT doc_id, CAST(paragraph_no AS INTEGER) AS paragraph_no, CAST(chunk_no AS INTEGER) AS chunk_no,
   trim(array_to_string(ws[chunk_no * {_S} + 1 : chunk_no * {_S} + {_W}], ' '), ' ') AS text FROM c""")
 def _(t):
-    paragraphs = cp.split_paragraphs(t.documents.select("doc_id", "text"), "text", 1)
+    paragraphs = cp.split_paragraphs(_docs(t), "text", 1)
     return cp.chunk_overlap(paragraphs, "text", 196, 0.45)
 
 
@@ -48,7 +54,7 @@ def _score_sql(lang):
   b AS (SELECT doc_id, CASE WHEN greatest(en, fr, de, es) = 0 THEN NULL WHEN en >= greatest(fr, de, es) THEN 'en' WHEN fr >= greatest(de, es) THEN 'fr'
     WHEN de >= es THEN 'de' ELSE 'es' END AS language FROM s) SELECT * FROM b WHERE language IN ('en', 'de')""")
 def _(t):
-    return cp.language_filter(t.documents.select("doc_id", "text"), "text", ["en", "de"]).select("doc_id", "language")
+    return cp.language_filter(_docs(t), "text", ["en", "de"]).select("doc_id", "language")
 
 
 @query("strip_direction_marks", "SELECT doc_id, md5(regexp_replace(replace(text, ' the ', ' ' || chr(8235) || 'the' || chr(8236) || chr(10)), "
@@ -108,7 +114,7 @@ _TOKENS = """tok AS (SELECT doc_id, generate_subscripts(ts, 1) AS pos, unnest(ts
 
 
 def _encoded(t, first=0):
-    docs = t.documents.select("doc_id", "text")
+    docs = _docs(t)
     return cp.encode(docs, "doc_id", "text", cp.vocabulary(docs, "doc_id", "text", first))
 
 
