@@ -21,6 +21,7 @@ def parse_yes_no(text: Column, word_boundary: bool = False) -> Column:
     def has(word: str) -> Column:
         return low.rlike(rf"\b{word}\b") if word_boundary else F.contains(low, F.lit(word))
 
+    # fixed values: the keywords, in the order they are tried
     return (F.when(has("yes"), "Yes").when(has("no"), "No").when(has("false"), "No")
             .when(has("not"), "No").when(has("true") | has("correct"), "Yes").otherwise("NA"))
 
@@ -53,10 +54,21 @@ def one_hot(label: Column, labels=LABELS) -> Column:
     return F.create_map(*pairs)
 
 
+def _as_json(text: Column) -> Column:
+    """Single quotes to double ones, quotes around numeric keys."""
+    quoted = F.replace(text, F.lit("'"), F.lit('"'))
+    return F.regexp_replace(quoted, r"([{,]\s*)(\d+)\s*:", '$1"$2":')
+
+
 def parse_probs(text: Column) -> Column:
-    """JSON text of a label distribution to a map; Python-style quotes are accepted.
-    Text is parsed, never evaluated."""
-    return F.from_json(F.replace(text, F.lit("'"), F.lit('"')), "map<string,double>")
+    """JSON text of a label distribution to a map; Python-style quotes and numeric keys are
+    accepted. Text is parsed, never evaluated."""
+    return F.from_json(_as_json(text), "map<string,double>")
+
+
+def parse_ensemble(text: Column) -> Column:
+    """JSON text of a list of distributions, one per member, to an array of maps."""
+    return F.from_json(_as_json(text), "array<map<string,double>>")
 
 
 def edge_weight(weight: Column) -> Column:

@@ -46,6 +46,18 @@ def join_names(authors: Column, field: str = "name") -> Column:
     return F.array_join(F.transform(authors, lambda a: a[field]), ", ")
 
 
+def layout_family(model: Column, families: Mapping[str, Sequence[str]]) -> Column:
+    """First family one of whose name parts occurs in the model name, ignoring case."""
+    low = F.lower(model)
+    out = F.lit(None).cast("string")
+    for family, parts in reversed(list(families.items())):
+        hit = F.lit(False)
+        for part in parts:
+            hit = hit | F.contains(low, F.lit(part.lower()))
+        out = F.when(hit, F.lit(family)).otherwise(out)
+    return out
+
+
 def replace_values(col: Column, mapping: Mapping[str, str]) -> Column:
     """Replace the named values, leave all others."""
     out = col

@@ -123,6 +123,7 @@ def _gather(drawn: DataFrame, keys: Sequence[str], line: Column) -> DataFrame:
 
 
 def _numbered(question: Column, answer: Column) -> Column:
+    # fixed values: how an example is written
     no = F.col("__d").cast("string")
     return F.concat(F.lit("Example Question "), no, F.lit(": "), question,
                     F.lit("\nExample Answer "), no, F.lit(": "), answer, F.lit("."))

@@ -162,7 +162,8 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n:
         ranked = ordered_rank(df, keys, order, name)
         return ranked.withColumn(name, F.col(name) + 1).where(F.col(name) <= n)
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
+    limited = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
+    return limited.withColumn(name, F.col(name).cast("bigint"))
 
 
 def line_range(df: DataFrame, first: int, last: int, order: Sequence[str]) -> DataFrame:

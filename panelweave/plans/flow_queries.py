@@ -45,7 +45,7 @@ _CHUNK_TEXT = "trim(array_to_string(ws[chunk_no * 107 + 1 : chunk_no * 107 + 196
   ids AS (SELECT doc_id, paragraph_no, chunk_no, list(token_id ORDER BY pos) AS ids FROM tok JOIN vocab ON vocab.token = tok.token GROUP BY 1, 2, 3)
   SELECT k.doc_id, CAST(k.paragraph_no AS INTEGER) AS paragraph_no, CAST(k.chunk_no AS INTEGER) AS chunk_no, language,
     CASE WHEN {sql_unit(sql_hash(10, 'k.doc_id'))} / 4294967296.0 < 0.8 THEN 'train' ELSE 'test' END AS split,
-    array_to_string(list_resize(ids, 128, 0), ' ') AS input_ids, least(len(ids), 128) AS used
+    array_to_string(list_resize(ids, 128, 0), ' ') AS input_ids, CAST(least(len(ids), 128) AS INTEGER) AS used
   FROM kept k JOIN ids i ON i.doc_id = k.doc_id AND i.paragraph_no = k.paragraph_no AND i.chunk_no = k.chunk_no""")
 def _(t):
     rows = flows.corpus_rows(t.documents, "doc_id", "text", ["en", "fr"], length=128)

@@ -215,8 +215,7 @@ _TOP = "CASE WHEN yes >= no AND yes >= na THEN 'Yes' WHEN no >= na THEN 'No' ELS
 @query("agg_mode", f"""WITH {ENSEMBLE}, l AS (SELECT pair, member, {_TOP} AS label FROM ens),
   c AS (SELECT pair, label, count(*) AS n, min(member) AS m FROM l GROUP BY 1, 2),
   r AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY n DESC, m) AS r FROM c)
-  SELECT pair, label AS mode, CASE WHEN label = 'Yes' THEN 1.0 ELSE 0.0 END AS yes, CASE WHEN label = 'No' THEN 1.0 ELSE 0.0 END AS no,
-    CASE WHEN label = 'NA' THEN 1.0 ELSE 0.0 END AS na FROM r WHERE r = 1""")
+  SELECT pair, label AS mode, CAST(label = 'Yes' AS DOUBLE) AS yes, CAST(label = 'No' AS DOUBLE) AS no, CAST(label = 'NA' AS DOUBLE) AS na FROM r WHERE r = 1""")
 def _(t):
     out = ans.agg_mode(fx.ensemble(t).withColumn("p", fx.probs_map()), ["pair"], "member", F.col("p"))
     hot = an.one_hot(F.col("mode"))

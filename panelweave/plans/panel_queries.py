@@ -298,7 +298,7 @@ def _(t):
 
 
 @query("governance_mean", f"""WITH {PANEL}, g AS (SELECT avg(s) AS qm FROM (SELECT year, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS s
-  FROM panel GROUP BY 1)) SELECT series, {sql_rnd('qm', 2)} AS qm, 1.0 AS r FROM (SELECT DISTINCT series FROM panel), g""")
+  FROM panel GROUP BY 1)) SELECT series, {sql_rnd('qm', 2)} AS qm, CAST(1 AS DOUBLE) AS r FROM (SELECT DISTINCT series FROM panel), g""")
 def _(t):
     yearly = fx.panel(t).groupBy("year").agg(fx.money("value").alias("s"))
     scalar = yearly.agg(rnd(F.avg("s"), 2).alias("qm"))

@@ -118,13 +118,13 @@ def _encoded(t, first=0):
     return cp.encode(docs, "doc_id", "text", cp.vocabulary(docs, "doc_id", "text", first))
 
 
-@query("encode_tokens", f"WITH {_TOKENS.format(first=0)} SELECT doc_id, len(ids) AS n, md5(array_to_string(ids, ' ')) AS digest FROM ids")
+@query("encode_tokens", f"WITH {_TOKENS.format(first=0)} SELECT doc_id, CAST(len(ids) AS INTEGER) AS n, md5(array_to_string(ids, ' ')) AS digest FROM ids")
 def _(t):
     return _encoded(t).select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")).alias("digest"))
 
 
 @query("pad_truncate_mask", f"""WITH {_TOKENS.format(first=3)} SELECT doc_id, array_to_string(list_resize(ids, 256, 0), ' ') AS input_ids,
-  least(len(ids), 256) AS used FROM ids""")
+  CAST(least(len(ids), 256) AS INTEGER) AS used FROM ids""")
 def _(t):
     padded = cp.pad_truncate_mask(_encoded(t, 3), "ids", 256)
     return padded.select("doc_id", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("input_ids"),
@@ -162,13 +162,17 @@ LAYOUTS = {"user": ("[system] {system} [ask] {user} [reply] {response}", "[ask]
            "system": ("{system}: {user}", "{user}")}
 
 
+FAMILIES = {"user": ("asker", "user"), "assistant": ("helper", "assistant"), "system": ("system",)}
+
+
 @query("format_instruction", """SELECT conv_id, turn, trim(CASE role WHEN 'user' THEN CASE WHEN turn = 0 THEN '[system] start ' ELSE '' END || '[ask] ' || text || ' [reply] ok'
   WHEN 'assistant' THEN CASE WHEN turn = 0 THEN '<s>start</s> ' ELSE '' END || text || ' => ok'
   ELSE CASE WHEN turn = 0 THEN 'start: ' ELSE '' END || text END, ' ') AS text FROM conversations""")
 def _(t):
-    rows = t.conversations.select("conv_id", "turn", "role", F.col("text").alias("ask"), F.lit("ok").alias("reply"),
+    family = nm.layout_family(F.concat("role", F.lit("-7B")), FAMILIES)
+    rows = t.conversations.select("conv_id", "turn", family.alias("family"), F.col("text").alias("ask"), F.lit("ok").alias("reply"),
                                   F.when(F.col("turn") == 0, "start").alias("system"))
-    return cp.format_chat(rows, LAYOUTS, "role", "ask", "system", "reply").select("conv_id", "turn", "text")
+    return cp.format_chat(rows, LAYOUTS, "family", "ask", "system", "reply").select("conv_id", "turn", "text")
 
 
 @query("flatten_conversation", """SELECT conv_id, turn // 10000 AS part, string_agg('<' || role || '> ' || text, chr(10) ORDER BY turn) AS chat,

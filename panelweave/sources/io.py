@@ -78,7 +78,7 @@ def best_by_regex(df: DataFrame, name: str, pattern: str) -> DataFrame:
     """The one row whose name carries the largest metric, 0 where the name has none."""
     scored = df.withColumn("metric", metric_in_name(F.col(name), pattern))
     order = F.struct("metric", F.col(name))
-    return scored.agg(F.max_by(F.struct(*scored.columns), order).alias("r")).select("r.*")
+    return scored.agg(F.max_by(F.struct(*scored.columns), order).alias("r")).where("r IS NOT NULL").select("r.*")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:

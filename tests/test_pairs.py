@@ -103,6 +103,14 @@ def test_label_text_is_parsed_not_evaluated(spark):
     row = spark.range(1).select(an.parse_probs(F.lit("{'Yes': 0.7, 'No': 0.3}")).alias("a"),
                                 an.parse_probs(F.lit("__import__('os')")).alias("b")).first()
     assert row.a == {"Yes": 0.7, "No": 0.3} and not row.b
+    many = spark.range(1).select(an.parse_ensemble(F.lit("[{1: 0.25, 2:0.75}, {'1': 1.0}]")).alias("m")).first().m
+    assert many == [{"1": 0.25, "2": 0.75}, {"1": 1.0}]
+
+
+def test_model_family_by_name_part(spark):
+    families = {"one": ("alpha", "beta"), "two": ("gamma",)}
+    rows = spark.createDataFrame([("My-Beta-7B",), ("gamma-alpha",), ("GAMMA",), ("delta",)], "m string")
+    assert [r.f for r in rows.select(nm.layout_family(F.col("m"), families).alias("f")).collect()] == ["one", "one", "two", None]
 
 
 @pytest.mark.parametrize("yes,no", [(0.9, 0.1), (0.5, 0.5), (0.2, 0.8), (1.0, 0.0)])
