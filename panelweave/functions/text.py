@@ -71,9 +71,10 @@ def _hits(tokens: Column, words: Sequence[str]) -> Column:
 
 def detect_language(text: Column, profiles: Mapping[str, Sequence[str]] = STOPWORDS) -> Column:
     """Language with most stopwords, the earlier profile on ties, null when none occurs. The
-    text is split once and its stopwords are counted once per profile."""
+    text is split once and thinned to stopwords of any profile before each profile counts."""
     names = F.array(*[F.lit(lang) for lang in profiles])
-    tokens = F.split(F.lower(text), r"[^\p{L}]+", -1)
+    every = sorted({word for words in profiles.values() for word in words})
+    tokens = F.filter(F.split(F.lower(text), r"[^\p{L}]+", -1), lambda t: t.isin(*every))
 
     def winner(scores: Column) -> Column:
         best = F.array_max(scores)

@@ -2,9 +2,11 @@
 
 import math
 
+import pandas as pd
+
 
 def cell(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return "null"
     if isinstance(value, bool) or hasattr(value, "__float__") and not isinstance(value, str):
         number = float(value)
