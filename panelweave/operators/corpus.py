@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions import text as tx
 from panelweave.operators.ranks import keep_first
 from panelweave.operators.scale import global_index, hash_text, hash_unit, size_checked
 
-VOCABULARY_BROADCAST = 1_000_000  # rows; about 25 MB in memory
+VOCABULARY_BROADCAST = 250_000  # rows; about 25 MB in memory
 
 
 def split_paragraphs(df: DataFrame, text: str, min_words: int, separator: str = r"\n{2,}") -> DataFrame:

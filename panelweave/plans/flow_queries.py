@@ -8,16 +8,16 @@ from panelweave.functions import text as tx
 from panelweave.plans import fixtures as fx
 from panelweave.plans import flows
 from panelweave.plans.fixtures import PAIRS, PANEL, TRAIN_END, YEARS
-from panelweave.plans.pair_queries import TEMPLATES, _all_templates_sql
-from panelweave.plans.panel_queries import _categories
+from panelweave.plans.pair_queries import TEMPLATES, all_templates_sql
+from panelweave.plans.panel_queries import customer_categories
 from panelweave.plans.registry import query, rnd, sql_hash, sql_rnd, sql_unit
-from panelweave.plans.text_queries import _CHUNKS, _score_sql
+from panelweave.plans.text_queries import CHUNKS, score_sql
 
 _ANSWER = "CASE max(l_returnflag) WHEN 'A' THEN 'Yes, it does' WHEN 'N' THEN 'I do not know' ELSE 'Hard to tell' END"
 _LABEL = "CASE WHEN contains(lower(answer), 'yes') THEN 'Yes' WHEN contains(lower(answer), 'no') THEN 'No' ELSE 'NA' END"
 
 
-@query("prediction_table", f"""WITH {PAIRS}, asked AS ({_all_templates_sql('row_id')}),
+@query("prediction_table", f"""WITH {PAIRS}, asked AS ({all_templates_sql('row_id')}),
   replies AS (SELECT l_partkey AS row_id, l_linenumber % 3 AS member, {_ANSWER} AS answer FROM lineitem GROUP BY 1, 2),
   parsed AS (SELECT a.row_id, a.member, prompt, {_LABEL} AS label FROM asked a JOIN replies r ON r.row_id = a.row_id AND r.member = a.member),
   agg AS (SELECT row_id, {sql_rnd("avg(CASE WHEN label = 'Yes' THEN 1 ELSE 0 END)", 3)} AS "Yes", {sql_rnd("avg(CASE WHEN label = 'No' THEN 1 ELSE 0 END)", 3)} AS "No",
@@ -34,9 +34,9 @@ def _(t):
 _CHUNK_TEXT = "trim(array_to_string(ws[chunk_no * 107 + 1 : chunk_no * 107 + 196], ' '), ' ')"
 
 
-@query("corpus_rows", f"""WITH {_CHUNKS}, ch AS (SELECT doc_id, paragraph_no, chunk_no, {_CHUNK_TEXT} AS text FROM c WHERE len(ws) >= 98),
+@query("corpus_rows", f"""WITH {CHUNKS}, ch AS (SELECT doc_id, paragraph_no, chunk_no, {_CHUNK_TEXT} AS text FROM c WHERE len(ws) >= 98),
   k AS (SELECT *, string_split_regex(lower(text), '[^\\p{{L}}]+') AS ts FROM ch),
-  s AS (SELECT *, {', '.join(f'{_score_sql(l)} AS {l}' for l in tx.STOPWORDS)} FROM k),
+  s AS (SELECT *, {', '.join(f'{score_sql(l)} AS {l}' for l in tx.STOPWORDS)} FROM k),
   kept AS (SELECT doc_id, paragraph_no, chunk_no, text, CASE WHEN en >= greatest(fr, de, es) THEN 'en' ELSE 'fr' END AS language FROM s
     WHERE greatest(en, fr, de, es) > 0 AND (en >= greatest(fr, de, es) OR fr >= greatest(de, es))),
   tok AS (SELECT doc_id, paragraph_no, chunk_no, generate_subscripts(ts, 1) AS pos, unnest(ts) AS token FROM (
@@ -74,7 +74,7 @@ def _(t):
   SELECT b.series, {sql_rnd('(v0 - lo) / nullif(hi - lo, 0)')} AS start, {sql_rnd('(v1 - lo) / nullif(hi - lo, 0)')} AS final,
     {sql_rnd('CASE WHEN rate <= 0 THEN 0.05 WHEN rate >= 1 THEN 0.95 ELSE rate END', 6)} AS success_rate FROM b JOIN m ON m.series = b.series""")
 def _(t):
-    out = flows.calibration_inputs(fx.panel(t), _categories(t), "series", "year", "value", YEARS, TRAIN_END,
+    out = flows.calibration_inputs(fx.panel(t), customer_categories(t), "series", "year", "value", YEARS, TRAIN_END,
                                    ["category1", "category2", "category3"])
     return out.select("series", rnd(F.col("start")).alias("start"), rnd(F.col("final")).alias("final"),
                       rnd(F.col("success_rate"), 6).alias("success_rate"))

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelweave.functions import answers as an
-from panelweave.functions import names as nm
+from panelweave.operators import aggregates as ag
 from panelweave.operators import joins as jn
-from panelweave.operators import networks as nw
 from panelweave.operators import mixing as mx
+from panelweave.operators import networks as nw
 from panelweave.operators import ranks as rk
 from panelweave.plans import fixtures as fx
-from panelweave.plans.fixtures import EDGES, ENSEMBLE, PANEL, PROGRAMS, SPEND
+from panelweave.plans.fixtures import EDGES, ENSEMBLE, PANEL, SPEND
 from panelweave.plans.registry import query, rnd, sql_hash, sql_rnd, sql_unit
 
 
@@ -165,16 +164,14 @@ _OUT = "o AS (SELECT p_brand || ' ' || CAST(p_size AS VARCHAR) AS item, p_partke
     [totals[1] || ' (excluding ' || array_to_string(others, ', ') || ')'], others) ELSE names END) AS fine FROM f)
   SELECT o.item AS item_original, indicator, fine AS item FROM o JOIN e ON e.item = o.item""")
 def _(t):
-    from panelweave.operators.aggregates import fine_names
-    return jn.expand_items(_outcome(t), fine_names(fx.spend(t), "item", "name"), "item", "names")
+    return jn.expand_items(_outcome(t), ag.fine_names(fx.spend(t), "item", "name"), "item", "names")
 
 
 @query("map_rename", f"""WITH {_LISTS}, {_OUT}, e AS (SELECT item, CASE WHEN len(names) = 1 THEN replace(names[1], 'Total ', '')
     WHEN len(totals) > 0 THEN replace(totals[1], 'Total ', '') ELSE array_to_string(names, ' & ') END AS broad FROM f)
   SELECT o.item AS item_original, indicator, broad AS item FROM o LEFT JOIN e ON e.item = o.item""")
 def _(t):
-    from panelweave.operators.aggregates import broad_names
-    return jn.rename_items(_outcome(t), broad_names(fx.spend(t), "item", "name"), "item", "name")
+    return jn.rename_items(_outcome(t), ag.broad_names(fx.spend(t), "item", "name"), "item", "name")
 
 
 @query("scatter_align", f"WITH {ENSEMBLE} SELECT pair, member, CASE WHEN yes >= 0.5 THEN {sql_rnd('yes * 2 - 1', 6)} END AS strength FROM ens")
@@ -206,9 +203,6 @@ def _(t):
     return rk.keep_first(t.documents.select("text", "doc_id", "source"), ["text"], [F.col("source"), F.col("doc_id")])
 
 
-_STEP_UNIT = "concat('0x', substr(md5(concat_ws(':', '7', 'step')), 1, 8))"
-
-
 @query("interleave_sources", f"""WITH src AS (SELECT 0 AS source_no, doc_id AS id, text FROM documents UNION ALL
     SELECT 1, conv_id * 1000 + turn, text FROM conversations),
   n AS (SELECT source_no, count(*) AS n FROM src GROUP BY 1),

@@ -73,17 +73,17 @@ def _(t):
 
 # ---- prompts ----------------------------------------------------------------
 
-def _all_templates_sql(columns: str, templates=TEMPLATES, effect="directly", extra: str = "") -> str:
+def all_templates_sql(columns: str, templates=TEMPLATES, effect="directly", extra: str = "") -> str:
     return " UNION ALL ".join(
         f"SELECT {columns}, {i} AS member, {_sql_prompt(x, effect)} AS prompt{extra} FROM pairs" for i, x in enumerate(templates))
 
 
-@query("fill_template", f"WITH {PAIRS} {_all_templates_sql('row_id, budget_item, indicator, related')}")
+@query("fill_template", f"WITH {PAIRS} {all_templates_sql('row_id, budget_item, indicator, related')}")
 def _(t):
     return pr.prompts(fx.pairs(t), TEMPLATES, ["budget_item", "indicator"], "directly")
 
 
-@query("fill_template_arbitrary", f"WITH {PAIRS} {_all_templates_sql('row_id, budget_item, indicator, related', effect='')}")
+@query("fill_template_arbitrary", f"WITH {PAIRS} {all_templates_sql('row_id, budget_item, indicator, related', effect='')}")
 def _(t):
     return pr.prompts(fx.pairs(t), TEMPLATES, ["budget_item", "indicator"], "arbitrary")
 
@@ -95,7 +95,7 @@ def _draw_sql(tag: str, k: int, pool: str) -> str:
       FROM pairs WHERE {pool}) e ON e.pos = ({sql_unit(sql_hash('3' + tag, 'a.row_id', 'a.member'))} + d) % size WHERE d < size"""
 
 
-_ASKED = f"{PAIRS}, asked AS ({_all_templates_sql('row_id')})"
+_ASKED = f"{PAIRS}, asked AS ({all_templates_sql('row_id')})"
 _SHOT = "'Example Question ' || CAST(d AS VARCHAR) || ': ' || budget_item || ' and ' || indicator || '?' || chr(10) || 'Example Answer ' || CAST(d AS VARCHAR) || ': ' || related || '.'"
 
 
@@ -131,14 +131,14 @@ _STRAIGHT = [x + OPTIONS for x in TEMPLATES]
 _TURNED = [x + SWAPPED for x in TEMPLATES]
 
 
-@query("reverse_options", f"""WITH {PAIRS} {_all_templates_sql('row_id', _STRAIGHT, extra=', 0 AS reversed')} UNION ALL
-  {_all_templates_sql('row_id', _TURNED, extra=', 1 AS reversed')}""")
+@query("reverse_options", f"""WITH {PAIRS} {all_templates_sql('row_id', _STRAIGHT, extra=', 0 AS reversed')} UNION ALL
+  {all_templates_sql('row_id', _TURNED, extra=', 1 AS reversed')}""")
 def _(t):
     both = pr.with_reversed(fx.pairs(t), _STRAIGHT, _TURNED, ["budget_item", "indicator"], "directly")
     return both.select("row_id", "member", "prompt", F.col("reversed").cast("int").alias("reversed"))
 
 
-@query("answer_expansion", f"""WITH {PAIRS}, p AS ({_all_templates_sql('row_id')})
+@query("answer_expansion", f"""WITH {PAIRS}, p AS ({all_templates_sql('row_id')})
   SELECT row_id, member, answer, prompt || answer AS filled FROM p, (VALUES ('1'), ('2')) v(answer)""")
 def _(t):
     return pr.expand_answers(_asked(t), ["1", "2"]).select("row_id", "member", "answer", "filled")

@@ -271,7 +271,7 @@ _RATES = f"""{PANEL}, cat AS (SELECT c_custkey AS series, c_mktsegment AS catego
     FROM long WHERE category IS NOT NULL GROUP BY 1)"""
 
 
-def _categories(t):
+def customer_categories(t):
     return t.customer.select(
         F.col("c_custkey").alias("series"), F.col("c_mktsegment").alias("category1"),
         F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("category2"),
@@ -279,7 +279,7 @@ def _categories(t):
 
 
 def _rates(t):
-    joined = fx.panel(t).join(_categories(t), "series")
+    joined = fx.panel(t).join(customer_categories(t), "series")
     return ag.success_rate(joined, "series", "year", "value", ["category1", "category2", "category3"])
 
 
@@ -291,7 +291,7 @@ def _(t):
 @query("mean_of_present", f"""WITH {_RATES} SELECT cat.series, {sql_rnd('(coalesce(a.rate, 0) + coalesce(b.rate, 0) + coalesce(c.rate, 0)) / ((a.rate IS NOT NULL)::INT + (b.rate IS NOT NULL)::INT + (c.rate IS NOT NULL)::INT)', 6)} AS success_rate
   FROM cat LEFT JOIN rates a ON category1 = a.category LEFT JOIN rates b ON category2 = b.category LEFT JOIN rates c ON category3 = c.category""")
 def _(t):
-    rates, out = _rates(t), _categories(t)
+    rates, out = _rates(t), customer_categories(t)
     for i in (1, 2, 3):
         out = out.join(rates.toDF(f"category{i}", f"r{i}"), f"category{i}", "left")
     return out.select("series", rnd(mean_of_present(F.col("r1"), F.col("r2"), F.col("r3")), 6).alias("success_rate"))

@@ -32,25 +32,25 @@ def _(t):
 
 
 _W, _S = 196, 107
-_CHUNKS = f"""{_paragraph_sql(1, chr(92) + 'n{2,}')}, w AS (SELECT doc_id, paragraph_no, string_split(text, ' ') AS ws FROM paras),
+CHUNKS = f"""{_paragraph_sql(1, chr(92) + 'n{2,}')}, w AS (SELECT doc_id, paragraph_no, string_split(text, ' ') AS ws FROM paras),
   n AS (SELECT *, CAST(greatest(ceil((len(ws) - {_W}) / {_S}.0), 0) AS BIGINT) AS extra FROM w),
   c AS (SELECT doc_id, paragraph_no, ws, unnest(range(extra + 1)) AS chunk_no FROM n)"""
 
 
-@query("chunk_overlap", f"""WITH {_CHUNKS} SELECT doc_id, CAST(paragraph_no AS INTEGER) AS paragraph_no, CAST(chunk_no AS INTEGER) AS chunk_no,
+@query("chunk_overlap", f"""WITH {CHUNKS} SELECT doc_id, CAST(paragraph_no AS INTEGER) AS paragraph_no, CAST(chunk_no AS INTEGER) AS chunk_no,
   trim(array_to_string(ws[chunk_no * {_S} + 1 : chunk_no * {_S} + {_W}], ' '), ' ') AS text FROM c""")
 def _(t):
     paragraphs = cp.split_paragraphs(_docs(t), "text", 1)
     return cp.chunk_overlap(paragraphs, "text", 196, 0.45)
 
 
-def _score_sql(lang):
+def score_sql(lang):
     words = ", ".join(f"'{w}'" for w in tx.STOPWORDS[lang])
     return f"len(list_filter(ts, lambda x: x IN ({words})))"
 
 
 @query("language_filter", f"""WITH k AS (SELECT doc_id, string_split_regex(lower(text), '[^\\p{{L}}]+') AS ts FROM documents),
-  s AS (SELECT doc_id, {', '.join(f'{_score_sql(l)} AS {l}' for l in tx.STOPWORDS)} FROM k),
+  s AS (SELECT doc_id, {', '.join(f'{score_sql(l)} AS {l}' for l in tx.STOPWORDS)} FROM k),
   b AS (SELECT doc_id, CASE WHEN greatest(en, fr, de, es) = 0 THEN NULL WHEN en >= greatest(fr, de, es) THEN 'en' WHEN fr >= greatest(de, es) THEN 'fr'
     WHEN de >= es THEN 'de' ELSE 'es' END AS language FROM s) SELECT * FROM b WHERE language IN ('en', 'de')""")
 def _(t):
