@@ -11,7 +11,7 @@ from panelweave.functions import text as tx
 from panelweave.operators.ranks import keep_first
 from panelweave.operators.scale import global_index, hash_text, hash_unit, size_checked
 
-VOCABULARY_BROADCAST = 250_000  # rows; about 25 MB in memory
+VOCABULARY_BROADCAST = 1_000_000  # rows; about 100 MB in memory
 
 
 def split_paragraphs(df: DataFrame, text: str, min_words: int, separator: str = r"\n{2,}") -> DataFrame:
