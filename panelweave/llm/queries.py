@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import exact_dedup, mixing, packing, tokens
+from panelweave.llm import exact_dedup, mixing, packing, quality, tokens, warc
 from panelweave.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,9 +15,9 @@ ORACLE: dict[str, str] = {}
 
 
 def query(name: str, table: str, sql: str | None = None):
-    def register(build: Callable[[DataFrame], DataFrame]):
+    def register(build: Callable[..., DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return build(tune(spark).read.parquet(f"{folder}/{table}.parquet"))
+            return build(*[tune(spark).read.parquet(f"{folder}/{name}.parquet") for name in table.split()])
 
         QUERIES[name] = run
         if sql is not None:
@@ -77,3 +77,17 @@ def _(docs):
 @query("op4_packing", "documents")
 def _(docs):
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op8_quality", "documents labels")
+def _(docs, labels):
+    return quality.score(docs, labels)
+
+
+@query("op6_warc", "pages", """
+SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha256(body) AS payload_digest,
+       CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN first END AS refers_to
+FROM (SELECT page_id, body, first, octet_length(encode(body)) >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS revisit
+      FROM (SELECT page_id, coalesce(html, '') AS body, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages))""")
+def _(pages):
+    return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
