@@ -20,43 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.llm import exchange
 from panelweave.llm.common import (LOWER, UPPER, byte_values, in_filter, named, pick, presence_filter,
                                    shuffle_partitions)
 from panelweave.operators.scale import null_safe_join
 from panelweave.session import durable
 
-__all__ = ["classify", "keep_one", "rice_decode", "rice_encode"]
-
-
-def rice_encode(values: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit numbers as Golomb-Rice coded gaps: quotients in unary, then remainders."""
-    if not len(values):
-        return b""
-    gaps = np.diff(values, prepend=values[:1])
-    shift = max(0, (int(values[-1] - values[0]) // len(values)).bit_length() - 1)
-    quotients = (gaps >> np.uint64(shift)).astype(np.int64)
-    ends = np.cumsum(quotients + 1) - 1
-    unary = np.ones(int(ends[-1]) + 1, bool)
-    unary[ends] = False
-    low = gaps & np.uint64((1 << shift) - 1)
-    bits = ((low[:, None] >> np.arange(shift, dtype=np.uint64)) & np.uint64(1)).astype(bool)
-    head = np.array([len(values), shift, len(unary), values[0]], np.uint64).tobytes()
-    return head + np.packbits(unary).tobytes() + np.packbits(bits.ravel()).tobytes()
-
-
-def rice_decode(code: bytes) -> np.ndarray:
-    if not code:
-        return np.empty(0, np.uint64)
-    head = np.frombuffer(code, np.uint64, 4)
-    count, shift, length = (int(x) for x in head[:3])
-    body = np.frombuffer(code, np.uint8, offset=32)
-    cut = -(-length // 8)
-    unary = np.unpackbits(body[:cut], count=length)
-    ends = np.flatnonzero(unary == 0)
-    quotients = np.diff(ends, prepend=-1) - 1
-    bits = np.unpackbits(body[cut:], count=count * shift).reshape(count, shift).astype(np.uint64)
-    low = (bits << np.arange(shift, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) if shift else np.zeros(count, np.uint64)
-    return head[3] + np.cumsum((quotients.astype(np.uint64) << np.uint64(shift)) + low, dtype=np.uint64)
 
 
 def _fingerprint(digests: list[bytes]) -> np.ndarray:
@@ -69,53 +38,24 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary())], names=["doc_id", "sha"])
 
 
-def _messages(owners: int):
+def _send(owners: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, digests = None, []
         for batch in batches:
             if batch.num_rows:
                 part = batch.column("part")[0].as_py()
                 digests += batch.column("sha").to_pylist()
-        if part is None:
-            return
-        own, counts = np.unique(_fingerprint(digests), return_counts=True)
-        owner = ((own >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
-        cuts = np.searchsorted(owner, np.arange(owners + 1))
-        filled = [i for i in range(owners) if cuts[i] < cuts[i + 1]]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(filled, pa.int32()), pa.array([part] * len(filled), pa.int32()),
-            pa.array([rice_encode(own[cuts[i]:cuts[i + 1]]) for i in filled], pa.binary()),
-            pa.array([np.packbits(counts[cuts[i]:cuts[i + 1]] > 1).tobytes() for i in filled], pa.binary()),
-        ], names=["owner", "part", "codes", "twice"])
+        if part is not None:
+            yield exchange.messages(part, _fingerprint(digests), owners)
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All messages of the owners in this partition: ranges are disjoint, so one count serves them all."""
-    rows = [row for batch in batches for row in zip(*[batch.column(n).to_pylist() for n in ("owner", "part", "codes", "twice")])]
-    if not rows:
-        return
-    sent = [rice_decode(codes) for _, _, codes, _ in rows]
-    twice = [np.unpackbits(np.frombuffer(flags, np.uint8), count=len(own)).astype(bool) for own, (_, _, _, flags) in zip(sent, rows)]
-    keys, counts = np.unique(np.concatenate(sent), return_counts=True)
-    again = np.union1d(keys[counts > 1], np.concatenate([own[t] for own, t in zip(sent, twice)]))
-    marks = [np.packbits(np.isin(own, again, assume_unique=True)).tobytes() for own in sent]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
-                                      pa.array(marks, pa.binary())], names=["owner", "part", "marks"])
-
-
 def _mark(owners: int):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         """Rows of one part with the bitmaps it got back."""
         fingerprints = _fingerprint(rows.column("sha").to_pylist())
-        own, place = np.unique(fingerprints, return_inverse=True)
-        owner = ((own >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
-        cuts = np.searchsorted(owner, np.arange(owners + 1))
-        marked = np.zeros(len(own), bool)
-        for at, marks in zip(answers.column("owner").to_pylist(), answers.column("marks").to_pylist()):
-            size = cuts[at + 1] - cuts[at]
-            marked[cuts[at]:cuts[at + 1]] = np.unpackbits(np.frombuffer(marks, np.uint8), count=int(size)).astype(bool)
-        return pa.table([rows.column("doc_id"), rows.column("sha"), rows.column("place"), pa.array(marked[place]),
+        repeated, _ = exchange.marks(fingerprints, answers, owners)
+        return pa.table([rows.column("doc_id"), rows.column("sha"), rows.column("place"), pa.array(repeated),
                          pa.array(fingerprints.view(np.int64), pa.int64())], names=["doc_id", "sha", "place", "suspect", "fp"])
     return run
 
@@ -148,9 +88,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     owners = shuffle_partitions(docs)
     rows = durable(source.select("doc_id", F.col("text").cast("string").alias("text"))
                    .mapInArrow(_digest, f"doc_id {id_type}, sha binary")
-                   .withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()))
-    answers = (rows.select("sha", "part").mapInArrow(_messages(owners), "owner int, part int, codes binary, twice binary")
-               .repartition(owners, "owner").mapInArrow(_answer, "owner int, part int, marks binary"))
+                   .withColumn("part", F.spark_partition_id().cast("long")).withColumn("place", F.monotonically_increasing_id()))
+    answers = (rows.select("sha", "part").mapInArrow(_send(owners), exchange.MESSAGE)
+               .repartition(owners, "owner").mapInArrow(exchange.answer, exchange.ANSWER))
     marked = durable(rows.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
         _mark(owners), f"doc_id {id_type}, sha binary, place long, suspect boolean, fp long"))
     suspects = marked.where("suspect")

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelweave.llm import exact_dedup, mixing, packing, quality, tokens, topk, warc
+from panelweave.llm import exact_dedup, mixing, packing, quality, repeats, tokens, topk, warc
 from panelweave.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +105,17 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
 def _(embeddings):
     return topk.top_k(embeddings)
+
+
+@query("op10_suffix_dedup", "documents", rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, row, len(w) AS n, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS h
+      FROM (SELECT *, unnest(range(greatest(len(w) - 49, 0))) AS i FROM d)),
+r AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY h) AS c FROM g) WHERE c > 1),
+b AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY row ORDER BY i) <= 50 THEN 0 ELSE 1 END AS opens FROM r),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY row ORDER BY i) AS span FROM b)
+SELECT doc_id, CAST(any_value(n) AS BIGINT) AS n_words, CAST(min(i) AS BIGINT) AS begin_word, CAST(max(i) + 50 AS BIGINT) AS end_word
+FROM s GROUP BY doc_id, row, span""")
+def _(docs):
+    return repeats.find(docs).select("doc_id", "n_words", F.explode("repeated").alias("s")).select(
+        "doc_id", "n_words", F.col("s.begin").alias("begin_word"), F.col("s.end").alias("end_word"))
