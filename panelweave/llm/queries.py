@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import exact_dedup, mixing, packing, quality, repeats, tokens, topk, warc
+from panelweave.llm import exact_dedup, lines, mixing, packing, quality, repeats, tokens, topk, warc
 from panelweave.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,16 @@ FROM s GROUP BY doc_id, row, span""")
 def _(docs):
     return repeats.find(docs).select("doc_id", "n_words", F.explode("repeated").alias("s")).select(
         "doc_id", "n_words", F.col("s.begin").alias("begin_word"), F.col("s.end").alias("end_word"))
+
+
+@query("op5_line_dedup", "documents", """
+WITH l AS (SELECT row, doc_id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS line
+           FROM (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key FROM k WHERE len(key) >= 1 GROUP BY key HAVING count(DISTINCT row) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f ON k.key = f.key GROUP BY row, doc_id""")
+def _(docs):
+    return lines.drop_frequent(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
