@@ -17,11 +17,12 @@ import operator
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import add_arrays, array_chunks, byte_values, pick
+from panelweave.llm.common import add_arrays, array_chunks, byte_values, named, pick
 from panelweave.operators.scale import hash_text
 from panelweave.session import durable
 
@@ -199,16 +200,14 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         "doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents the classifier accepts, with all their columns, in one more pass over the texts."""
-    x = durable(vectors(docs, id_col, text_col))
-    model = train(x, labels)
-
-    def run(text):
-        import pandas as pd
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents the classifier accepts, with all their columns; the model is applied in one more pass
+    over the texts, without a shuffle."""
+    model = train(durable(vectors(docs, id_col, text_col)), labels)
 
-        table = np.array([statistics((t or "").encode()) for t in text], np.float64).reshape(-1, STATISTICS)
-        return pd.Series(model.score(table) >= THRESHOLD)
+    def run(text: pd.Series) -> pd.Series:
+        table = np.array([statistics(value.encode()) for value in text], np.float64).reshape(-1, STATISTICS)
+        return pd.Series(model.score(table) >= threshold)
 
     keep = F.pandas_udf(run, "boolean")
-    return docs.where(keep(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    return docs.where(keep(F.coalesce(named(text_col).cast("string"), F.lit(""))))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import exact_dedup, lines, mixing, packing, quality, repeats, tokens, topk, warc
+from panelweave.llm import exact_dedup, jaccard, lines, mixing, packing, quality, repeats, tokens, topk, warc
 from panelweave.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,8 @@ SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
 FROM k LEFT JOIN f ON k.key = f.key GROUP BY row, doc_id""")
 def _(docs):
     return lines.drop_frequent(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op3_ngram_jaccard", "documents")
+def _(docs):
+    return jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
