@@ -48,7 +48,7 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 
 def windows(words: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of documents laid end to end: starts of the windows inside one document, and each one's minimiser (its
-    position and hash)."""
+    position and key)."""
     grams = gram_hashes(words, gram)
     anchors = sliding_argmin(grams, length - gram + 1)
     inside = np.ones(len(words), bool)
@@ -58,7 +58,7 @@ def windows(words: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tup
         inside[at[(at >= ends - sizes)]] = False
     starts = np.flatnonzero(inside[:len(anchors)])
     anchors = anchors[starts]
-    return starts, anchors, grams[anchors]
+    return starts, anchors, mix(grams[anchors])  # the smallest hashes crowd at zero; mixed again they spread
 
 
 def window_keys(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
