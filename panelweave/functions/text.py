@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 IGNORE = -100  # fixed value: label of tokens that do not count in the loss
 
-# frequent short words per language; the profile that decides the language of a text
+# frequent short words per language; a word stands in every list it belongs to, so that words
+# which languages share do not decide between them
 STOPWORDS: dict[str, tuple[str, ...]] = {
     "en": ("the", "and", "of", "to", "is", "it", "that", "for", "on", "as", "with", "this", "by",
-           "are", "was", "be", "at", "an", "in"),
+           "are", "was", "be", "at", "an", "in", "from", "or", "you", "he"),
     "fr": ("le", "la", "les", "de", "des", "du", "et", "un", "une", "dans", "que", "qui", "pour",
-           "avec", "est", "sur", "pas"),
+           "avec", "est", "sur", "pas", "en", "au", "par", "il", "on", "se", "ne"),
     "de": ("der", "die", "das", "und", "ist", "nicht", "mit", "für", "ein", "eine", "von", "auf",
-           "den", "dem", "zu", "im"),
-    "es": ("el", "los", "las", "y", "en", "con", "por", "para", "una", "del", "se", "su", "como",
-           "más", "no"),
+           "den", "dem", "zu", "im", "in", "an", "es", "als", "sich", "des"),
+    "es": ("el", "la", "los", "las", "de", "que", "y", "en", "con", "por", "para", "un", "una",
+           "del", "se", "su", "como", "más", "no", "al", "es", "lo", "o"),
 }
 
 
@@ -51,8 +52,8 @@ def overlapping_windows(text: Column, words: int, overlap: float) -> Column:
 
 def strip_direction_marks(text: Column) -> Column:
     """Remove embedding marks together with a newline right after them."""
-    # fixed values: the three directional control characters
-    return F.regexp_replace(text, "[‪‫‬]\n?", "")
+    # fixed values: the three directional control characters U+202A to U+202C
+    return F.regexp_replace(text, "[\u202a\u202b\u202c]\n?", "")
 
 
 def truncate_tokens(text: Column, n: int) -> Column:

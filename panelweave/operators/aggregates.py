@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.operators.scale import attach_stats, exact_percentiles, with_row
+from panelweave.operators.scale import attach_stats, exact_percentiles, null_safe_join, with_row
 
 
 def roll_up(df: DataFrame, detail: str, keys: Sequence[str], val: str, label: str) -> DataFrame:
@@ -120,6 +120,14 @@ def success_rate(panel: DataFrame, series: str, t: str, val: str, categories: Se
         "category", (F.col("rises") / (F.col("series") * F.col("__steps"))).alias("success_rate"))
 
 
+def mean_rate(categories: DataFrame, key: str, columns: Sequence[str], rates: DataFrame) -> DataFrame:
+    """Mean rate of each series' categories; null when none of them has a rate. The categories are
+    unpivoted and meet the rates (category, success_rate) in one join, whose hot keys can split."""
+    long = categories.select(key, F.explode(F.array(*columns)).alias("category"))
+    rated = null_safe_join(long, rates.select("category", "success_rate"), ["category"], "left", nulls_match=False)
+    return rated.groupBy(key).agg(F.avg("success_rate").alias("success_rate"))
+
+
 def attach_scalar(df: DataFrame, scalars: DataFrame) -> DataFrame:
     """Attach a one-row table to all rows; more than one row raises."""
     first = scalars.agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in scalars.columns])

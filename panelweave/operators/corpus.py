@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions import text as tx
 from panelweave.operators.ranks import keep_first
-from panelweave.operators.scale import global_index, hash_text, hash_unit, size_checked
-
-VOCABULARY_BROADCAST = 1_000_000  # rows; about 100 MB in memory
+from panelweave.operators.scale import global_index, hash_text, hash_unit
 
 
 def split_paragraphs(df: DataFrame, text: str, min_words: int, separator: str = r"\n{2,}") -> DataFrame:
@@ -39,7 +37,7 @@ def extract_after_marker(df: DataFrame, text: str, marker: str) -> DataFrame:
 
 def dedup_papers(df: DataFrame, term: str, pos: str, title: str = "title", author: str = "author") -> DataFrame:
     """One paper per (title, author): the earliest search term, and in it the last position."""
-    return keep_first(df, [title, author], [F.col(term), -F.col(pos)])
+    return keep_first(df, [title, author], [F.col(term), -F.col(pos)], [term, pos])
 
 
 def citation_filter(df: DataFrame, citations: str, least: int) -> DataFrame:
@@ -65,13 +63,17 @@ def vocabulary(df: DataFrame, doc: str, text: str, first_id: int = 0) -> DataFra
     return ranked.select("token", "n", (F.col("token_id") + first_id).alias("token_id"))
 
 
-def encode(df: DataFrame, doc: str, text: str, vocab: DataFrame) -> DataFrame:
-    """Token id array per document, in text order. A group is one document's own tokens. The
-    vocabulary is broadcast only when it is counted to be small."""
-    table = size_checked(vocab.select("token", "token_id"), VOCABULARY_BROADCAST)
-    joined = tokens(df, doc, text).join(table, "token")
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "token_id")))
-    return joined.groupBy(doc).agg(F.transform(ordered, lambda s: s["token_id"]).alias("ids"))
+def encode(df: DataFrame, doc: str, text: str, vocab: DataFrame, length: int | None = None) -> DataFrame:
+    """Token id array per document, in text order; only the first ``length`` tokens if given. A
+    group is one document's own tokens. Documents without tokens keep an empty array, tokens the
+    vocabulary lacks are left out. ``doc`` must be unique."""
+    words = F.filter(F.split(F.col(text), r"\s+", -1), lambda w: w != "")
+    kept = words if length is None else F.slice(words, 1, length)
+    found = (df.select(doc, F.posexplode_outer(kept).alias("pos", "token"))
+             .join(vocab.select("token", "token_id"), "token", "left"))
+    placed = F.when(F.col("token_id").isNotNull(), F.struct("pos", "token_id"))
+    ordered = F.sort_array(F.collect_list(placed))
+    return found.groupBy(doc).agg(F.transform(ordered, lambda s: s["token_id"]).alias("ids"))
 
 
 def pad_truncate_mask(df: DataFrame, ids: str, length: int, pad: int = 0) -> DataFrame:
@@ -95,21 +97,14 @@ def format_chat(df: DataFrame, layouts: Mapping[str, tuple[str, str]], family: s
     return df.withColumn("text", F.btrim(filled, F.lit(" ")))
 
 
-def flatten_chat(df: DataFrame, conv: str, turn: str, role: str, text: str,
-                 turns_per_row: int = 10_000) -> DataFrame:
-    """Turns in order as one text. ``valid`` tells whether user turns outnumber assistant turns by
-    0 or 1. A conversation beyond ``turns_per_row`` turns continues on further rows (``part``), so
-    no group is unbounded and nothing is cut."""
-    sides = df.groupBy(conv).agg(
-        F.sum((F.col(role) == "user").cast("int")).alias("__u"),
-        F.sum((F.col(role) == "assistant").cast("int")).alias("__a"))
-    valid = sides.select(conv, (F.col("__u") - F.col("__a")).isin(0, 1).cast("int").alias("valid"))
+def flatten_chat(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """The turns of a conversation, in order, as one text. ``valid`` tells whether user turns
+    outnumber assistant turns by 0 or 1. A group is one conversation, which is one output row."""
     line = F.concat(F.lit("<"), F.col(role), F.lit("> "), F.col(text))
-    parts = df.select(conv, F.floor(F.col(turn) / turns_per_row).alias("part"), F.struct(
-        F.col(turn).alias("t"), line.alias("line")).alias("__s"))
-    flat = parts.groupBy(conv, "part").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list("__s")), lambda s: s["line"]), "\n").alias("chat"))
-    return flat.join(valid, conv)
+    turns = F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), line.alias("line"))))
+    lead = F.sum((F.col(role) == "user").cast("int")) - F.sum((F.col(role) == "assistant").cast("int"))
+    return df.groupBy(conv).agg(F.array_join(F.transform(turns, lambda s: s["line"]), "\n").alias("chat"),
+                                lead.isin(0, 1).cast("int").alias("valid"))
 
 
 def split_docs(df: DataFrame, doc: str, train_share: float, seed: int) -> DataFrame:

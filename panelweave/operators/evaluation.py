@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.operators.scale import attach_stats, global_running_sum, with_row
+from panelweave.operators.scale import attach_stats, global_running_sum, null_safe_join, with_row
 
 
 def filter_experiments(config: DataFrame, model_parts: Sequence[str], model: str = "llm_name", **fields) -> DataFrame:
@@ -75,7 +75,7 @@ def all_metrics(df: DataFrame, by: Sequence[str], label: str = "related", pred:
         F.try_divide(tp, said).alias("precision"), F.try_divide(tp, true).alias("recall"),
         F.try_divide(2 * tp, said + true).alias("f1"),
         F.avg(F.abs(gap)).alias("calibration"), F.avg(gap * gap).alias("brier"))
-    return flat.join(roc_auc(df, by, truth, score), list(by), "left")
+    return null_safe_join(flat, roc_auc(df, by, truth, score), by)
 
 
 def exp_table(metrics: DataFrame, config: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

@@ -36,14 +36,30 @@ def minus(df: DataFrame, existing: DataFrame, on: Sequence[str]) -> DataFrame:
     return null_safe_join(df, existing.select(*on).distinct(), on, "left_anti")
 
 
-def naive_pairs(indicators: DataFrame, items: DataFrame, categories: Sequence[str], item_category: str,
-                nulls_match: bool = False) -> DataFrame:
-    """Indicators joined to the items that share one of their categories."""
+def category_sides(indicators: DataFrame, items: DataFrame, categories: Sequence[str], item_category: str,
+                   nulls_match: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The naive candidates in factored form: indicators by category and items by category, each only
+    where the other side has the category. All pairs of a category are the product of its two parts;
+    it is never built, as it grows with their product."""
     ids = [c for c in indicators.columns if c not in categories]
-    long = indicators.unpivot(ids, list(categories), "slot", item_category).drop("slot")
+    long = indicators.unpivot(ids, list(categories), "slot", item_category).drop("slot").distinct()
     if not nulls_match:
         long = long.where(F.col(item_category).isNotNull())
-    return null_safe_join(long.distinct(), items, [item_category], "inner", nulls_match)
+        items = items.where(F.col(item_category).isNotNull())
+    left = null_safe_join(long, items.select(item_category).distinct(), [item_category], "left_semi")
+    right = null_safe_join(items.distinct(), long.select(item_category).distinct(), [item_category], "left_semi")
+    return left, right
+
+
+def naive_pairs(listed: DataFrame, indicators: DataFrame, items: DataFrame, indicator: str, item: str,
+                categories: Sequence[str], item_category: str, nulls_match: bool = False) -> DataFrame:
+    """Of the listed (indicator, item) pairs those that share a category, with it: the list drives two
+    lookups, so the output has at most as many rows as the list has categories."""
+    long = indicators.unpivot([indicator], list(categories), "slot", item_category).drop("slot").distinct()
+    if not nulls_match:
+        long = long.where(F.col(item_category).isNotNull())
+    wanted = null_safe_join(listed.select(indicator, item).distinct(), long, [indicator], "inner", nulls_match=False)
+    return null_safe_join(wanted, items.select(item, item_category).distinct(), [item, item_category], "left_semi", nulls_match)
 
 
 def with_category(df: DataFrame, categories: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -53,7 +69,7 @@ def with_category(df: DataFrame, categories: DataFrame, on: Sequence[str]) -> Da
 
 def restrict(pairs: DataFrame, allowed: DataFrame, on: Sequence[str]) -> DataFrame:
     """Keep approved pairs."""
-    return pairs.join(allowed.select(*on), list(on), "left_semi")
+    return null_safe_join(pairs, allowed.select(*on).distinct(), on, "left_semi", nulls_match=False)
 
 
 def ordered_pairs(nodes: DataFrame, pairs: DataFrame, node_id: str, left: str, right: str) -> DataFrame:
@@ -76,12 +92,15 @@ def candidates(allowed: DataFrame, items: DataFrame, indicators: DataFrame, item
     return out if label is None else out.withColumn("label", label)
 
 
-def match_any(rows: DataFrame, key: str, categories: Sequence[str], programs: DataFrame,
+def match_any(listed: DataFrame, rows: DataFrame, key: str, categories: Sequence[str], programs: DataFrame,
               program: str, category: str) -> DataFrame:
-    """Distinct (key, program) whose program category is any of the row's categories."""
-    long = (rows.select(key, F.explode(F.array(*categories)).alias(category))
-            .where(F.col(category).isNotNull()).distinct())
-    return long.join(programs.select(program, category), category).select(key, program).distinct()
+    """Of the listed (key, program) pairs those whose program category is any of the row's categories:
+    linear in the list, however large a category is."""
+    known = null_safe_join(listed.select(key, program).distinct(), programs.select(program, F.col(category).alias("__c")).distinct(),
+                           [program], "inner", nulls_match=False)
+    own = rows.select(key, F.array(*categories).alias("__own"))
+    joined = null_safe_join(known, own, [key], "inner", nulls_match=False)
+    return joined.where(F.array_contains("__own", F.col("__c"))).select(key, program).distinct()
 
 
 def resolve(edges: DataFrame, items: DataFrame, indicators: DataFrame, item: str = "budget_item",

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.text import fill, single_spaced
-from panelweave.operators.ranks import top_n
 from panelweave.operators.scale import (
     attach_stats,
     hash_bucket,
@@ -21,7 +21,7 @@ from panelweave.operators.scale import (
 )
 from panelweave.session import durable
 
-SMALL_SAMPLE = 100_000
+EXAMPLE_QUESTION, EXAMPLE_ANSWER = "Example Question ", "Example Answer "  # fixed values
 STRIDE = 2_305_843_009_213_693_951  # prime 2^61 - 1: steps through any smaller range without repeats
 
 
@@ -65,11 +65,10 @@ def split_stratified(df: DataFrame, strata: Sequence[str], train_share: float, i
 
 
 def sample_n(df: DataFrame, n: int, ids: Sequence[str], seed: int = 42) -> DataFrame:
-    """n rows without replacement, all rows when there are no more. A small n is a top-n of the
-    hashes; a large one must not meet in one task and is cut from the hash ranks."""
-    if n > SMALL_SAMPLE:
-        return hash_rank(df, [], seed, ids, "__r").where(F.col("__r") < n).drop("__r")
-    return df.withColumn("__h", hash_text(seed, *ids)).orderBy("__h", *ids).limit(n).drop("__h")
+    """n rows without replacement, all rows when there are no more. Only ``ids``, which make rows
+    unique, are ranked; the rows are fetched by a semi-join."""
+    chosen = hash_rank(df.select(*ids), [], seed, ids, "__r").where(F.col("__r") < n)
+    return null_safe_join(df, chosen.select(*ids), ids, "left_semi")
 
 
 def sample_balanced(df: DataFrame, label: str, n: int, ids: Sequence[str], seed: int = 42) -> DataFrame:
@@ -95,59 +94,74 @@ def with_templates(pairs: DataFrame, templates: Sequence[str]) -> DataFrame:
 
 def prompts(pairs: DataFrame, templates: Sequence[str], columns: Sequence[str], effect: str = "") -> DataFrame:
     """Fill every template with the pair's names. Dots at both ends of a name go, an
-    "arbitrary" effect leaves its word blank, double spaces collapse."""
+    "arbitrary" effect leaves its word blank, double spaces collapse. ``template`` keeps the wording."""
     word = "" if effect == "arbitrary" else effect
     rows = with_templates(pairs, templates)
     shaped = single_spaced(fill(F.col("template"), effect=F.lit(word)))
     names = {c: F.btrim(F.col(c), F.lit(".")) for c in columns}
-    return rows.withColumn("prompt", fill(shaped, **names)).drop("template")
+    return rows.withColumn("prompt", fill(shaped, **names)).withColumn("template", shaped)
 
 
 def _draw(rows: DataFrame, keys: Sequence[str], examples: DataFrame, k: int, seed: int,
-          ids: Sequence[str], tag: str) -> DataFrame:
-    """k different examples per row: consecutive places, from a hashed start, in hash order."""
+          ids: Sequence[str], tag: str, left_out: Column | None) -> DataFrame:
+    """Up to k different examples per row. The pool in hash order is cut into k + 1 equal stretches
+    and a hash of the row picks one place in each, so no example repeats and the choices are
+    independent; what ``left_out`` says of (row, example) goes, and k of the rest stay."""
     placed = hash_rank(examples, [], f"{seed}{tag}", ids, "__at")
     size = examples.agg(F.count(F.lit(1)).alias("__size"))
-    start = hash_number(hash_text(f"{seed}{tag}", *keys))
-    wanted = (with_row(rows.select(*keys), size)
-              .withColumn("__d", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-              .where(F.col("__d") < F.col("__size"))
-              .withColumn("__at", (start + F.col("__d")) % F.col("__size")).drop("__size"))
-    return wanted.join(placed, "__at").drop("__at")
+    spots = with_row(rows, size).withColumn("__d", F.explode(F.sequence(F.lit(0), F.lit(k))))
+    edge = [F.floor((F.col("__d") + i) * F.col("__size") / (k + 1)) for i in (0, 1)]
+    spot = edge[0] + hash_number(hash_text(f"{seed}{tag}", *keys, "__d")) % (edge[1] - edge[0])
+    wanted = spots.where(edge[1] > edge[0]).withColumn("__at", spot.cast("bigint")).drop("__size")
+    drawn = wanted.join(placed, "__at").drop("__at")
+    return drawn if left_out is None else drawn.where(~F.coalesce(left_out, F.lit(False)))
 
 
-def _gather(drawn: DataFrame, keys: Sequence[str], line: Column) -> DataFrame:
-    # a group holds at most k examples
-    lines = F.sort_array(F.collect_list(F.struct(F.col("__d").alias("d"), line.alias("line"))))
-    return drawn.groupBy(*keys).agg(F.array_join(F.transform(lines, lambda s: s["line"]), "\n\n").alias("context"))
+def _chosen(drawn: DataFrame, keys: Sequence[str], k: int, order: Sequence[str], question: Column, answer: Column) -> DataFrame:
+    """The first k examples of each row as an array; a group holds at most k + 1."""
+    lines = F.sort_array(F.collect_list(F.struct(*order, question.alias("q"), answer.alias("a"))))
+    return drawn.groupBy(*keys).agg(F.slice(lines, 1, k).alias("__x"))
 
 
-def _numbered(question: Column, answer: Column) -> Column:
+def _context(lines: Column) -> Column:
     # fixed values: how an example is written
-    no = F.col("__d").cast("string")
-    return F.concat(F.lit("Example Question "), no, F.lit(": "), question,
-                    F.lit("\nExample Answer "), no, F.lit(": "), answer, F.lit("."))
+    def written(line: Column, i: Column) -> Column:
+        no = i.cast("string")
+        return F.concat(F.lit(EXAMPLE_QUESTION), no, F.lit(": "), line["q"],
+                        F.lit("\n" + EXAMPLE_ANSWER), no, F.lit(": "), line["a"], F.lit("."))
+    return F.array_join(F.transform(lines, written), "\n\n")
+
+
+def _prefixed(rows: DataFrame, contexts: DataFrame, keys: Sequence[str], prompt: str) -> DataFrame:
+    """Rows for which the pool has no example keep their bare prompt."""
+    joined = rows.join(contexts, list(keys), "left")
+    full = F.when(F.size("__x") > 0, F.concat(_context(F.col("__x")), F.lit("\n\n"), F.col(prompt))).otherwise(F.col(prompt))
+    return joined.withColumn(prompt, full).drop("__x")
 
 
 def with_shots(rows: DataFrame, keys: Sequence[str], examples: DataFrame, question: Column, answer: Column,
-               k: int, seed: int, ids: Sequence[str], prompt: str = "prompt") -> DataFrame:
-    """k labelled examples, numbered, in front of the prompt."""
-    context = _gather(_draw(rows, keys, examples, k, seed, ids, "any"), keys, _numbered(question, answer))
-    return rows.join(context, list(keys)).withColumn(prompt, F.concat("context", F.lit("\n\n"), prompt)).drop("context")
+               k: int, seed: int, ids: Sequence[str], prompt: str = "prompt", left_out: Column | None = None) -> DataFrame:
+    """k labelled examples, numbered, in front of the prompt. ``question`` and ``answer`` read the
+    row's columns (its own template, say) and the example's; ``examples`` should be the train part,
+    and ``left_out`` keeps a row's own pair from its prompt. Example columns must not clash with row
+    columns."""
+    drawn = _draw(rows.drop(prompt), keys, examples, k, seed, ids, "any", left_out)
+    return _prefixed(rows, _chosen(drawn, keys, k, ["__d"], question, answer), keys, prompt)
 
 
 def with_balanced_shots(rows: DataFrame, keys: Sequence[str], examples: DataFrame, label: str, question: Column,
-                        answer: Column, k: int, seed: int, ids: Sequence[str], prompt: str = "prompt") -> DataFrame:
+                        answer: Column, k: int, seed: int, ids: Sequence[str], prompt: str = "prompt",
+                        left_out: Column | None = None) -> DataFrame:
     """⌈k/2⌉ positive and ⌊k/2⌋ negative examples in hash order in front of the prompt."""
-    yes = _draw(rows, keys, examples.where(F.col(label) == "Yes"), -(-k // 2), seed, ids, "Yes")
-    drawn = yes
-    if k // 2:
-        drawn = yes.unionByName(_draw(rows, keys, examples.where(F.col(label) == "No"), k // 2, seed, ids, "No"))
-    # at most k rows per key meet in this window
-    shuffled = top_n(drawn.drop("__d").withColumn("__h", hash_text(seed, *keys, *ids)), keys, ["__h", *ids], k, "__p")
-    numbered = shuffled.withColumn("__d", F.col("__p") - 1)
-    context = _gather(numbered, keys, _numbered(question, answer))
-    return rows.join(context, list(keys)).withColumn(prompt, F.concat("context", F.lit("\n\n"), prompt)).drop("context")
+    parts = []
+    for name, share in (("Yes", -(-k // 2)), ("No", k // 2)):
+        if share:
+            drawn = _draw(rows.drop(prompt), keys, examples.where(F.col(label) == name), share, seed, ids, name, left_out)
+            mixed = drawn.withColumn("__h", hash_text(seed, *keys, *ids))
+            parts.append(_chosen(mixed, keys, share, ["__d", "__h", *ids], question, answer).select(*keys, F.explode("__x").alias("__e")))
+    both = reduce(lambda a, b: a.unionByName(b), parts)
+    lines = F.sort_array(F.collect_list(F.struct("__e.__h", *[f"__e.{c}" for c in ids], "__e.q", "__e.a")))
+    return _prefixed(rows, both.groupBy(*keys).agg(lines.alias("__x")), keys, prompt)
 
 
 def with_reversed(pairs: DataFrame, templates: Sequence[str], reversed_templates: Sequence[str],

@@ -6,14 +6,19 @@ are periods; windows over a series are bounded whatever the table size.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.operators.scale import with_row
+from panelweave.operators.scale import null_safe_join, with_row
+
+# the two Arrow functions below, with what they call, travel to the workers by value
+register_pickle_by_value(sys.modules[__name__])
 
 # fixed values of the smoothing kernel
 CONSTANT, LENGTH_SCALE, NOISE = 1.0, 2.0, 1.0
@@ -25,7 +30,9 @@ def deflate(df: DataFrame, prices: DataFrame, people: DataFrame, t: str, val: st
     (area…, t, population)."""
     at_base = prices.where(F.col(t) == base).agg(F.max("cpi").alias("__base"))
     factors = with_row(prices, at_base).select(t, (F.col("__base") / F.col("cpi")).alias("__f"))
-    joined = df.join(factors, t).join(people, [*area, t])
+    # few years: null-safe keys give the panel an exchange that can be split
+    joined = null_safe_join(df, factors, [t], "inner", nulls_match=False)
+    joined = null_safe_join(joined, people, [*area, t], "inner", nulls_match=False)
     return joined.withColumn("adjusted", F.col(val) * F.col("__f") / F.col("population")).drop("__f", "population")
 
 
@@ -46,12 +53,14 @@ def line_fit(panel: DataFrame, keys: Sequence[str], x: Column, y: str, where: Co
 
 def detrend(panel: DataFrame, key: str, t: str, val: str, train_end: int) -> DataFrame:
     """Remove the training line and add the training mean back. The fitted values average to the
-    training mean, so later periods keep their value."""
+    training mean, so later periods keep their value. With fewer than two training points there is
+    no line to remove and values stay."""
     position = F.col(t) - train_end
     fit = line_fit(panel, [key], position, val, F.col(t) <= train_end)
     line = F.col("intercept") + F.col("slope") * position
-    return panel.join(fit, key).withColumn(
-        "detrended", F.when(F.col(t) <= train_end, F.col(val) - line + F.col("mean")).otherwise(F.col(val))
+    removed = F.coalesce(F.col(val) - line + F.col("mean"), F.col(val))
+    return null_safe_join(panel, fit, [key]).withColumn(
+        "detrended", F.when(F.col(t) <= train_end, removed).otherwise(F.col(val))
     ).drop("slope", "intercept", "mean")
 
 

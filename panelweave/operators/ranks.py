@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from panelweave.operators.scale import attach_stats, global_index, null_safe_join, ordered_rank
 from panelweave.session import durable
 
-PUSHED_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
-
-
 def dup_flag(df: DataFrame, keys: Sequence[str], name: str = "is_dup") -> DataFrame:
     """1 when the key combination occurs more than once; nulls equal each other."""
     out = attach_stats(df, keys, [F.count(F.lit(1)).alias("__n")])
@@ -156,9 +153,9 @@ def reindex(relation: DataFrame, key: str, limit: int) -> DataFrame:
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int,
           name: str = "position") -> DataFrame:
-    """First n rows per key. Spark pushes a small rank limit below the shuffle, so every task
-    forwards at most n rows per key; a large one is cut from the range-partitioned order."""
-    if n > PUSHED_LIMIT:
+    """First n rows per key. Spark pushes a rank limit up to its own threshold below the shuffle, so
+    every task forwards at most n rows per key; beyond it the rows are cut from the range order."""
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
         ranked = ordered_rank(df, keys, order, name)
         return ranked.withColumn(name, F.col(name) + 1).where(F.col(name) <= n)
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -167,20 +164,31 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n:
 
 
 def line_range(df: DataFrame, first: int, last: int, order: Sequence[str]) -> DataFrame:
-    """Rows at positions first to last of the ordered table, both included."""
-    return global_index(df, order, "line").where(F.col("line").between(first, last))
-
-
-def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row per key, the smallest along the order. A plain aggregate, so a hot key is
-    reduced before the shuffle."""
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("__row"))
-    return picked.select("__row.*")
+    """Rows at positions first to last of the table ordered by columns that make rows unique, both
+    included. Only the ordering columns are ranked."""
+    placed = global_index(df.select(*order), order, "line").where(F.col("line").between(first, last))
+    return null_safe_join(df, placed, order, "inner")
+
+
+def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ids: Sequence[str] | None = None) -> DataFrame:
+    """One row per key, the smallest along the order, then by ``ids`` (default: the other columns),
+    which with the keys make rows unique. Long keys travel as digests, rows are not sorted: the first
+    ids are aggregated and the rows fetched by them."""
+    rest = list(ids) if ids is not None else [c for c in df.columns if c not in keys]
+    digest = F.sha2(F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"}), 256)
+    picked = df.groupBy(digest.alias("__key")).agg(F.min(F.struct(
+        *[c.alias(f"__o{i}") for i, c in enumerate(order)], *[F.col(c).alias(f"__i{i}") for i, c in enumerate(rest)])).alias("__f"))
+    chosen = picked.select("__key", *[F.col(f"__f.__i{i}").alias(f"__i{i}") for i in range(len(rest))])
+    same = digest == F.col("__key")
+    for i, c in enumerate(rest):
+        same = same & F.col(c).eqNullSafe(F.col(f"__i{i}"))
+    return df.join(chosen, same, "left_semi")
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
-    """Per key the row with the lexically last version."""
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.col(version)).alias("__row")).select("__row.*")
+    """Per key the row with the lexically last version; versions of one key differ."""
+    newest = df.groupBy(*keys).agg(F.max(version).alias(version))
+    return null_safe_join(df, newest, [*keys, version], "left_semi")
 
 
 def stitch_pages(pages: DataFrame, doc: str, page: str, text: str, marker: str,
@@ -203,3 +211,11 @@ def stitch_pages(pages: DataFrame, doc: str, page: str, text: str, marker: str,
     open_end = ~F.substring(body, -1, 1).isin(".", "!", "?")
     return joined.withColumn(text, F.when(low & broken & open_end, F.concat(body, F.lit(" "))).otherwise(
         F.col(text))).drop("__next")
+
+
+def stitched_text(pages: DataFrame, doc: str, page: str, text: str, marker: str, page_break: str = "\n\n\f") -> DataFrame:
+    """One text per document: its stitched pages in order. A group is one document, one output row;
+    documents that lose every page to the marker have none."""
+    ready = stitch_pages(pages, doc, page, text, marker, page_break)
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(page).alias("p"), F.col(text).alias("t"))))
+    return ready.groupBy(doc).agg(F.array_join(F.transform(ordered, lambda s: s["t"]), "").alias(text))

@@ -9,16 +9,33 @@ from pyspark.sql import functions as F
 
 from panelweave.operators.scale import attach_stats, null_safe_join
 
-LITERAL_LIMIT = 500  # a dictionary up to this size is folded into the expression
-
-
 def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], var: str, val: str) -> DataFrame:
     return df.unpivot(list(ids), list(values), var, val)
 
 
-def to_wide(df: DataFrame, ids: Sequence[str], key: str, val: str, values: Sequence,
+def _key_values(df: DataFrame, key: str, values: Sequence | None) -> list:
+    """The given keys, else all keys of the data (they become columns, so they are few)."""
+    if values is not None:
+        return list(values)
+    return sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).distinct().collect())
+
+
+def _guard_stray(columns: list[Column], kinds: list, names: list[str], key: str, values: list) -> list[Column]:
+    """Columns of a pivot, the first of which raises when a row's key is not among the values."""
+    known = F.coalesce(F.col(key).isin(*values), F.lit(False)) if values else F.lit(False)
+    stray = F.count(F.when(~known, F.lit(1))) > 0
+    message = F.lit(f"a {key} that is not among the listed ones")
+    first = F.when(stray, F.raise_error(message).cast(kinds[0])).otherwise(columns[0])
+    return [c.alias(n) for c, n in zip([first, *columns[1:]], names)]
+
+
+def to_wide(df: DataFrame, ids: Sequence[str], key: str, val: str, values: Sequence | None = None,
             strict: bool = True) -> DataFrame:
-    """Long to wide in one aggregation. With ``strict`` a repeated (ids, key) raises."""
+    """Long to wide in one aggregation. Without ``values`` every key of the data gets a column. With
+    ``strict`` a repeated (ids, key) and a key outside ``values`` raise."""
+    values = _key_values(df, key, values)
+    if not values:
+        return df.select(*ids).distinct()
     columns = []
     kind = df.schema[val].dataType
     for v in values:
@@ -27,22 +44,38 @@ def to_wide(df: DataFrame, ids: Sequence[str], key: str, val: str, values: Seque
         if strict:
             cell = F.when(F.count(F.when(hit, F.lit(1))) > 1,
                           F.raise_error(F.lit(f"more than one row for {key}={v}")).cast(kind)).otherwise(cell)
-        columns.append(cell.alias(str(v)))
-    return df.groupBy(*ids).agg(*columns)
-
-
-def to_wide_mean(df: DataFrame, ids: Sequence[str], key: str, val: str, values: Sequence) -> DataFrame:
-    """Long to wide, duplicates averaged, rows with a null id dropped."""
-    return df.na.drop(subset=list(ids)).groupBy(*ids).agg(
-        *[F.avg(F.when(F.col(key) == F.lit(v), F.col(val))).alias(str(v)) for v in values])
-
-
-def spread_numbered(df: DataFrame, key: str, val: str, prefix: str, n: int) -> DataFrame:
-    """Distinct values of a key in sorted order as prefix1 … prefixN; more than N raise."""
+        columns.append(cell)
+    names = [str(v) for v in values]
+    if strict:
+        return df.groupBy(*ids).agg(*_guard_stray(columns, [kind], names, key, values))
+    return df.groupBy(*ids).agg(*[c.alias(n) for c, n in zip(columns, names)])
+
+
+def to_wide_mean(df: DataFrame, ids: Sequence[str], key: str, val: str, values: Sequence | None = None,
+                 strict: bool = True) -> DataFrame:
+    """Long to wide, duplicates averaged, rows with a null id dropped. Keys as in :func:`to_wide`."""
+    values = _key_values(df, key, values)
+    if not values:
+        return df.na.drop(subset=list(ids)).select(*ids).distinct()
+    columns = [F.avg(F.when(F.col(key) == F.lit(v), F.col(val))) for v in values]
+    names = [str(v) for v in values]
+    named = (_guard_stray(columns, ["double"], names, key, values) if strict
+             else [c.alias(n) for c, n in zip(columns, names)])
+    return df.na.drop(subset=list(ids)).groupBy(*ids).agg(*named)
+
+
+def spread_numbered(df: DataFrame, key: str, val: str, prefix: str, n: int | None = None) -> DataFrame:
+    """Distinct values of a key in sorted order as prefix1 … prefixN. N is the most values any key
+    has, unless given; more than a given N raise."""
+    distinct = df.select(key, val).where(F.col(val).isNotNull()).distinct()
+    if n is None:
+        counts = distinct.groupBy(key).agg(F.count(F.lit(1)).alias("c"))
+        n = counts.agg(F.max("c")).first()[0] or 0
+    if n == 0:
+        return distinct.select(key)
     window = Window.partitionBy(key).orderBy(val)
     # the rank limit is pushed below the shuffle, so at most n+1 rows per key and task move
-    numbered = (df.select(key, val).where(F.col(val).isNotNull()).distinct()
-                .withColumn("__n", F.row_number().over(window)).where(F.col("__n") <= n + 1))
+    numbered = distinct.withColumn("__n", F.row_number().over(window)).where(F.col("__n") <= n + 1)
     kind = df.schema[val].dataType
     cells = [F.max(F.when(F.col("__n") == i, F.col(val))).alias(f"{prefix}{i}") for i in range(1, n + 1)]
     cells[-1] = F.when(F.max("__n") > n, F.raise_error(F.lit(f"more than {n} values")).cast(kind)).otherwise(
@@ -66,15 +99,16 @@ def drop_negative_series(df: DataFrame, key: str, period: str, val: str, last_ch
 
 
 def recode(df: DataFrame, col: str, mapping: Mapping[str, object] | DataFrame, out: str) -> DataFrame:
-    """Dictionary lookup, unmatched to null. Large dictionaries come as a (key, value) table."""
-    if isinstance(mapping, DataFrame):
-        renamed = mapping.toDF("__mk", "__mv")
-        return df.join(renamed, F.col(col) == F.col("__mk"), "left").withColumn(out, F.col("__mv")).drop(
-            "__mk", "__mv")
-    if len(mapping) > LITERAL_LIMIT:
-        raise ValueError("pass large dictionaries as a DataFrame")
-    literals = [F.lit(x) for pair in mapping.items() for x in pair]
-    return df.withColumn(out, F.create_map(*literals)[F.col(col)])
+    """Dictionary lookup, unmatched to null. A dictionary of any size becomes a (key, value) table;
+    Spark broadcasts it while it is small."""
+    if not isinstance(mapping, DataFrame):
+        kind = df.schema[col].dataType.simpleString()
+        values = "bigint" if all(isinstance(v, int) for v in mapping.values()) else "string"
+        mapping = df.sparkSession.createDataFrame(list(mapping.items()), f"k {kind}, v {values}")
+        if values == "bigint":
+            mapping = mapping.select("k", F.col("v").cast("int"))
+    renamed = mapping.toDF("__mk", "__mv")
+    return df.join(renamed, F.col(col) == F.col("__mk"), "left").withColumn(out, F.col("__mv")).drop("__mk", "__mv")
 
 
 def apply_rules(df: DataFrame, target: str, rules: Sequence[tuple[Column, object]],
@@ -126,4 +160,4 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def restrict_to(df: DataFrame, allowed: DataFrame, keys: Sequence[str], nulls_match: bool = False) -> DataFrame:
-    return null_safe_join(df, allowed.select(*keys), keys, "left_semi", nulls_match)
+    return null_safe_join(df, allowed.select(*keys).distinct(), keys, "left_semi", nulls_match)

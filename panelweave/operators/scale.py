@@ -19,20 +19,10 @@ HASH_DIGITS = 4  # 65,536 buckets: a key with 10^12 rows still has about 15 mill
 _IN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a source that is read in fewer tasks than there are cores, hashed over all cores
-    before row-local heavy work. A source with enough tasks stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
-def size_checked(small: DataFrame, limit: int) -> DataFrame:
-    """Mark a side for broadcast when it is known to have at most ``limit`` rows, else for a
-    shuffled join, whose hot partitions the adaptive skew join splits. Counts at most limit + 1
-    rows; give it a frame that is cheap to read again."""
-    if small.limit(limit + 1).count() <= limit:
-        return F.broadcast(small)
-    return small.hint("merge")
+def spread(df: DataFrame, key: str, tasks: int | None) -> DataFrame:
+    """Rows hashed over the given number of tasks, for a source that is read in too few for heavy
+    row-local work. The caller decides; None leaves the source as it is."""
+    return df if tasks is None else df.repartition(tasks, key)
 
 
 def with_row(df: DataFrame, row: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions import answers as an
-from panelweave.functions.numbers import clamp_rate, mean_of_present
+from panelweave.functions.numbers import clamp_rate
 from panelweave.operators import aggregates as ag
 from panelweave.operators import answers as ans
 from panelweave.operators import corpus as cp
@@ -23,7 +23,7 @@ def prediction_table(pairs: DataFrame, ids: Sequence[str], names: Sequence[str],
     """Pairs to prompts, answers (a table of ids, member, answer) to labels, labels to one
     distribution per pair. Prompts and predictions of a pair stay together as arrays; a pair has
     one entry per template."""
-    asked = pr.prompts(pairs, templates, names, effect)
+    asked = pr.prompts(pairs, templates, names, effect).drop("template")
     parsed = asked.join(answers, [*ids, "member"]).withColumn("prediction", an.parse_yes_no(F.col("answer")))
     one_hot = parsed.withColumn("__p", an.one_hot(F.col("prediction")))
     distribution = ans.agg_distribution(one_hot, ids, F.col("__p"))
@@ -64,8 +64,5 @@ def calibration_inputs(panel: DataFrame, categories: DataFrame, key: str, t: str
         F.max(F.when(F.col(t) == max(years), F.col("scaled"))).alias("final"))
     train = filled.where(F.col(t) <= train_end).select(key, t, val).join(categories, key)
     rates = ag.success_rate(train, key, t, val, category_columns)
-    out = ends.join(categories, key)
-    for i, column in enumerate(category_columns):
-        out = out.join(rates.toDF(column, f"__r{i}"), column, "left")
-    mean = mean_of_present(*[F.col(f"__r{i}") for i in range(len(category_columns))])
-    return out.select(key, "start", "final", clamp_rate(mean).alias("success_rate"))
+    means = ag.mean_rate(categories.select(key, *category_columns), key, category_columns, rates)
+    return ends.join(means, key).select(key, "start", "final", clamp_rate(F.col("success_rate")).alias("success_rate"))

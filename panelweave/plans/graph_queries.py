@@ -41,13 +41,17 @@ _ITEMS = "items AS (SELECT DISTINCT p_brand AS item, p_type AS category FROM par
 
 @query("join_category", f"""WITH {_ITEMS}, ind AS (SELECT c_custkey AS indicator, CASE WHEN c_acctbal > 0 THEN 'PROMO' END AS category1,
     CASE WHEN c_nationkey < 5 THEN 'ECONOMY' END AS category2 FROM customer),
-  long AS (SELECT indicator, category1 AS category FROM ind UNION SELECT indicator, category2 FROM ind)
-  SELECT indicator, item, l.category FROM long l JOIN items i ON i.category = l.category""")
+  long AS (SELECT indicator, category1 AS category FROM ind UNION SELECT indicator, category2 FROM ind),
+  listed AS (SELECT DISTINCT o_custkey AS indicator, p_brand AS item FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)
+  SELECT s.indicator, s.item, l.category FROM listed s JOIN long l ON l.indicator = s.indicator JOIN (SELECT DISTINCT item, category FROM items) i
+    ON i.item = s.item AND i.category = l.category""")
 def _(t):
     items = t.part.select(F.col("p_brand").alias("item"), F.col("p_type").alias("category")).distinct()
     ind = t.customer.select(F.col("c_custkey").alias("indicator"), F.when(F.col("c_acctbal") > 0, "PROMO").alias("category1"),
                             F.when(F.col("c_nationkey") < 5, "ECONOMY").alias("category2"))
-    return jn.naive_pairs(ind, items, ["category1", "category2"], "category")
+    bought = (t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+              .select(F.col("o_custkey").alias("indicator"), F.col("p_brand").alias("item")))
+    return jn.naive_pairs(bought, ind, items, "indicator", "item", ["category1", "category2"], "category")
 
 
 @query("join_outer_category", """SELECT coalesce(n_nationkey, c_nationkey) AS nation, n_name, n FROM (SELECT DISTINCT n_nationkey, n_name FROM nation)
@@ -102,9 +106,11 @@ def _prog(t):
         F.concat(F.lit("size "), (F.col("s_nationkey") + 20).cast("string"))).alias("category"))
 
 
-@query("any_of_match_join", f"""WITH {fx.NODES}, {_PROG} SELECT DISTINCT node, program FROM nodes JOIN prog ON category = c1 OR category = c2 OR category = c3""")
+@query("any_of_match_join", f"""WITH {fx.NODES}, {_PROG} SELECT DISTINCT node, program FROM (SELECT DISTINCT l_partkey AS node, l_suppkey AS program FROM lineitem) JOIN nodes USING (node) JOIN prog USING (program)
+  WHERE category = c1 OR category = c2 OR category = c3""")
 def _(t):
-    return jn.match_any(fx.nodes(t), "node", ["c1", "c2", "c3"], _prog(t), "program", "category")
+    listed = t.lineitem.select(F.col("l_partkey").alias("node"), F.col("l_suppkey").alias("program"))
+    return jn.match_any(listed, fx.nodes(t), "node", ["c1", "c2", "c3"], _prog(t), "program", "category")
 
 
 # ---- name resolution and item lists ----------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions import answers as an
 from panelweave.functions import uncertainty as un
+from panelweave.functions.text import fill
 from panelweave.operators import answers as ans
 from panelweave.operators import evaluation as ev
 from panelweave.operators import pairs as pr
@@ -80,51 +81,73 @@ def all_templates_sql(columns: str, templates=TEMPLATES, effect="directly", extr
 
 @query("fill_template", f"WITH {PAIRS} {all_templates_sql('row_id, budget_item, indicator, related')}")
 def _(t):
-    return pr.prompts(fx.pairs(t), TEMPLATES, ["budget_item", "indicator"], "directly")
+    return pr.prompts(fx.pairs(t), TEMPLATES, ["budget_item", "indicator"], "directly").drop("template")
 
 
 @query("fill_template_arbitrary", f"WITH {PAIRS} {all_templates_sql('row_id, budget_item, indicator, related', effect='')}")
 def _(t):
-    return pr.prompts(fx.pairs(t), TEMPLATES, ["budget_item", "indicator"], "arbitrary")
+    return pr.prompts(fx.pairs(t), TEMPLATES, ["budget_item", "indicator"], "arbitrary").drop("template")
 
 
 def _draw_sql(tag: str, k: int, pool: str) -> str:
-    """k consecutive places of the hashed pool for each row and member."""
-    return f"""SELECT a.row_id, a.member, d, e.budget_item, e.indicator, e.related, e.row_id AS example FROM asked a, range({k}) r(d),
-      (SELECT count(*) AS size FROM pairs WHERE {pool}) JOIN (SELECT *, row_number() OVER (ORDER BY {sql_hash('3' + tag, 'row_id')}, row_id) - 1 AS pos
-      FROM pairs WHERE {pool}) e ON e.pos = ({sql_unit(sql_hash('3' + tag, 'a.row_id', 'a.member'))} + d) % size WHERE d < size"""
+    """One place in each of k + 1 stretches of the hashed train pool for each row and member; the row's own pair goes."""
+    place = f"lo + {sql_unit(sql_hash('3' + tag, 'row_id', 'member', 'd'))} % (hi - lo)"
+    return f"""SELECT * FROM (SELECT s.row_id, s.member, d, e.budget_item, e.indicator, e.related, e.row_id AS example,
+      row_number() OVER (PARTITION BY s.row_id, s.member ORDER BY d) - 1 AS nth FROM (SELECT *, {place} AS pos FROM (
+        SELECT row_id, member, d, d * size // {k + 1} AS lo, (d + 1) * size // {k + 1} AS hi FROM asked, range({k + 1}) r(d),
+        (SELECT count(*) AS size FROM train WHERE {pool})) WHERE hi > lo) s
+      JOIN (SELECT *, row_number() OVER (ORDER BY {sql_hash('3' + tag, 'row_id')}, row_id) - 1 AS pos FROM train WHERE {pool}) e ON e.pos = s.pos
+      WHERE e.row_id <> s.row_id) WHERE nth < {k}"""
 
 
-_ASKED = f"{PAIRS}, asked AS ({all_templates_sql('row_id')})"
-_SHOT = "'Example Question ' || CAST(d AS VARCHAR) || ': ' || budget_item || ' and ' || indicator || '?' || chr(10) || 'Example Answer ' || CAST(d AS VARCHAR) || ': ' || related || '.'"
+_TRAIN = f"""train AS (SELECT row_id, budget_item, indicator, related FROM (SELECT *, row_number() OVER (PARTITION BY budget_item, related
+    ORDER BY {sql_hash(10, 'row_id')}, row_id) - 1 AS r, count(*) OVER (PARTITION BY budget_item, related) AS n FROM pairs) WHERE r < floor(n * 0.2 + 0.5))"""
+_ASKED = f"{PAIRS}, {_TRAIN}, asked AS ({all_templates_sql('row_id')})"
+
+
+def _shot_sql(number: str) -> str:
+    """An example in the wording of the prompt's own member."""
+    worded = " ".join(f"WHEN {i} THEN {_sql_example(x)}" for i, x in enumerate(TEMPLATES))
+    return (f"'{pr.EXAMPLE_QUESTION}' || CAST({number} AS VARCHAR) || ': ' || CASE member {worded} END || chr(10) || "
+            f"'{pr.EXAMPLE_ANSWER}' || CAST({number} AS VARCHAR) || ': ' || related || '.'")
+
+
+def _sql_example(template: str) -> str:
+    text = template.replace("{effect}", "directly").replace("'", "''")
+    return f"replace(replace('{text}', '{{budget_item}}', budget_item), '{{indicator}}', indicator)"
 
 
 def _asked(t):
     return pr.prompts(fx.pairs(t).select("row_id", "budget_item", "indicator"), TEMPLATES,
-                      ["budget_item", "indicator"], "directly").select("row_id", "member", "prompt")
+                      ["budget_item", "indicator"], "directly").select("row_id", "member", "prompt", "template")
 
 
 def _question():
-    return F.concat("budget_item", F.lit(" and "), "indicator", F.lit("?"))
+    return fill(F.col("template"), budget_item=F.col("budget_item"), indicator=F.col("indicator"))
 
 
 def _examples(t):
-    return fx.pairs(t).withColumnRenamed("row_id", "example")
+    train = pr.split_stratified(fx.pairs(t), ["budget_item", "related"], 0.2, ["row_id"], 10).where("split = 'train'")
+    return train.drop("split").withColumnRenamed("row_id", "example")
 
 
 @query("kshot_context", f"""WITH {_ASKED}, drawn AS ({_draw_sql('any', 3, 'true')}),
-  ctx AS (SELECT row_id, member, string_agg({_SHOT}, chr(10) || chr(10) ORDER BY d) AS context FROM drawn GROUP BY 1, 2)
-  SELECT a.row_id, a.member, context || chr(10) || chr(10) || prompt AS prompt FROM asked a JOIN ctx c ON c.row_id = a.row_id AND c.member = a.member""")
+  ctx AS (SELECT row_id, member, string_agg({_shot_sql('nth')}, chr(10) || chr(10) ORDER BY nth) AS context FROM drawn GROUP BY 1, 2)
+  SELECT a.row_id, a.member, coalesce(context || chr(10) || chr(10), '') || prompt AS prompt FROM asked a LEFT JOIN ctx c ON c.row_id = a.row_id AND c.member = a.member""")
 def _(t):
-    return pr.with_shots(_asked(t), ["row_id", "member"], _examples(t), _question(), F.col("related"), 3, 3, ["example"])
+    shots = pr.with_shots(_asked(t), ["row_id", "member"], _examples(t), _question(), F.col("related"), 3, 3, ["example"],
+                          left_out=F.col("row_id") == F.col("example"))
+    return shots.drop("template")
 
 
 @query("kshot_balanced", f"""WITH {_ASKED}, both_labels AS ({_draw_sql('Yes', 2, "related = 'Yes'")} UNION ALL {_draw_sql('No', 1, "related = 'No'")}),
-  drawn AS (SELECT * EXCLUDE (d), row_number() OVER (PARTITION BY row_id, member ORDER BY {sql_hash(3, 'row_id', 'member', 'example')}, example) - 1 AS d FROM both_labels),
-  ctx AS (SELECT row_id, member, string_agg({_SHOT}, chr(10) || chr(10) ORDER BY d) AS context FROM drawn GROUP BY 1, 2)
-  SELECT a.row_id, a.member, context || chr(10) || chr(10) || prompt AS prompt FROM asked a JOIN ctx c ON c.row_id = a.row_id AND c.member = a.member""")
+  drawn AS (SELECT *, row_number() OVER (PARTITION BY row_id, member ORDER BY {sql_hash(3, 'row_id', 'member', 'example')}, example) - 1 AS place FROM both_labels),
+  ctx AS (SELECT row_id, member, string_agg({_shot_sql('place')}, chr(10) || chr(10) ORDER BY place) AS context FROM drawn GROUP BY 1, 2)
+  SELECT a.row_id, a.member, coalesce(context || chr(10) || chr(10), '') || prompt AS prompt FROM asked a LEFT JOIN ctx c ON c.row_id = a.row_id AND c.member = a.member""")
 def _(t):
-    return pr.with_balanced_shots(_asked(t), ["row_id", "member"], _examples(t), "related", _question(), F.col("related"), 3, 3, ["example"])
+    shots = pr.with_balanced_shots(_asked(t), ["row_id", "member"], _examples(t), "related", _question(), F.col("related"), 3, 3, ["example"],
+                                   left_out=F.col("row_id") == F.col("example"))
+    return shots.drop("template")
 
 
 _STRAIGHT = [x + OPTIONS for x in TEMPLATES]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from panelweave.functions import names as nm
-from panelweave.functions.numbers import clamp_rate, mean_of_present
+from panelweave.functions.numbers import clamp_rate
 from panelweave.operators import aggregates as ag
 from panelweave.operators import panel as pn
 from panelweave.operators import ranks as rk
@@ -48,7 +50,7 @@ def _(t):
        "FROM (SELECT DISTINCT p_brand, p_type FROM part)) SELECT p_brand, " + ", ".join(
            f"max(CASE WHEN n = {i} THEN p_type END) AS category{i}" for i in range(1, 7)) + " FROM d GROUP BY 1")
 def _(t):
-    return rc.spread_numbered(t.part, "p_brand", "p_type", "category", 6)
+    return rc.spread_numbered(t.part, "p_brand", "p_type", "category")
 
 
 @query("truncate_year_columns", f"WITH {PANEL} SELECT series, year, value FROM panel WHERE year BETWEEN 1996 AND 2000")
@@ -291,10 +293,8 @@ def _(t):
 @query("mean_of_present", f"""WITH {_RATES} SELECT cat.series, {sql_rnd('(coalesce(a.rate, 0) + coalesce(b.rate, 0) + coalesce(c.rate, 0)) / ((a.rate IS NOT NULL)::INT + (b.rate IS NOT NULL)::INT + (c.rate IS NOT NULL)::INT)', 6)} AS success_rate
   FROM cat LEFT JOIN rates a ON category1 = a.category LEFT JOIN rates b ON category2 = b.category LEFT JOIN rates c ON category3 = c.category""")
 def _(t):
-    rates, out = _rates(t), customer_categories(t)
-    for i in (1, 2, 3):
-        out = out.join(rates.toDF(f"category{i}", f"r{i}"), f"category{i}", "left")
-    return out.select("series", rnd(mean_of_present(F.col("r1"), F.col("r2"), F.col("r3")), 6).alias("success_rate"))
+    means = ag.mean_rate(customer_categories(t), "series", ["category1", "category2", "category3"], _rates(t))
+    return means.select("series", rnd(F.col("success_rate"), 6).alias("success_rate"))
 
 
 @query("governance_mean", f"""WITH {PANEL}, g AS (SELECT avg(s) AS qm FROM (SELECT year, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS s
@@ -457,12 +457,10 @@ def _(t):
   f AS (SELECT series, count(*) AS n, avg(x) AS mx, avg(value) AS my FROM p WHERE year <= {TRAIN_END} GROUP BY 1),
   s AS (SELECT p.series, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, sum((x - mx) * (value - my)) AS sxy, sum((x - mx) * (x - mx)) AS sxx
     FROM p JOIN f ON f.series = p.series WHERE year <= {TRAIN_END} GROUP BY 1)
-  SELECT p.series, year, {sql_rnd(f'CASE WHEN year <= {TRAIN_END} THEN CASE WHEN n >= 2 THEN value - (x - mx) * sxy / sxx END ELSE value END', 4)} AS detrended
-  FROM p JOIN s ON s.series = p.series""")
+  SELECT p.series, year, {sql_rnd(f'CASE WHEN year <= {TRAIN_END} AND n >= 2 THEN value - (x - mx) * sxy / sxx ELSE value END', 4)} AS detrended
+  FROM p LEFT JOIN s ON s.series = p.series""")
 def _(t):
-    df = fx.panel(t)
-    trained = df.where(F.col("year") <= TRAIN_END).select("series").distinct()
-    return pn.detrend(df.join(trained, "series", "left_semi"), "series", "year", "value", TRAIN_END).select(
+    return pn.detrend(fx.panel(t), "series", "year", "value", TRAIN_END).select(
         "series", "year", rnd(F.col("detrended"), 4).alias("detrended"))
 
 
@@ -528,9 +526,47 @@ def _(t):
     return pn.endpoint_floor(_coarse(t), "series", "year", "value", 2005).withColumn("final", rnd(F.col("final")))
 
 
-@query("gap_fill_kernel")
+def smoothing_weights(axis: list[int], known: list[int]) -> dict[tuple[int, int], float]:
+    """(year, known year) -> weight of its value in the smoothed value of the year, by elimination in
+    plain Python: the SQL twins share no numeric code with the operators."""
+    def kernel(a: int, b: int) -> float:
+        d = math.sqrt(3) * abs(a - b) / 2.0
+        return 1.0 + (1.0 + d) * math.exp(-d)
+
+    n = len(known)
+    rows = [[kernel(a, b) + (a == b) for b in known] + [kernel(a, y) for y in axis] for a in known]
+    for i in range(n):
+        rows[i] = [x / rows[i][i] for x in rows[i]]
+        for j in range(n):
+            if j != i:
+                rows[j] = [x - rows[j][i] * y for x, y in zip(rows[j], rows[i])]
+    out = {}
+    for c, y in enumerate(axis):
+        column = [rows[i][n + c] for i in range(n)]
+        rest = (1.0 - sum(column)) / n  # the mean of the known values takes what the weights leave
+        out |= {(y, a): w + rest for a, w in zip(known, column)}
+    return out
+
+
+def _weights_sql(axis: list[int], patterns: dict[int, list[int]]) -> str:
+    rows = [f"({mask}, {y}, {a}, CAST('{w!r}' AS DOUBLE))" for mask, known in patterns.items() for (y, a), w in smoothing_weights(axis, known).items()]
+    return "weights(mask, year, known, c) AS (VALUES " + ", ".join(rows) + ")"
+
+
+_FIVE = list(range(1995, 2000))
+_KNOWN = {mask: [y for i, y in enumerate(_FIVE) if mask >> i & 1] for mask in range(1, 32)}
+
+
+@query("gap_fill_kernel", f"""WITH {PANEL}, {_weights_sql(_FIVE, _KNOWN)}, w AS (SELECT * FROM panel WHERE year BETWEEN 1995 AND 1999),
+  m AS (SELECT series, CAST(sum(1 << (year - 1995)) AS INTEGER) AS mask FROM w GROUP BY 1),
+  g AS (SELECT series, mask, CAST(y AS INTEGER) AS year FROM m, range(1995, 2000) r(y)),
+  f AS (SELECT g.series, g.year, sum(c * w.value) AS value FROM g JOIN weights k ON k.mask = g.mask AND k.year = g.year
+    JOIN w ON w.series = g.series AND w.year = k.known GROUP BY 1, 2)
+  SELECT f.series, f.year, {sql_rnd('coalesce(w.value, f.value)', 2)} AS value, CASE WHEN w.value IS NULL THEN 1 ELSE 0 END AS imputed
+  FROM f LEFT JOIN w ON w.series = f.series AND w.year = f.year""")
 def _(t):
-    return pn.gap_fill(fx.panel(t), "series", "year", "value", list(range(1995, 2000)))
+    return pn.gap_fill(fx.panel(t), "series", "year", "value", _FIVE).select(
+        "series", "year", rnd(F.col("value"), 2).alias("value"), F.col("imputed").cast("int").alias("imputed"))
 
 
 @query("gap_fill_linear", f"""WITH {PANEL}, w AS (SELECT * FROM panel WHERE year BETWEEN 1995 AND 1999),
@@ -545,9 +581,15 @@ def _(t):
         "series", "year", rnd(F.col("value"), 2).alias("value"), F.col("imputed").cast("int").alias("imputed"))
 
 
-@query("forecast_from_fall")
+@query("forecast_from_fall", f"""WITH {PROGRAMS}, {_weights_sql(YEARS, {n: YEARS[:n] for n in range(1, len(YEARS))})},
+  d AS (SELECT *, amount < lag(amount) OVER (PARTITION BY program ORDER BY year) AS falls FROM programs),
+  s AS (SELECT program, min(year) AS start FROM d WHERE falls GROUP BY 1),
+  f AS (SELECT s.program, k.year, sum(c * p.amount) AS fitted FROM s JOIN weights k ON k.mask = s.start - {YEARS[0]}
+    JOIN programs p ON p.program = s.program AND p.year = k.known GROUP BY 1, 2)
+  SELECT p.program, p.year, {sql_rnd('CASE WHEN p.year < start THEN amount ELSE greatest(amount, fitted) END', 2)} AS amount
+  FROM programs p JOIN s ON s.program = p.program JOIN f ON f.program = p.program AND f.year = p.year""")
 def _(t):
-    return pn.forecast(fx.programs(t), "program", "year", "amount", YEARS)
+    return pn.forecast(fx.programs(t), "program", "year", "amount", YEARS).select("program", "year", rnd(F.col("amount"), 2).alias("amount"))
 
 
 @query("schedule_hold_last", f"""WITH {PROGRAMS} SELECT program, CAST(i AS INTEGER) AS year, a AS amount FROM

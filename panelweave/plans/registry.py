@@ -37,6 +37,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def text_tasks(spark: SparkSession) -> int | None:
+    """Tasks over which the session wants texts dealt before heavy row-local work, for sources that
+    are read in too few; None, the default, leaves the source's own tasks."""
+    asked = spark.conf.get("spark.panelweave.textTasks", None)
+    return int(asked) if asked else None
+
+
 def rnd(value: Column, digits: int = 4) -> Column:
     return half_up(value, digits)
 

@@ -43,19 +43,24 @@ def _(t):
 @query("read_text_corpus", "SELECT item_id, text FROM benchmark")
 def _(t):
     path = io.scratch_folder(t.spark)
-    t.benchmark.select("item_id", "text").repartition("item_id").write.partitionBy("item_id").text(path)
+    # a file holds the texts of one bucket, each behind a line with its id
+    marked = F.concat(F.lit("\f"), F.col("item_id").cast("string"), F.lit("\n"), "text")
+    t.benchmark.select((F.col("item_id") % 8).alias("bucket"), marked.alias("text")).repartition("bucket").write.partitionBy("bucket").text(path)
     files = io.read_corpus(t.spark, path, "*.txt")
-    return files.select(F.regexp_extract("path", r"item_id=(\d+)/", 1).cast("bigint").alias("item_id"),
-                        F.regexp_replace("text", r"\n\z", "").alias("text"))
+    parts = files.select(F.explode(F.slice(F.split("text", "\f"), 2, 2 ** 30)).alias("part"))
+    return parts.select(F.substring_index("part", "\n", 1).cast("bigint").alias("item_id"),
+                        F.regexp_replace("part", r"\A\d+\n|\n\z", "").alias("text"))
 
 
-@query("read_binary_docs", """SELECT CAST(item_id % 7 AS INTEGER) AS term_idx, CAST(item_id AS INTEGER) AS pos,
-  'title ' || CAST(item_id AS VARCHAR) AS title, md5(text || chr(10)) AS digest FROM benchmark""")
+@query("read_binary_docs", """SELECT CAST(item_id % 7 AS INTEGER) AS term_idx, CAST(item_id % 7 + 100 AS INTEGER) AS pos, 'title ' || CAST(item_id % 7 AS VARCHAR) AS title,
+  md5(string_agg(text, chr(10) ORDER BY item_id) || chr(10)) AS digest FROM benchmark GROUP BY item_id % 7""")
 def _(t):
     path = io.scratch_folder(t.spark)
-    docs = t.benchmark.select((F.col("item_id") % 7).cast("int").alias("term_idx"), F.col("item_id").cast("int").alias("pos"), "text")
-    docs.repartition("term_idx", "pos").write.partitionBy("term_idx", "pos").text(path)
-    index = docs.select("term_idx", "pos", F.concat(F.lit("title "), F.col("pos").cast("string")).alias("title"))
+    term = (F.col("item_id") % 7).cast("int")
+    docs = t.benchmark.select(term.alias("term_idx"), (term + 100).alias("pos"), "item_id", "text")  # one document per term
+    (docs.repartition("term_idx").sortWithinPartitions("term_idx", "item_id").drop("item_id")
+     .write.partitionBy("term_idx", "pos").text(path))
+    index = docs.select("term_idx", "pos", F.concat(F.lit("title "), F.col("term_idx").cast("string")).alias("title")).distinct()
     stored = io.read_docs(t.spark, path, index, "*.txt", r"term_idx=(\d+)/", r"pos=(\d+)/")
     return stored.select("term_idx", "pos", "title", F.md5("content").alias("digest"))
 

@@ -9,11 +9,11 @@ from panelweave.functions import text as tx
 from panelweave.operators import corpus as cp
 from panelweave.operators import ranks as rk
 from panelweave.operators.scale import spread
-from panelweave.plans.registry import query, sql_hash, sql_unit
+from panelweave.plans.registry import query, sql_hash, sql_unit, text_tasks
 
 
 def _docs(t):
-    return spread(t.documents.select("doc_id", "text"), "doc_id")
+    return spread(t.documents.select("doc_id", "text"), "doc_id", text_tasks(t.spark))
 
 
 # outer newlines off, lone newlines off unless a non-ASCII character follows
@@ -58,9 +58,9 @@ def _(t):
 
 
 @query("strip_direction_marks", "SELECT doc_id, md5(regexp_replace(replace(text, ' the ', ' ' || chr(8235) || 'the' || chr(8236) || chr(10)), "
-       "'[‪‫‬]\\n?', '', 'g')) AS digest FROM documents")
+       "'[' || chr(8234) || chr(8235) || chr(8236) || ']\\n?', '', 'g')) AS digest FROM documents")
 def _(t):
-    marked = F.replace(F.col("text"), F.lit(" the "), F.lit(" ‫the‬\n"))
+    marked = F.replace(F.col("text"), F.lit(" the "), F.lit(" \u202bthe\u202c\n"))
     return t.documents.select("doc_id", F.md5(tx.strip_direction_marks(marked)).alias("digest"))
 
 
@@ -110,12 +110,13 @@ def _(t):
 _TOKENS = """tok AS (SELECT doc_id, generate_subscripts(ts, 1) AS pos, unnest(ts) AS token FROM (
     SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ts FROM documents)),
   vocab AS (SELECT token, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, encode(token)) - 1 + {first} AS token_id FROM tok GROUP BY 1),
-  ids AS (SELECT doc_id, list(token_id ORDER BY pos) AS ids FROM tok JOIN vocab ON vocab.token = tok.token GROUP BY 1)"""
+  ids AS (SELECT d.doc_id, coalesce(list(token_id ORDER BY pos) FILTER (token_id IS NOT NULL), []) AS ids FROM documents d
+    LEFT JOIN tok ON tok.doc_id = d.doc_id LEFT JOIN vocab ON vocab.token = tok.token GROUP BY 1)"""
 
 
-def _encoded(t, first=0):
+def _encoded(t, first=0, length=None):
     docs = _docs(t)
-    return cp.encode(docs, "doc_id", "text", cp.vocabulary(docs, "doc_id", "text", first))
+    return cp.encode(docs, "doc_id", "text", cp.vocabulary(docs, "doc_id", "text", first), length)
 
 
 @query("encode_tokens", f"WITH {_TOKENS.format(first=0)} SELECT doc_id, CAST(len(ids) AS INTEGER) AS n, md5(array_to_string(ids, ' ')) AS digest FROM ids")
@@ -126,7 +127,7 @@ def _(t):
 @query("pad_truncate_mask", f"""WITH {_TOKENS.format(first=3)} SELECT doc_id, array_to_string(list_resize(ids, 256, 0), ' ') AS input_ids,
   CAST(least(len(ids), 256) AS INTEGER) AS used FROM ids""")
 def _(t):
-    padded = cp.pad_truncate_mask(_encoded(t, 3), "ids", 256)
+    padded = cp.pad_truncate_mask(_encoded(t, 3, 256), "ids", 256)
     return padded.select("doc_id", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("input_ids"),
                          F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("used"))
 
@@ -175,9 +176,9 @@ def _(t):
     return cp.format_chat(rows, LAYOUTS, "family", "ask", "system", "reply").select("conv_id", "turn", "text")
 
 
-@query("flatten_conversation", """SELECT conv_id, turn // 10000 AS part, string_agg('<' || role || '> ' || text, chr(10) ORDER BY turn) AS chat,
+@query("flatten_conversation", """SELECT conv_id, string_agg('<' || role || '> ' || text, chr(10) ORDER BY turn) AS chat,
   any_value(valid) AS valid FROM conversations JOIN (SELECT conv_id AS c, CASE WHEN count(CASE WHEN role = 'user' THEN 1 END)
-    - count(CASE WHEN role = 'assistant' THEN 1 END) IN (0, 1) THEN 1 ELSE 0 END AS valid FROM conversations GROUP BY 1) ON c = conv_id GROUP BY 1, 2""")
+    - count(CASE WHEN role = 'assistant' THEN 1 END) IN (0, 1) THEN 1 ELSE 0 END AS valid FROM conversations GROUP BY 1) ON c = conv_id GROUP BY 1""")
 def _(t):
     return cp.flatten_chat(t.conversations, "conv_id", "turn", "role", "text")
 
@@ -186,11 +187,12 @@ def _(t):
   c AS (SELECT *, max(CASE WHEN contains(body, 'Mit') THEN turn END) OVER (PARTITION BY conv_id) AS cut FROM p),
   k AS (SELECT * FROM c WHERE cut IS NULL OR turn < cut),
   n AS (SELECT k.*, substr(x.body, 1, 1) AS nxt, substr(k.body, 1, length(k.body) - 3) AS core FROM k LEFT JOIN k x ON x.conv_id = k.conv_id AND x.turn = k.turn + 1)
-  SELECT conv_id, turn, CASE WHEN nxt IS NOT NULL AND lower(nxt) = nxt AND upper(nxt) <> nxt AND substr(core, -1) NOT IN ('.', '!', '?') THEN core || ' ' ELSE body END AS body FROM n""")
+  SELECT conv_id, string_agg(CASE WHEN nxt IS NOT NULL AND lower(nxt) = nxt AND upper(nxt) <> nxt AND substr(core, -1) NOT IN ('.', '!', '?') THEN core || ' ' ELSE body END, ''
+    ORDER BY turn) AS body FROM n GROUP BY 1""")
 def _(t):
     tail = "\n\n\f"
     body = F.concat(F.when(F.col("turn") % 2 == 1, F.lower("text")).otherwise(F.rtrim(F.col("text"), F.lit("."))), F.lit(tail))
-    return rk.stitch_pages(t.conversations.select("conv_id", "turn", body.alias("body")), "conv_id", "turn", "body", "Mit")
+    return rk.stitched_text(t.conversations.select("conv_id", "turn", body.alias("body")), "conv_id", "turn", "body", "Mit")
 
 
 @query("split_random", f"""SELECT doc_id, CASE WHEN {sql_unit(sql_hash(10, 'doc_id'))} / 4294967296.0 < 0.8 THEN 'train' ELSE 'test' END AS split FROM documents""")

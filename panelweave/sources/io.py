@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.names import metric_in_name
-from panelweave.operators.scale import ordered_rank
+from panelweave.operators.scale import null_safe_join, ordered_rank
 from panelweave.session import ensure_checkpoint_dir
 
 PAIR_COLUMNS = {"b2i": ("budget_item", "indicator"), "i2i": ("indicator1", "indicator2")}
@@ -105,5 +105,7 @@ def number_docs(df: DataFrame, term: str, order: Sequence[str]) -> DataFrame:
 
 
 def write_docs(df: DataFrame, path: str, term: str, order: Sequence[str]) -> None:
-    """One folder per search term, rows numbered inside it."""
-    number_docs(df, term, order).write.partitionBy(term).parquet(path)
+    """One folder per search term, rows numbered inside it. Only the term and the ordering columns,
+    which make rows unique, are ranked; the texts meet their numbers in one join."""
+    numbers = number_docs(df.select(term, *order), term, order)
+    null_safe_join(df, numbers, [term, *order], "inner").write.partitionBy(term).parquet(path)

@@ -24,8 +24,13 @@ def test_outer_attach_keeps_both_sides(spark):
 def test_category_pairs_null_rule(spark):
     ind = spark.createDataFrame([(1, "a", None), (2, None, None)], "indicator int, c1 string, c2 string")
     items = spark.createDataFrame([("i", "a"), ("n", None)], "item string, category string")
-    assert jn.naive_pairs(ind, items, ["c1", "c2"], "category").count() == 1
-    assert jn.naive_pairs(ind, items, ["c1", "c2"], "category", nulls_match=True).count() == 3
+    every = spark.createDataFrame([(i, n) for i in (1, 2, 3) for n in ("i", "n", "gone")], "indicator int, item string")
+    ends = ("indicator", "item", ["c1", "c2"], "category")
+    assert jn.naive_pairs(every, ind, items, *ends).count() == 1
+    assert jn.naive_pairs(every, ind, items, *ends, nulls_match=True).count() == 3
+    assert jn.naive_pairs(every.where("item = 'gone'"), ind, items, *ends).count() == 0
+    left, right = jn.category_sides(ind, items, ["c1", "c2"], "category")
+    assert [tuple(r) for r in left.collect()] == [(1, "a")] and [tuple(r) for r in right.collect()] == [("i", "a")]
 
 
 def test_ordered_pairs_rename_and_skip_self(spark):

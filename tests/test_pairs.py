@@ -49,11 +49,8 @@ def test_samples(pairs):
     assert pr.sample_n(pairs, 10, ["row_id"]).count() == 10
     assert pr.sample_n(pairs, 500, ["row_id"]).count() == 90
     few = {r.row_id for r in pr.sample_n(pairs, 10, ["row_id"]).collect()}
-    pr_small, pr.SMALL_SAMPLE = pr.SMALL_SAMPLE, 5
-    try:
-        assert {r.row_id for r in pr.sample_n(pairs, 10, ["row_id"]).collect()} == few
-    finally:
-        pr.SMALL_SAMPLE = pr_small
+    assert {r.row_id for r in pr.sample_n(pairs.repartition(7), 10, ["row_id"]).collect()} == few
+    assert few < {r.row_id for r in pr.sample_n(pairs, 20, ["row_id"]).collect()}
     assert Counter(r.related for r in pr.sample_balanced(pairs, "related", 20, ["row_id"]).collect()) == {"Yes": 10, "No": 10}
     per_item = Counter(r["item"] for r in pr.sample_strata(pairs, "item", 9, ["row_id"]).collect())
     assert per_item == {"hot": 6, **{f"i{n}": 1 for n in range(6)}}
@@ -80,6 +77,22 @@ def test_shots_are_different_numbered_and_balanced(spark, pairs):
         assert labels == {"Yes.": 3, "No.": 2}
 
 
+def test_no_prompt_holds_its_own_pair(spark, pairs):
+    asked = pairs.select("row_id").withColumn("prompt", F.lit("Q?"))
+    for pool in (pairs.where("row_id < 6"), pairs.where("row_id = 3")):
+        examples = pool.withColumnRenamed("row_id", "example")
+        out = pr.with_shots(asked, ["row_id"], examples, F.col("example").cast("string"), F.col("related"), 4, 2, ["example"],
+                            left_out=F.col("row_id") == F.col("example"))
+        rows = out.collect()
+        assert len(rows) == 90
+        for r in rows:
+            used = [line.split(": ")[1] for line in r.prompt.split("\n") if line.startswith("Example Question")]
+            assert str(r.row_id) not in used and len(set(used)) == len(used)
+    contexts = {r.prompt for r in pr.with_shots(asked, ["row_id"], pairs.withColumnRenamed("row_id", "example"), F.col("example").cast("string"),
+                                                F.col("related"), 2, 2, ["example"]).collect()}
+    assert len(contexts) > 80
+
+
 @pytest.mark.parametrize("text,label,words", [
     ("Yes.", "Yes", "Yes"), ("No", "No", "No"), ("I know", "No", "NA"), ("FALSE", "No", "No"), ("it is not true", "No", "No"),
     ("Correct", "Yes", "Yes"), ("perhaps", "NA", "NA"), ("cannot answer", "No", "NA")])

@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +125,53 @@ def test_page_stitch(spark):
     assert got == ["First part ", "goes on." + brk, "next, lower" + brk]
 
 
+def test_stitched_text_is_one_row_per_document(spark):
+    brk = "\n\n\f"
+    df = spark.createDataFrame([(1, 0, "First part" + brk), (1, 1, "goes on." + brk), (1, 2, "References" + brk), (2, 0, "Two")],
+                               "doc int, page int, text string")
+    assert table(rk.stitched_text(df, "doc", "page", "text", "References"), "doc", "text") == [(1, "First part goes on." + brk), (2, "Two")]
+
+
+def test_detrend_keeps_series_without_a_line(spark):
+    df = long(spark, {"one": [(2017, 3.0), (2018, 5.0)], "late": [(2018, 7.0)]})
+    got = pn.detrend(df, "series", "year", "value", 2017)
+    assert sorted((r.series, r.year, r.detrended) for r in got.collect()) == [("late", 2018, 7.0), ("one", 2017, 3.0), ("one", 2018, 5.0)]
+
+
+def test_pivots_raise_on_unlisted_keys_and_find_their_own(spark):
+    df = spark.createDataFrame([(1, 2001, 1.0), (1, 2003, 2.0), (2, 2003, 3.0)], "series int, year int, value double")
+    for pivot in (rc.to_wide, rc.to_wide_mean):
+        with pytest.raises(Exception, match="not among"):
+            pivot(df, ["series"], "year", "value", [2001]).collect()
+        assert table(pivot(df, ["series"], "year", "value"), "series", "2001", "2003") == [(1, 1.0, 2.0), (2, None, 3.0)]
+        assert pivot(df, ["series"], "year", "value", [2001], strict=False).columns == ["series", "2001"]
+
+
+def test_spread_numbered_takes_as_many_as_there_are(spark):
+    df = spark.createDataFrame([("a", f"v{i}") for i in range(9)] + [("b", "x")], "k string, v string")
+    assert rc.spread_numbered(df, "k", "v", "c").columns == ["k", *[f"c{i}" for i in range(1, 10)]]
+
+
+def test_recode_takes_large_dictionaries(spark):
+    df = spark.createDataFrame([(f"k{i}",) for i in (0, 500, 900)], "k string")
+    assert {r.k: r.n for r in rc.recode(df, "k", {f"k{i}": i for i in range(501)}, "n").collect()} == {"k0": 0, "k500": 500, "k900": None}
+
+
+def test_kernels_run_where_the_package_is_not_installed(tmp_path):
+    code = """
+import sys; sys.path.insert(0, {root!r})
+from panelweave.session import build_session
+from panelweave.operators import panel as pn
+spark = build_session("local[2]", 2, **{{"spark.sql.warehouse.dir": {tmp!r}}})
+df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 3.0), ("a", 3, 2.0)], "s string, t int, v double")
+print("rows", pn.forecast(df, "s", "t", "v", [1, 2, 3]).count(), pn.gap_fill(df, "s", "t", "v", [1, 2, 3, 4]).count())
+"""
+    root = str(Path(__file__).resolve().parents[1])
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code.format(root=root, tmp=str(tmp_path))], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "rows 3 4" in run.stdout, run.stderr[-800:]
+
+
 def test_detrend_keeps_the_mean_and_later_years(spark):
     values = [1.0, 2.5, 2.0, 4.0, 4.5, 9.0, 11.0]
     df = long(spark, {"a": [(2013 + i, v) for i, v in enumerate(values)]})

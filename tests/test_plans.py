@@ -32,6 +32,8 @@ def test_one_shuffle_for_a_pivot(spark, small):
 
 
 def test_first_per_key_is_aggregated_before_the_shuffle(spark):
-    df = spark.range(10).select((F.col("id") % 3).alias("k"), "id")
-    text = plan(rk.keep_first(df, ["k"], [F.col("id")]))
-    assert "Window" not in text and "partial_min_by" in text
+    df = spark.range(10).select((F.col("id") % 3).alias("k"), "id", F.lit("long text").alias("text"))
+    first = rk.keep_first(df, ["k"], [F.col("id")], ["id"])
+    text = plan(first)
+    assert "Window" not in text and "partial_min" in text and "LeftSemi" in text
+    assert sorted(tuple(r) for r in first.collect()) == [(0, 0, "long text"), (1, 1, "long text"), (2, 2, "long text")]

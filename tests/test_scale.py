@@ -106,8 +106,7 @@ def test_hot_join_partition_is_split(spark):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def test_size_check_switches_the_join(spark):
-    df = spark.range(100)
-    small = sc.size_checked(df, 100)._jdf.queryExecution().analyzed().toString()
-    large = sc.size_checked(df, 99)._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in small and "merge" in large
+def test_spread_is_the_callers_choice(spark):
+    df = spark.range(100).coalesce(2)
+    assert sc.spread(df, "id", None) is df
+    assert sc.spread(df, "id", 5).rdd.getNumPartitions() == 5

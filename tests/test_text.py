@@ -95,12 +95,25 @@ def test_signature(spark):
     assert [r.id for r in cp.signature_filter(df, "content").collect()] == [1]
 
 
-def test_chat_parts_lose_nothing(spark):
-    turns = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(25)] + [(2, 0, "assistant", "x")]
+def test_a_conversation_is_one_row_whatever_its_turn_numbers(spark):
+    turns = [(1, 9_990 + i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(25)] + [(2, 0, "assistant", "x")]
     df = spark.createDataFrame(turns, "conv int, turn int, role string, text string")
-    out = cp.flatten_chat(df, "conv", "turn", "role", "text", turns_per_row=10).orderBy("conv", "part").collect()
-    assert [(r.conv, r.part, r.valid) for r in out] == [(1, 0, 1), (1, 1, 1), (1, 2, 1), (2, 0, 0)]
-    assert "\n".join(r.chat for r in out[:3]) == "\n".join(f"<{r}> {t}" for _, _, r, t in turns[:25])
+    out = cp.flatten_chat(df, "conv", "turn", "role", "text").orderBy("conv").collect()
+    assert [(r.conv, r.valid) for r in out] == [(1, 1), (2, 0)]
+    assert out[0].chat == "\n".join(f"<{r}> {t}" for _, _, r, t in turns[:25])
+
+
+def test_documents_without_tokens_stay(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, "c ?")], "doc_id int, text string")
+    vocab = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "token string, token_id bigint")
+    assert {r.doc_id: r.ids for r in cp.encode(docs, "doc_id", "text", vocab).collect()} == {1: [0, 1, 0], 2: [], 3: [], 4: [2]}
+    assert {r.doc_id: r.ids for r in cp.encode(docs, "doc_id", "text", vocab, 2).collect()} == {1: [0, 1], 2: [], 3: [], 4: [2]}
+
+
+def test_language_recall(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("lang", tx.detect_language(F.col("text")).alias("found"))
+    for r in docs.groupBy("lang").agg(F.avg(F.coalesce(F.col("lang") == F.col("found"), F.lit(False)).cast("int")).alias("recall")).collect():
+        assert r.recall >= 0.95, r.lang
 
 
 def test_chat_layout_with_and_without_system(spark):
