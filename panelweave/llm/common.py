@@ -85,11 +85,15 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
-def add_arrays(df: DataFrame, size: int, dtype: str, chunk: int = 1 << 16, combine: str = "add") -> np.ndarray:
+CHUNK = 1 << 14
+
+
+def add_arrays(df: DataFrame, size: int, dtype: str, chunk: int = CHUNK, combine: str = "add") -> np.ndarray:
     """Combine fixed-length arrays that tasks emit as (chunk int, data binary) rows.
 
-    Every task sends at most ``size`` entries, whatever it read; equal chunks meet in a shuffle and
-    the driver receives one array of ``size`` entries, a bound set by the caller and not by the data.
+    Every task sends at most ``size`` entries, whatever it read. Equal chunks meet in two steps, first those of
+    some tasks, then those of all, so that no task gets one chunk from every other. The driver receives one
+    array of ``size`` entries, a bound set by the caller and not by the data.
     """
     kind = np.dtype(dtype)
     merge = {"add": np.add, "or": np.bitwise_or}[combine]
@@ -105,15 +109,17 @@ def add_arrays(df: DataFrame, size: int, dtype: str, chunk: int = 1 << 16, combi
                                              names=["chunk", "data"])
 
     chunks = -(-size // chunk)
-    folded = (df.select("chunk", "data").repartition(min(chunks, shuffle_partitions(df)), "chunk")
-              .mapInArrow(fold, "chunk int, data binary"))
+    tasks, form = shuffle_partitions(df), "chunk int, data binary"
+    some = F.pmod(F.spark_partition_id(), F.lit(max(1, tasks // chunks, int(tasks ** 0.5)))).alias("some")
+    partial = df.select("chunk", "data", some).repartition(tasks, "chunk", "some").mapInArrow(fold, form)
+    folded = partial.repartition(min(chunks, tasks), "chunk").mapInArrow(fold, form)
     total = np.zeros(chunks * chunk, kind)
     for row in folded.collect():  # one row per chunk
         total[row.chunk * chunk:(row.chunk + 1) * chunk] = np.frombuffer(row.data, kind)
     return total[:size]
 
 
-def array_chunks(values: np.ndarray, chunk: int = 1 << 16) -> tuple[list[int], list[bytes]]:
+def array_chunks(values: np.ndarray, chunk: int = CHUNK) -> tuple[list[int], list[bytes]]:
     """The non-zero chunks of an array, as rows for :func:`add_arrays`."""
     keys, data = [], []
     for start in range(0, len(values), chunk):
