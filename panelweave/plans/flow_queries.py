@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelweave.functions import answers as an
 from panelweave.functions import text as tx
 from panelweave.plans import fixtures as fx
 from panelweave.plans import flows
-from panelweave.plans.fixtures import PAIRS, PANEL, TRAIN_END, YEARS
-from panelweave.plans.pair_queries import TEMPLATES, all_templates_sql
+from panelweave.plans.fixtures import PAIRS, PANEL, SPEND, TRAIN_END, YEARS
+from panelweave.plans.pair_queries import TEMPLATES, all_templates_sql, negatives_sql
 from panelweave.plans.panel_queries import customer_categories
-from panelweave.plans.registry import query, rnd, sql_hash, sql_rnd, sql_unit
+from panelweave.plans.registry import query, rnd, sql_hash, sql_rnd, sql_unit, text_tasks
 from panelweave.plans.text_queries import CHUNKS, score_sql
 
 _ANSWER = "CASE max(l_returnflag) WHEN 'A' THEN 'Yes, it does' WHEN 'N' THEN 'I do not know' ELSE 'Hard to tell' END"
@@ -31,6 +32,10 @@ def _(t):
     return out.withColumn("prompts", F.array_join("prompts", " | ")).withColumn("predictions", F.array_join("predictions", " | "))
 
 
+def _joined(name):
+    return F.array_join(F.transform(name, lambda x: x.cast("string")), " ").alias(name)
+
+
 _CHUNK_TEXT = "trim(array_to_string(ws[chunk_no * 107 + 1 : chunk_no * 107 + 196], ' '), ' ')"
 
 
@@ -45,13 +50,90 @@ _CHUNK_TEXT = "trim(array_to_string(ws[chunk_no * 107 + 1 : chunk_no * 107 + 196
   ids AS (SELECT doc_id, paragraph_no, chunk_no, list(token_id ORDER BY pos) AS ids FROM tok JOIN vocab ON vocab.token = tok.token GROUP BY 1, 2, 3)
   SELECT k.doc_id, CAST(k.paragraph_no AS INTEGER) AS paragraph_no, CAST(k.chunk_no AS INTEGER) AS chunk_no, language,
     CASE WHEN {sql_unit(sql_hash(10, 'k.doc_id'))} / 4294967296.0 < 0.8 THEN 'train' ELSE 'test' END AS split,
-    array_to_string(list_resize(ids, 128, 0), ' ') AS input_ids, CAST(least(len(ids), 128) AS INTEGER) AS used
+    array_to_string(list_resize(list_concat(list_concat([1], ids[1:126]), [2]), 128, 0), ' ') AS input_ids, CAST(least(len(ids), 126) + 2 AS INTEGER) AS used,
+    array_to_string(list_resize(list_concat(list_concat([1], ids[1:126]), [2]), 128, -100), ' ') AS labels
   FROM kept k JOIN ids i ON i.doc_id = k.doc_id AND i.paragraph_no = k.paragraph_no AND i.chunk_no = k.chunk_no""")
 def _(t):
-    rows = flows.corpus_rows(t.documents, "doc_id", "text", ["en", "fr"], length=128)
+    rows = flows.corpus_rows(t.documents, "doc_id", "text", ["en", "fr"], length=128, tasks=text_tasks(t.spark))
     return rows.select("doc_id", "paragraph_no", "chunk_no", "language", "split",
-                       F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("input_ids"),
-                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("used"))
+                       _joined("input_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("used"), _joined("labels"))
+
+
+_LAYOUT = "Ask: {user} Answer: {response}"
+
+
+@query("instruct_rows", f"""WITH x AS (SELECT conv_id || '-' || turn AS id, trim(regexp_replace('Ask: ' || role || ' ' || turn || ' Answer: ' || coalesce(text, ''), '\\s+', ' ', 'g')) AS text,
+    trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS answer FROM conversations),
+  tok AS (SELECT id, generate_subscripts(ts, 1) AS pos, unnest(ts) AS token FROM (SELECT id, string_split(text, ' ') AS ts FROM x)),
+  vocab AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, encode(token)) + 2 AS token_id FROM tok GROUP BY 1),
+  ids AS (SELECT id, list(token_id ORDER BY pos) AS ids FROM tok JOIN vocab ON vocab.token = tok.token GROUP BY 1),
+  f AS (SELECT x.*, list_concat(ids[1:63], [2]) AS f, instr(text, answer) AS s FROM x JOIN ids ON ids.id = x.id),
+  p AS (SELECT *, len(string_split(substr(text, 1, s), ' ')) AS first, len(string_split(substr(text, 1, s + length(answer) - 1), ' ')) + 1 AS last FROM f)
+  SELECT id, CASE WHEN {sql_unit(sql_hash(10, 'id'))} / 4294967296.0 < 0.8 THEN 'train' ELSE 'test' END AS split, array_to_string(list_resize(f, 64, 0), ' ') AS input_ids,
+    CAST(len(f) AS INTEGER) AS used, array_to_string(list_resize(list_transform(f, lambda v, i: CASE WHEN s > 0 AND i BETWEEN first AND last THEN v ELSE -100 END), 64, -100), ' ') AS labels FROM p""")
+def _(t):
+    rows = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat_ws(" ", "role", "turn").alias("ask"), "text")
+    out = flows.instruct_rows(rows, "id", "ask", "text", _LAYOUT, length=64)
+    return out.select("id", "split", _joined("input_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("used"), _joined("labels"))
+
+
+_SCALE = "CASE WHEN TRY_CAST(regexp_extract(answer, '[0-9]', 0) AS INTEGER) <= 5 THEN TRY_CAST(regexp_extract(answer, '[0-9]', 0) AS INTEGER) END"
+_OPTIONS, _OPTION_LABELS = {"1": "Agree", "2": "Deny"}, {"1": "Yes", "2": "No"}
+_CATEGORY = """CASE WHEN lower(answer) LIKE '1%' THEN 'Yes' WHEN lower(answer) LIKE '2%' THEN 'No' WHEN contains(lower(answer), 'agree') THEN 'Yes'
+    WHEN contains(lower(answer), 'deny') THEN 'No' WHEN contains(lower(answer), '1') THEN 'Yes' WHEN contains(lower(answer), '2') THEN 'No' ELSE 'NA' END"""
+_REPLY = "concat(max(l_linenumber), CASE WHEN max(l_discount) > 0.05 THEN ', I agree' ELSE ' of 7' END)"
+
+
+def _replies(t):
+    return t.lineitem.groupBy(F.col("l_partkey").alias("row_id"), (F.col("l_linenumber") % 3).alias("member")).agg(F.expr(_REPLY).alias("answer"))
+
+
+def _replied_sql(label: str) -> str:
+    return f"""{PAIRS}, asked AS ({all_templates_sql('row_id')}),
+  replies AS (SELECT l_partkey AS row_id, l_linenumber % 3 AS member, {_REPLY} AS answer FROM lineitem GROUP BY 1, 2),
+  parsed AS (SELECT a.row_id, a.member, prompt, {label} AS label FROM asked a JOIN replies r ON r.row_id = a.row_id AND r.member = a.member)"""
+
+
+def _flat(out):
+    return out.withColumn("prompts", F.array_join("prompts", " | ")).withColumn(
+        "predictions", F.array_join(F.transform("predictions", lambda p: F.coalesce(p.cast("string"), F.lit("-"))), " | "))
+
+
+@query("prediction_table_scale", f"""WITH {_replied_sql(_SCALE)}, agg AS (SELECT row_id, {sql_rnd('coalesce(avg(label), 0)', 3)} AS mean, {sql_rnd('coalesce(avg(label), 0) / 5', 3)} AS scaled_mean,
+    string_agg(prompt, ' | ' ORDER BY member) AS prompts, string_agg(coalesce(CAST(label AS VARCHAR), '-'), ' | ' ORDER BY member) AS predictions FROM parsed GROUP BY 1)
+  SELECT p.row_id, budget_item, indicator, related, mean, scaled_mean, prompts, predictions FROM pairs p JOIN agg ON agg.row_id = p.row_id""")
+def _(t):
+    return _flat(flows.prediction_table(fx.pairs(t), ["row_id"], ["budget_item", "indicator"], TEMPLATES, _replies(t),
+                                        parse=lambda c: an.parse_scale_digit(c, 5), aggregate="scale"))
+
+
+@query("prediction_table_category", f"""WITH {_replied_sql(_CATEGORY)}, c AS (SELECT row_id, label, count(*) AS n, min(member) AS m FROM parsed GROUP BY 1, 2),
+  top AS (SELECT row_id, label AS mode FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY n DESC, m) AS r FROM c) WHERE r = 1),
+  agg AS (SELECT row_id, string_agg(prompt, ' | ' ORDER BY member) AS prompts, string_agg(label, ' | ' ORDER BY member) AS predictions FROM parsed GROUP BY 1)
+  SELECT p.row_id, budget_item, indicator, related, mode, prompts, predictions FROM pairs p JOIN agg ON agg.row_id = p.row_id JOIN top ON top.row_id = p.row_id""")
+def _(t):
+    return _flat(flows.prediction_table(fx.pairs(t), ["row_id"], ["budget_item", "indicator"], TEMPLATES, _replies(t),
+                                        parse=lambda c: an.parse_category(c, _OPTIONS, _OPTION_LABELS), aggregate="mode"))
+
+
+_BROAD = f"""{SPEND}, l AS (SELECT item, list(DISTINCT name ORDER BY name) AS names FROM spend GROUP BY 1),
+  f AS (SELECT item, names, list_filter(names, lambda x: contains(x, 'Total ')) AS totals FROM l),
+  b AS (SELECT item, CASE WHEN len(names) = 1 THEN replace(names[1], 'Total ', '') WHEN len(totals) > 0 THEN replace(totals[1], 'Total ', '')
+    ELSE array_to_string(names, ' & ') END AS name FROM f),
+  pairs AS (SELECT DISTINCT b.name AS budget_item, trim(regexp_replace('Spend: ' || p_name || ' ' || p_partkey, '^Spend: ', '')) AS indicator
+    FROM part JOIN b ON b.item = p_brand || ' ' || CAST(p_size AS VARCHAR))"""
+
+
+@query("pair_dataset", f"""WITH {negatives_sql(_BROAD, 9, ['indicator'])},
+  both_labels AS (SELECT budget_item, indicator, 'Yes' AS related FROM pairs UNION ALL
+    SELECT item, indicator, 'No' FROM draws d JOIN placed p ON p.pos = d.pos),
+  r AS (SELECT *, row_number() OVER (PARTITION BY budget_item, related ORDER BY {sql_hash(9, 'indicator')}, indicator) - 1 AS r,
+    count(*) OVER (PARTITION BY budget_item, related) AS n FROM both_labels)
+  SELECT budget_item, indicator, related, CASE WHEN r < floor(n * 0.2 + 0.5) THEN 'train' ELSE 'test' END AS split FROM r WHERE n >= 2""")
+def _(t):
+    outcome = t.part.select(F.concat_ws(" ", "p_brand", F.col("p_size").cast("string")).alias("item"),
+                            F.concat(F.lit("Spend: "), "p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("indicator"))
+    return flows.pair_dataset(outcome, fx.spend(t), "item", "name", "indicator", ["^Spend: "], 9).withColumnRenamed("item", "budget_item")
 
 
 @query("calibration_inputs", f"""WITH {PANEL}, w AS (SELECT * FROM panel WHERE series IN (SELECT series FROM panel GROUP BY 1 HAVING count(*) >= 5)),

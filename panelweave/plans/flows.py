@@ -1,53 +1,105 @@
-"""The three whole flows: prediction tables, training rows from documents, model inputs from a panel."""
+"""Whole flows: prediction tables, labelled pair sets, training rows from documents and instructions, model
+inputs from a panel."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions import answers as an
+from panelweave.functions import names as nm
+from panelweave.functions import text as tx
 from panelweave.functions.numbers import clamp_rate
 from panelweave.operators import aggregates as ag
 from panelweave.operators import answers as ans
 from panelweave.operators import corpus as cp
+from panelweave.operators import joins as jn
 from panelweave.operators import panel as pn
 from panelweave.operators import pairs as pr
 from panelweave.operators.scale import spread
 from panelweave.session import durable
 
+BEGIN, END, FIRST_ID = 1, 2, 3  # token ids; 0 pads
+
 
 def prediction_table(pairs: DataFrame, ids: Sequence[str], names: Sequence[str], templates: Sequence[str],
-                     answers: DataFrame, effect: str = "directly") -> DataFrame:
-    """Pairs to prompts, answers (a table of ids, member, answer) to labels, labels to one
-    distribution per pair. Prompts and predictions of a pair stay together as arrays; a pair has
-    one entry per template."""
+                     answers: DataFrame, effect: str = "directly", parse: Callable[[Column], Column] = an.parse_yes_no,
+                     aggregate: str = "distribution", top: int = 5) -> DataFrame:
+    """Pairs to prompts, answers (a table of ids, member, answer) to predictions, predictions to one
+    result per pair. ``parse`` turns an answer into a label or a digit; ``aggregate`` is
+    ``distribution`` or ``mode`` of labels, or ``scale`` of digits up to ``top``. Prompts and
+    predictions of a pair stay together as arrays; a pair has one entry per template."""
     asked = pr.prompts(pairs, templates, names, effect).drop("template")
-    parsed = asked.join(answers, [*ids, "member"]).withColumn("prediction", an.parse_yes_no(F.col("answer")))
-    one_hot = parsed.withColumn("__p", an.one_hot(F.col("prediction")))
-    distribution = ans.agg_distribution(one_hot, ids, F.col("__p"))
+    parsed = asked.join(answers, [*ids, "member"]).withColumn("prediction", parse(F.col("answer")))
+    if aggregate == "scale":
+        result = ans.agg_scale(parsed, ids, "prediction", top)
+    else:
+        one_hot = parsed.withColumn("__p", an.one_hot(F.col("prediction")))
+        result = (ans.agg_distribution(one_hot, ids, F.col("__p")) if aggregate == "distribution"
+                  else ans.agg_mode(one_hot, ids, "member", F.col("__p")))
     members = F.sort_array(F.collect_list(F.struct("member", "prompt", "prediction")))
     kept = parsed.groupBy(*ids).agg(members.alias("__m"))
     stacked = kept.select(*ids, F.transform("__m", lambda m: m["prompt"]).alias("prompts"),
                           F.transform("__m", lambda m: m["prediction"]).alias("predictions"))
-    return pairs.join(distribution, list(ids)).join(stacked, list(ids))
+    return pairs.join(result, list(ids)).join(stacked, list(ids))
+
+
+def pair_dataset(outcome: DataFrame, spend: DataFrame, item: str, name: str, indicator: str, patterns: Sequence[str],
+                 seed: int, train_share: float = 0.2, least: int = 2) -> DataFrame:
+    """Approved (item, indicator) pairs to a labelled train and test set: items get their broad names,
+    affixes of the indicators go, as many negatives are drawn per item as it has pairs (and others
+    exist), groups of an item and a label with fewer than ``least`` rows go, the rest is split with
+    the same share of each group. Pairs are unique."""
+    named = jn.rename_items(outcome, ag.broad_names(spend, item, name), item, "name")
+    positives = durable(named.select(item, nm.strip_affixes(F.col(indicator), patterns).alias(indicator)).distinct())
+    drawn = pr.negatives(positives, item, [indicator], seed).select(item, indicator, "related")
+    both = positives.withColumn("related", F.lit("Yes")).unionByName(drawn)
+    kept = durable(ag.min_size(both, [item, "related"], least))
+    return pr.split_stratified(kept, [item, "related"], train_share, [indicator], seed)
+
+
+def _framed(ids: Column, begin: bool) -> Column:
+    ends = [F.lit(x).cast("bigint") for x in (BEGIN, END)]
+    return F.concat(*([F.array(ends[0])] if begin else []), ids, F.array(ends[1]))
 
 
 def corpus_rows(docs: DataFrame, doc: str, text: str, languages: Sequence[str], length: int = 256,
                 words: int = 196, overlap: float = 0.45, min_words: int = 98, train_share: float = 0.8,
-                seed: int = 10, separator: str = r"\n{2,}") -> DataFrame:
-    """Documents to padded token rows, split into train and test by whole document. The chunk table
-    is written once because both the vocabulary and the encoding read it."""
-    marked = cp.split_docs(spread(docs.select(doc, text), doc), doc, train_share, seed)
+                seed: int = 10, separator: str = r"\n{2,}", tasks: int | None = None) -> DataFrame:
+    """Documents to padded token rows with begin and end ids and labels up to the end id, split into
+    train and test by whole document. The chunk table is written once because both the vocabulary and
+    the encoding read it. ``tasks`` deals documents over so many tasks first, see ``scale.spread``."""
+    clean = docs.select(doc, tx.strip_direction_marks(F.col(text)).alias(text))
+    marked = cp.split_docs(spread(clean, doc, tasks), doc, train_share, seed)
     chunked = cp.chunk_overlap(cp.split_paragraphs(marked, text, min_words, separator), text, words, overlap)
     kept = cp.language_filter(chunked, text, languages)
     chunks = durable(kept.withColumn("chunk_id", F.concat_ws("-", doc, "paragraph_no", "chunk_no")))
-    vocab = cp.vocabulary(chunks, "chunk_id", text, first_id=3)
-    encoded = cp.encode(chunks, "chunk_id", text, vocab)
+    vocab = cp.vocabulary(chunks, "chunk_id", text, first_id=FIRST_ID)
+    encoded = cp.encode(chunks, "chunk_id", text, vocab, length - 2).withColumn("ids", _framed(F.col("ids"), True))
     rows = cp.pad_truncate_mask(encoded, "ids", length)
     return rows.join(chunks.drop(text), "chunk_id").select(
-        doc, "paragraph_no", "chunk_no", "language", "split", "input_ids", "attention_mask")
+        doc, "paragraph_no", "chunk_no", "language", "split", "input_ids", "attention_mask",
+        tx.labels_until_eos(F.col("input_ids"), BEGIN, END).alias("labels"))
+
+
+def instruct_rows(rows: DataFrame, key: str, instruction: str, output: str, layout: str, length: int = 256,
+                  train_share: float = 0.8, seed: int = 10) -> DataFrame:
+    """Instructions and answers to padded token rows whose labels cover the answer and the end id,
+    split by hash. ``layout`` uses {user} and {response}; white space counts as single spaces. ``key``
+    is unique."""
+    def spaced(c: Column) -> Column:
+        return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+
+    shaped = durable(rows.select(key, spaced(tx.fill(F.lit(layout), user=F.col(instruction), response=F.col(output))).alias("text"),
+                                 spaced(F.col(output)).alias("answer")))
+    vocab = cp.vocabulary(shaped, key, "text", first_id=FIRST_ID)
+    ids = cp.encode(shaped, key, "text", vocab, length - 1).withColumn("ids", _framed(F.col("ids"), False))
+    labels = tx.labels_answer_span(F.col("ids"), F.col("text"), F.col("answer"))
+    padded = cp.pad_truncate_mask(ids.join(shaped, key).withColumn("labels", labels), "ids", length)
+    return cp.split_docs(padded, key, train_share, seed).select(
+        key, "split", "input_ids", "attention_mask", tx.pad_ids(F.col("labels"), length, tx.IGNORE).alias("labels"))
 
 
 def calibration_inputs(panel: DataFrame, categories: DataFrame, key: str, t: str, val: str, years: Sequence[int],

@@ -29,17 +29,23 @@ def _sql_prompt(template: str, effect: str = "directly", prefix: str = "") -> st
 
 # ---- sampling ---------------------------------------------------------------
 
-_NEG = f"""{PAIRS}, ranked AS (SELECT row_id, budget_item, indicator, row_number() OVER (PARTITION BY budget_item
-    ORDER BY {sql_hash(5, 'row_id', 'indicator')}, row_id, indicator) - 1 AS k FROM pairs),
-  sizes AS (SELECT budget_item, count(*) AS n, {sql_hash(5, 'budget_item')} AS ih FROM pairs GROUP BY 1),
+def negatives_sql(pairs: str, seed: int, others: list[str]) -> str:
+    """Tables ``draws`` (item, pos) and ``placed`` (pos and the drawn row) over a table ``pairs``."""
+    names = ", ".join(others)
+    return f"""{pairs}, ranked AS (SELECT {names}, budget_item, row_number() OVER (PARTITION BY budget_item
+    ORDER BY {sql_hash(seed, *others)}, {names}) - 1 AS k FROM pairs),
+  sizes AS (SELECT budget_item, count(*) AS n, {sql_hash(seed, 'budget_item')} AS ih FROM pairs GROUP BY 1),
   starts AS (SELECT *, coalesce(sum(n) OVER (ORDER BY ih, budget_item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM sizes),
   total AS (SELECT count(*) AS a FROM pairs),
-  placed AS (SELECT r.*, n, s, a, s + k AS pos, {sql_unit(sql_hash(5, "'offset'", 'r.budget_item'))} AS off FROM ranked r
+  placed AS (SELECT r.*, n, s, a, s + k AS pos, {sql_unit(sql_hash(seed, "'offset'", 'r.budget_item'))} AS off FROM ranked r
     JOIN starts t ON t.budget_item = r.budget_item, total),
   draws AS (SELECT budget_item AS item, (s + n + (off + CAST(k AS HUGEINT) * (2305843009213693951 % (a - n))) % (a - n)) % a AS pos
     FROM placed WHERE k < a - n AND a > n)"""
 
 
+_NEG = negatives_sql(PAIRS, 5, ["row_id", "indicator"])
+
+
 @query("negative_pairs", f"""WITH {_NEG} SELECT item AS budget_item, row_id, indicator, p.budget_item AS budget_item_source, 'No' AS related
   FROM draws d JOIN placed p ON p.pos = d.pos""")
 def _(t):

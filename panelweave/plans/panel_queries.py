@@ -146,13 +146,14 @@ def _(t):
 
 _AGE_SQL = "CASE WHEN p_size % 3 = 0 THEN 'All ages' ELSE CAST(p_size AS VARCHAR) || '+ yrs' END"
 _NAME_SQL = "CASE WHEN p_size % 5 = 0 THEN p_name || ' at ' || CAST(p_size AS VARCHAR) ELSE p_name || '  rate' END"
-_GROUP_SQL = "CASE p_type WHEN 'ECONOMY' THEN 'Most deprived decile' WHEN 'PROMO' THEN 'Least deprived decile' ELSE 'national' END"
+_MOST, _LEAST = nm.DECILE_PHRASES
+_GROUP_SQL = f"CASE p_type WHEN 'ECONOMY' THEN '{_MOST}' WHEN 'PROMO' THEN '{_LEAST}' ELSE 'national' END"
+_PHRASE_SQL = " ".join(f"WHEN '{decile}' THEN '{words}'" for decile, words in nm.DECILE_PHRASES.items())
 
 
 @query("label_name_age", f"""WITH n AS (SELECT p_partkey, {_AGE_SQL} AS age, {_NAME_SQL} AS name, {_GROUP_SQL} AS grp FROM part)
   SELECT p_partkey, replace(CASE WHEN contains(name, age) OR regexp_matches(name, '[0-9]') THEN name ELSE name || ' (' || age || ')' END
-  || CASE grp WHEN 'Most deprived decile' THEN ' for the most deprived decile of the population.'
-  WHEN 'Least deprived decile' THEN ' for the least deprived decile of the population.' ELSE '' END, '  ', ' ') AS label FROM n""")
+  || CASE grp {_PHRASE_SQL} ELSE '' END, '  ', ' ') AS label FROM n""")
 def _(t):
     age = F.expr("CASE WHEN p_size % 3 = 0 THEN 'All ages' ELSE concat(p_size, '+ yrs') END")
     name = F.expr("CASE WHEN p_size % 5 = 0 THEN concat(p_name, ' at ', p_size) ELSE concat(p_name, '  rate') END")
@@ -223,7 +224,7 @@ def _(t):
     return ag.missing_share(wide, [str(y) for y in YEARS]).select(rnd(F.col("missing_share"), 6).alias("missing_share"))
 
 
-_DECILE = "CASE l_linenumber WHEN 1 THEN 'Least deprived decile' WHEN 2 THEN 'Most deprived decile' WHEN 3 THEN 'national' ELSE 'other' END"
+_DECILE = f"CASE l_linenumber WHEN 1 THEN '{_LEAST}' WHEN 2 THEN '{_MOST}' WHEN 3 THEN 'national' ELSE 'other' END"
 
 
 @query("decile_presence_select", f"""WITH g AS (SELECT l_orderkey AS indicator, {_DECILE} AS grp, count(*) AS n FROM lineitem GROUP BY 1, 2),
@@ -233,7 +234,7 @@ _DECILE = "CASE l_linenumber WHEN 1 THEN 'Least deprived decile' WHEN 2 THEN 'Mo
 def _(t):
     rows = t.lineitem.groupBy(F.col("l_orderkey").alias("indicator"), F.expr(_DECILE).alias("grp")).agg(
         F.count(F.lit(1)).alias("n"))
-    return ag.select_groups(rows, ["indicator"], "grp", "Least deprived decile", "Most deprived decile", "national")
+    return ag.select_groups(rows, ["indicator"], "grp", _LEAST, _MOST, "national")
 
 
 @query("broad_name_rule", f"""WITH {fx.SPEND}, l AS (SELECT item, list(DISTINCT name ORDER BY name) AS names FROM spend GROUP BY 1),

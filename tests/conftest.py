@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -12,10 +13,12 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[8]", 8, "tests", **{"spark.driver.memory": "8g"})
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    with tempfile.TemporaryDirectory(prefix="tests-") as folder:
+        session = build_session("local[8]", 8, "tests", **{
+            "spark.driver.memory": "8g", "spark.checkpoint.dir": folder, "spark.panelweave.textTasks": "8"})
+        session.sparkContext.setLogLevel("ERROR")
+        yield session
+        session.stop()
 
 
 @pytest.fixture(scope="session")
