@@ -8,10 +8,11 @@ from panelweave.functions import answers as an
 from panelweave.functions import text as tx
 from panelweave.plans import fixtures as fx
 from panelweave.plans import flows
-from panelweave.plans.fixtures import PAIRS, PANEL, SPEND, TRAIN_END, YEARS
+from panelweave.plans import graph_queries as gq
+from panelweave.plans.fixtures import PAIRS, PANEL, PROGRAMS, SPEND, TRAIN_END, YEARS
 from panelweave.plans.pair_queries import TEMPLATES, all_templates_sql, negatives_sql
 from panelweave.plans.panel_queries import customer_categories
-from panelweave.plans.registry import query, rnd, sql_hash, sql_rnd, sql_unit, text_tasks
+from panelweave.plans.registry import ORACLE, query, rnd, sql_hash, sql_rnd, sql_unit, text_tasks
 from panelweave.plans.text_queries import CHUNKS, score_sql
 
 _ANSWER = "CASE max(l_returnflag) WHEN 'A' THEN 'Yes, it does' WHEN 'N' THEN 'I do not know' ELSE 'Hard to tell' END"
@@ -160,3 +161,30 @@ def _(t):
                                    ["category1", "category2", "category3"])
     return out.select("series", rnd(F.col("start")).alias("start"), rnd(F.col("final")).alias("final"),
                       rnd(F.col("success_rate"), 6).alias("success_rate"))
+
+
+@query("calibration_schedule", f"""WITH {PROGRAMS}, cpi AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS cpi FROM orders GROUP BY 1),
+  people AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, sum(l_quantity) AS population FROM lineitem GROUP BY 1),
+  p AS (SELECT program, g.year, CAST(g.year AS DOUBLE) AS x, amount * ((SELECT cpi FROM cpi WHERE year = 1996) / cpi) / population AS value
+    FROM programs g JOIN cpi ON cpi.year = g.year JOIN people ON people.year = g.year),
+  f AS (SELECT program, count(*) AS n, avg(x) AS mx, avg(value) AS my FROM p WHERE year <= {TRAIN_END} GROUP BY 1),
+  s AS (SELECT p.program, any_value(n) AS n, any_value(mx) AS mx, sum((x - mx) * (value - my)) AS sxy, sum((x - mx) * (x - mx)) AS sxx
+    FROM p JOIN f ON f.program = p.program WHERE year <= {TRAIN_END} GROUP BY 1),
+  d AS (SELECT p.program, year, CASE WHEN year <= {TRAIN_END} AND n >= 2 THEN value - (x - mx) * sxy / sxx ELSE value END AS v FROM p LEFT JOIN s ON s.program = p.program),
+  r AS (SELECT program, CAST((year - {YEARS[0]}) * 5 + i AS INTEGER) AS period, CASE WHEN year < {YEARS[-1]} THEN v / 5 ELSE v END AS amount
+    FROM d, range(5) g(i) WHERE year < {YEARS[-1]} OR i = 0)
+  SELECT s_suppkey AS program, period, {sql_rnd('amount', 6)} AS amount FROM supplier LEFT JOIN (SELECT * FROM r WHERE period BETWEEN 5 AND 24) r ON r.program = s_suppkey""")
+def _(t):
+    prices = t.orders.groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("cpi"))
+    people = t.lineitem.groupBy(F.year("l_shipdate").alias("year")).agg(F.sum("l_quantity").alias("population"))
+    out = flows.calibration_schedule(fx.programs(t), prices, people, t.supplier.select(F.col("s_suppkey").alias("program")), "program", "year", "amount",
+                                     1996, TRAIN_END, 5, YEARS[0], YEARS[-1], 1996, 1999)
+    return out.withColumn("amount", rnd(F.col("amount"), 6))
+
+
+@query("calibration_networks", f"""SELECT 'item' AS kind, item_idx AS src, indicator_idx AS dst, CAST(1 AS DOUBLE) AS weight FROM ({ORACLE['b2i_network']})
+  UNION ALL SELECT 'indicator', src, dst, weight FROM ({ORACLE['i2i_network']})""")
+def _(t):
+    out = flows.calibration_networks(gq.predicted(t), gq.item_index(t), gq.indicator_index(t), gq.default_items(t), F.col("yes"),
+                                     gq.indicator_links(t), "distribution", link_least=0.2)
+    return out.withColumn("weight", rnd(F.col("weight"), 6))

@@ -16,6 +16,7 @@ from panelweave.operators import aggregates as ag
 from panelweave.operators import answers as ans
 from panelweave.operators import corpus as cp
 from panelweave.operators import joins as jn
+from panelweave.operators import networks as nw
 from panelweave.operators import panel as pn
 from panelweave.operators import pairs as pr
 from panelweave.operators.scale import spread
@@ -118,3 +119,24 @@ def calibration_inputs(panel: DataFrame, categories: DataFrame, key: str, t: str
     rates = ag.success_rate(train, key, t, val, category_columns)
     means = ag.mean_rate(categories.select(key, *category_columns), key, category_columns, rates)
     return ends.join(means, key).select(key, "start", "final", clamp_rate(F.col("success_rate")).alias("success_rate"))
+
+
+def calibration_schedule(amounts: DataFrame, prices: DataFrame, people: DataFrame, items: DataFrame, key: str, t: str, val: str,
+                         base: int, train_end: int, k: int, first: int, last: int, start: int, end: int) -> DataFrame:
+    """Spending to disbursement periods: deflated per head, detrended, each year cut into ``k`` periods,
+    the periods of the years start to end kept, and aligned with the full list of items, which keep a
+    row with nulls where they spend nothing."""
+    real = pn.deflate(amounts, prices, people, t, val, base).select(key, t, F.col("adjusted").alias(val))
+    flat = pn.detrend(real, key, t, val, train_end).select(key, t, F.col("detrended").alias(val))
+    periods = pn.period_slice(pn.refine(flat, key, t, val, k, first, last), start, end, k, first)
+    return jn.align(items.select(key), periods, [key])
+
+
+def calibration_networks(item_edges: DataFrame, items: DataFrame, indicators: DataFrame, default: DataFrame, yes: Column,
+                         links: DataFrame, method: str, item_least: float = 0.5, link_least: float | None = None) -> DataFrame:
+    """Both edge tables of a calibration run as kind, src, dst, weight: which item funds which indicator
+    (weight 1, the default for indicators without any), and how indicators act on each other."""
+    funds = nw.b2i_network(item_edges, items, indicators, default, yes, item_least)
+    acts = nw.i2i_network(links, indicators, method, link_least)
+    return funds.select(F.lit("item").alias("kind"), F.col("item_idx").alias("src"), F.col("indicator_idx").alias("dst"), F.lit(1.0).alias("weight")).unionByName(
+        acts.select(F.lit("indicator").alias("kind"), "src", "dst", "weight"))

@@ -126,15 +126,19 @@ def _shared(kind, key):
     return F.concat(F.lit(f"{kind} "), F.expr(f"CAST({key} DIV 2 AS STRING)"))
 
 
-def _item_index(t):
+def item_index(t):
     return t.supplier.select(F.col("s_suppkey").alias("idx"), _shared("item", "s_suppkey").alias("name"))
 
 
-def _indicator_index(t):
+def indicator_index(t):
     return t.part.select(F.col("p_partkey").alias("idx"), _shared("indicator", "p_partkey").alias("name"))
 
 
-def _predicted(t):
+def default_items(t):
+    return t.part.select(F.col("p_partkey").alias("indicator_idx"), F.col("p_size").cast("bigint").alias("item_idx"))
+
+
+def predicted(t):
     return t.lineitem.groupBy(_shared("item", "l_suppkey").alias("budget_item"),
                               _shared("indicator", "l_partkey").alias("indicator")).agg(
         F.max(F.col("l_discount") * 10).alias("yes"))
@@ -143,7 +147,7 @@ def _predicted(t):
 @query("name_index_fanout", f"""WITH {_NAMED} SELECT budget_item, indicator, yes, i.idx AS item_idx, d.idx AS indicator_idx
   FROM preds JOIN items i ON i.name = budget_item JOIN inds d ON d.name = indicator""")
 def _(t):
-    return jn.resolve(_predicted(t), _item_index(t), _indicator_index(t))
+    return jn.resolve(predicted(t), item_index(t), indicator_index(t))
 
 
 @query("fallback_fill", """WITH r AS (SELECT DISTINCT l_partkey AS indicator, l_suppkey AS program FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'),
@@ -242,8 +246,7 @@ def _(t):
     JOIN inds d ON d.name = indicator WHERE yes >= 0.5)
   SELECT * FROM k UNION ALL SELECT p_partkey, p_size FROM part WHERE p_partkey NOT IN (SELECT indicator_idx FROM k)""")
 def _(t):
-    default = t.part.select(F.col("p_partkey").alias("indicator_idx"), F.col("p_size").cast("bigint").alias("item_idx"))
-    return nw.b2i_network(_predicted(t), _item_index(t), _indicator_index(t), default, F.col("yes"))
+    return nw.b2i_network(predicted(t), item_index(t), indicator_index(t), default_items(t), F.col("yes"))
 
 
 _I2I_ROWS = """raw AS (SELECT 'indicator ' || CAST(l_partkey // 2 AS VARCHAR) AS indicator1, 'indicator ' || CAST(l_suppkey // 2 AS VARCHAR) AS indicator2,
@@ -251,7 +254,7 @@ _I2I_ROWS = """raw AS (SELECT 'indicator ' || CAST(l_partkey // 2 AS VARCHAR) AS
   names AS (SELECT 'indicator ' || CAST(p_partkey // 2 AS VARCHAR) AS name, max(p_partkey) AS idx FROM part GROUP BY 1)"""
 
 
-def _i2i_rows(t):
+def indicator_links(t):
     p = F.col("l_tax") * 10
     return t.lineitem.select(
         _shared("indicator", "l_partkey").alias("indicator1"), _shared("indicator", "l_suppkey").alias("indicator2"),
@@ -270,17 +273,17 @@ _CERTAIN = "AND (1 + (CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END + CASE WHEN p <
 
 @query("i2i_network", _i2i_sql(_CERTAIN))
 def _(t):
-    return nw.i2i_network(_i2i_rows(t), _indicator_index(t), "distribution", 0.2).withColumn("weight", rnd(F.col("weight"), 6))
+    return nw.i2i_network(indicator_links(t), indicator_index(t), "distribution", 0.2).withColumn("weight", rnd(F.col("weight"), 6))
 
 
 @query("i2i_network_digit", _i2i_sql("AND w >= 0.45"))
 def _(t):
-    return nw.i2i_network(_i2i_rows(t), _indicator_index(t), "digit", 0.45).withColumn("weight", rnd(F.col("weight"), 6))
+    return nw.i2i_network(indicator_links(t), indicator_index(t), "digit", 0.45).withColumn("weight", rnd(F.col("weight"), 6))
 
 
 @query("i2i_network_entropy", _i2i_sql(""))
 def _(t):
-    return nw.i2i_network(_i2i_rows(t), _indicator_index(t), "entropy").withColumn("weight", rnd(F.col("weight"), 6))
+    return nw.i2i_network(indicator_links(t), indicator_index(t), "entropy").withColumn("weight", rnd(F.col("weight"), 6))
 
 
 @query("i2i_network_edge_list", f"WITH {EDGES} SELECT src, dst, weight FROM edges WHERE weight >= 10")
