@@ -134,6 +134,15 @@ def _(docs):
     return lines.drop_frequent(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-@query("op3_ngram_jaccard", "documents")
+@query("op3_ngram_jaccard", "documents", rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT row, md5(array_to_string(w[i + 1:i + 5], ' ')) AS g FROM (SELECT row, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT row, count(*) AS n FROM s GROUP BY row),
+p AS (SELECT a.row AS x, b.row AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.row < b.row GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.row = x JOIN n ny ON ny.row = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(row, root) AS (SELECT row, row FROM d UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.row)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM r JOIN d ON d.row = r.row JOIN d o ON o.row = r.root LEFT JOIN n ON n.row = r.row GROUP BY d.row, d.doc_id""")
 def _(docs):
     return jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
