@@ -2,8 +2,9 @@
 
 Jaccard distance is a metric, and linked documents lie within 0.25 of each other.
 
-1. One pass gives every document its set's 80-bit key and size, and adds up a fixed-size sketch of document
-   frequencies over all shingles. Documents with equal sets are one class from here on.
+1. One pass gives every document its set's 80-bit key and size, and adds up a sketch of document frequencies
+   over all shingles: 2**26 buckets, one byte each on a scale of logarithms, whatever the table holds. It
+   only orders shingles; results do not depend on it. Documents with equal sets are one class from here on.
 2. A linked pair shares a shingle among the first quarter (plus one) of both sets, in any common order of
    shingles; rare ones come first here, so common passages hardly ever count. Documents that meet in a
    shingle, in sizes that allow a link, form a group; its pivot is its smallest key. All documents that met a
@@ -26,14 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import (add_arrays, array_chunks, byte_values, gram_hashes, hashes_of, in_filter, mix, named, pick, presence_filter,
+from panelweave.llm.common import (byte_values, gram_hashes, hashes_of, in_filter, mix, named, pick, presence_filter,
                                    shuffle_partitions, worker_store)
+from panelweave.llm.exchange import rice_decode, rice_encode
 from panelweave.operators.scale import null_safe_join
 from panelweave.session import durable
 
 WORDS = 5
 PERCENT = 75
-SKETCH_BITS = 20
+SKETCH_BITS = 26
+CHUNK_BITS = 20
+SKETCH_PIECE = 1 << 22  # shingles counted before they are sent
 BLOCK_SHINGLES = 1 << 21  # of a region joined in one task
 HEAVY = 1 << 20  # a shingle that more documents may hold is grouped by Spark rows, not in an owner's memory
 PIECE = 1 << 19  # shingles or entries gathered before they are sent
@@ -68,17 +72,24 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int):
 
 
 def _keys_and_sketch(n: int, bits: int):
+    """Key and size of every document's set, and for the frequency sketch the documents per bucket of the
+    shingles, as Rice-coded buckets with counts."""
+    names = ["doc_id", "tag", "n", "key", "chunk", "codes", "counts"]
+    width = min(bits, CHUNK_BITS)
+
+    def messages(held: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
+        buckets, counts = np.unique(np.concatenate(held), return_counts=True)
+        cuts = np.searchsorted(buckets, np.arange((1 << (bits - width)) + 1, dtype=np.int64) << width)
+        filled = [i for i in range(len(cuts) - 1) if cuts[i] < cuts[i + 1]]
+        m = len(filled)
+        low = (buckets & ((1 << width) - 1)).astype(np.uint64)
+        return pa.RecordBatch.from_arrays([
+            pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(filled, pa.int32()),
+            pa.array([rice_encode(low[cuts[i]:cuts[i + 1]]) for i in filled], pa.binary()),
+            pa.array([np.minimum(counts[cuts[i]:cuts[i + 1]], 65535).astype(np.uint16).tobytes() for i in filled], pa.binary())], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "tag", "n", "key", "chunk", "data"]
-        sketch = np.zeros(1 << bits, np.uint32)
         held, gathered = [], 0
-
-        def add() -> None:
-            nonlocal held, gathered
-            if held:
-                np.add(sketch, np.bincount((np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64), minlength=len(sketch)).astype(np.uint32), out=sketch)
-            held, gathered = [], 0
-
         kind = pa.int64()
         for batch in batches:
             kind = batch.schema.field("doc_id").type
@@ -86,21 +97,48 @@ def _keys_and_sketch(n: int, bits: int):
             for _, _, own in _sets(iter([batch]), n):
                 sizes.append(len(own))
                 keys.append(set_key(own))
-                held.append(own)
+                held.append((own >> np.uint64(64 - bits)).astype(np.uint32))
                 gathered += len(own)
-                if gathered > PIECE:
-                    add()
-            nulls = len(sizes)
+                if gathered > SKETCH_PIECE:
+                    yield messages(held, kind)
+                    held, gathered = [], 0
+            m = len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-                                              pa.nulls(nulls, pa.int32()), pa.nulls(nulls, pa.binary())], names=names)
-        add()
-        chunks, data = array_chunks(sketch)
-        m = len(chunks)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(chunks, pa.int32()),
-                                          pa.array(data, pa.binary())], names=names)
+                                              pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
+        if held:
+            yield messages(held, kind)
     return run
 
 
+def _weights(width: int):
+    """Per chunk of buckets the documents on a scale of logarithms, a byte each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, codes, counts in zip(*[batch.column(c).to_pylist() for c in ("chunk", "codes", "counts")]):
+                total = totals.setdefault(chunk, np.zeros(1 << width, np.uint32))
+                total[rice_decode(codes).astype(np.int64)] += np.frombuffer(counts, np.uint16)
+        for chunk, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([_scale(total).tobytes()], pa.binary())], names=["chunk", "data"])
+    return run
+
+
+def _scale(counts):
+    return np.minimum(255, 8 * np.log2(counts + 1.0)).astype(np.uint8)
+
+
+def _sketch(messages: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bytes, whatever the table holds."""
+    width = min(bits, CHUNK_BITS)
+    chunks = 1 << (bits - width)
+    out = np.zeros(1 << bits, np.uint8)
+    rows = messages.select("chunk", "codes", "counts").repartition(min(chunks, shuffle_partitions(messages)), "chunk").mapInArrow(
+        _weights(width), "chunk int, data binary")
+    for row in rows.toLocalIterator():  # one row per chunk
+        out[row.chunk << width:(row.chunk + 1) << width] = np.frombuffer(row.data, np.uint8)
+    return out
+
+
 def _prefixes(order, heavy, n: int, percent: int, bits: int, owners: int):
     """Entries (shingle, key, size) of the sets' prefixes, for the owners of shingle ranges. Owner -1: heavy shingles."""
     def message(held) -> pa.RecordBatch:
@@ -109,7 +147,7 @@ def _prefixes(order, heavy, n: int, percent: int, bits: int, owners: int):
         keys = np.repeat(np.frombuffer(b"".join(k for _, k, _ in held), KEY), counts)
         sizes = np.repeat(np.array([s for _, _, s in held], np.uint32), counts)
         owner = (((hashes >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)).astype(np.int64)
-        owner[heavy.value[(hashes >> np.uint64(64 - bits)).astype(np.int64)]] = -1
+        owner[order.value[(hashes >> np.uint64(64 - bits)).astype(np.int64)] > heavy] = -1
         at = np.argsort(owner, kind="stable")
         cuts = np.searchsorted(owner[at], np.arange(-1, owners + 1))
         filled = [i for i in range(owners + 1) if cuts[i] < cuts[i + 1]]
@@ -371,16 +409,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.col("text").cast("string").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
     owners = shuffle_partitions(docs)
-    first = durable(source.withColumn("tag", F.xxhash64("text")).mapInArrow(_keys_and_sketch(words, sketch_bits), f"doc_id {id_type}, tag long, n long, key binary, chunk int, data binary"))
+    first = durable(source.withColumn("tag", F.xxhash64("text")).mapInArrow(
+        _keys_and_sketch(words, sketch_bits), f"doc_id {id_type}, tag long, n long, key binary, chunk int, codes binary, counts binary"))
     rows = first.where("n IS NOT NULL").select("doc_id", "tag", "n", "key")
-    counts = add_arrays(first.where("chunk IS NOT NULL"), 1 << sketch_bits, "uint32")
-    order = spark.sparkContext.broadcast(np.minimum(255, 8 * np.log2(counts + 1.0)).astype(np.uint8))
-    crowded = spark.sparkContext.broadcast(counts > heavy)
+    weights = _sketch(first.where("chunk IS NOT NULL"), sketch_bits)
+    crowded = int(_scale(heavy))
+    order = spark.sparkContext.broadcast(weights)
 
     sent = (source.mapInArrow(_prefixes(order, crowded, words, percent, sketch_bits, owners), "owner int, hashes binary, keys binary, sizes binary")
             .repartition(owners, F.when(F.col("owner") >= 0, F.col("owner")).otherwise(F.hash("hashes"))))
     member = "pivot binary, key binary, n long"
-    if (counts > heavy).any():
+    if (weights > crowded).any():
         sent = durable(sent)
         entries = sent.where("owner < 0").mapInArrow(_entries, "hash long, key binary, n long").distinct()
         pivots = entries.groupBy("hash").agg(F.min("key").alias("pivot"))
@@ -388,9 +427,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members = sent.where("owner >= 0").repartition(owners, "owner").mapInArrow(_groups(percent), member).unionByName(more)
     else:
         members = sent.mapInArrow(_groups(percent), member)
-    members = members.distinct()
+    members = durable(members.distinct())
     pivot_rows = members.select("pivot").distinct().select("pivot", F.col("pivot").alias("key"), F.lit(0).cast("long").alias("n"))
-    members = durable(members.unionByName(pivot_rows))
+    members = members.unionByName(pivot_rows)
     sizes = members.groupBy("pivot").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / block_shingles)).cast("long").alias("blocks"))
     placed = null_safe_join(members, sizes, ["pivot"], "inner")
     each = F.when(F.col("key") == F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(_block("key", F.col("blocks"))))
