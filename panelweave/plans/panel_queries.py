@@ -393,7 +393,7 @@ _CASCADE = f"""{_AGED}, k AS (SELECT * FROM aged WHERE is_dup_age = 0 OR large_a
   WHERE NOT (is_latest = 0 AND is_longest = 1 AND dup2 = 1)""")
 def _(t):
     return rk.dedup_series(fx.observations(t), fx.AGE_ORDER, F.expr(_VINTAGE), national="N",
-                           comparator=F.col("period") == 2001)
+                           comparator=F.col("period") == 2001, strict=True)
 
 
 @query("series_gap", f"""WITH {PANEL}, g AS (SELECT series, year, year - lag(year) OVER (PARTITION BY series ORDER BY year) AS step FROM panel)
