@@ -14,6 +14,7 @@ from panelweave.functions.answers import edge_weight
 from panelweave.functions.uncertainty import certainty
 from panelweave.operators.joins import resolve
 from panelweave.operators.scale import null_safe_join
+from panelweave.session import durable
 
 
 def edge_threshold(df: DataFrame, yes: Column, least: float = 0.5) -> DataFrame:
@@ -25,7 +26,8 @@ def b2i_network(edges: DataFrame, items: DataFrame, indicators: DataFrame, defau
     """(indicator_idx, item_idx) rows of the edges that pass, names fanned out to all indices,
     the default rows for indicators left without any."""
     passing = edge_threshold(edges, yes, least).select("budget_item", "indicator").distinct()
-    known = null_safe_join(passing, items.select(F.col("name").alias("budget_item")).distinct(), ["budget_item"], "left_semi")
+    # two names a row, read by both branches below: written once instead of planned twice
+    known = durable(null_safe_join(passing, items.select(F.col("name").alias("budget_item")).distinct(), ["budget_item"], "left_semi"))
     rows = resolve(known, items, indicators).select("indicator_idx", "item_idx")
     # which indicators got a program is decided on names, before the fan-out
     named = indicators.select(F.col("idx").alias("indicator_idx"), F.col("name").alias("indicator"))
