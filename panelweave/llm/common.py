@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,26 +44,6 @@ def worker_store(name: str, make: Callable):
     return getattr(store, name)
 
 
-def hashes_of(items: Iterable[bytes], cache: dict) -> np.ndarray:
-    """64-bit hashes, remembered per worker for repeated items."""
-    import xxhash
-
-    if len(cache) > CACHE_ENTRIES:
-        cache.clear()
-    digest = xxhash.xxh3_64_intdigest
-    items = list(items)
-    found = list(map(cache.get, items))
-    if None in found:
-        for i, value in enumerate(found):
-            if value is None:
-                item = items[i]
-                value = digest(item)
-                if len(item) <= 64:
-                    cache[item] = value
-                found[i] = value
-    return np.array(found, dtype=np.uint64)
-
-
 def mix(values: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit numbers (the splitmix64 finaliser)."""
     values = values.astype(np.uint64, copy=True)
@@ -74,6 +55,72 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values
 
 
+_RATE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _powers(base: int, count: int) -> np.ndarray:
+    out = np.full(count, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class WordHasher:
+    """64-bit hashes of all words of many texts at once. A word's hash is a polynomial of random values
+    of its bytes, read off running sums over the whole buffer and scrambled with the length."""
+
+    def __init__(self):
+        self.values = mix(np.arange(1, 257, dtype=np.uint64))
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words (runs of bytes other than ASCII white space, A-Z lower-cased) of texts laid
+        end to end, and the number of words of each text."""
+        data = np.frombuffer(b" " + b" ".join(texts).lower() + b" ", np.uint8)
+        if len(data) > len(self.up):
+            size = max(len(data), 1 << 21)
+            self.up, self.down = _powers(_RATE, size), _powers(pow(_RATE, -1, 1 << 64), size)
+        gap = _SPACE[data]
+        edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        starts, ends = edges[::2], edges[1::2]
+        sums = self.values[data]
+        sums *= self.up[:len(data)]
+        np.cumsum(sums, out=sums)
+        hashes = (sums[ends - 1] - sums[starts - 1]) * self.down[starts]
+        bounds = np.cumsum([1, *[len(text) + 1 for text in texts]])
+        return mix(hashes + (ends - starts).astype(np.uint64)), np.diff(np.searchsorted(starts, bounds))
+
+
+def hashed_pieces(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, word hashes, words per text) of pieces of at most ``most`` bytes, or one longer text."""
+    hasher = worker_store("word_hasher", WordHasher)
+    first, size = 0, 0
+    for row, text in enumerate(texts):
+        if row > first and size + len(text) > most:
+            yield first, *hasher(texts[first:row])
+            first, size = row, 0
+        if len(text) > 4 * most:  # alone, and cut at white space
+            words = np.concatenate([hasher([part])[0] for part in _parts(text, most)])
+            yield row, words, np.array([len(words)])
+            first, size = row + 1, 0
+        else:
+            size += len(text)
+    if first < len(texts):
+        yield first, *hasher(texts[first:])
+
+
+def _parts(text: bytes, most: int) -> Iterator[bytes]:
+    """Pieces of a long text of about ``most`` bytes that cut no word."""
+    gap = re.compile(rb"[\x20\x09-\x0d]")
+    at = 0
+    while at < len(text):
+        cut = gap.search(text, at + most)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of ``n`` consecutive word hashes."""
     count = len(words) - n + 1

@@ -7,7 +7,7 @@ Jaccard distance is a metric, and linked documents lie within 0.25 of each other
    only orders shingles; results do not depend on it. Documents with equal sets are one class from here on.
 2. A linked pair shares a shingle among the first quarter (plus one) of both sets, in any common order of
    shingles; rare ones come first here, so common passages hardly ever count. Documents that meet in a
-   shingle, in sizes that allow a link, form a group; its pivot is its smallest key. All documents that met a
+   shingle, in sizes and at places that allow a link, form a group; its pivot is its smallest key. All documents that met a
    pivot form its Voronoi region: every linked pair lies together in at least one region.
 3. A region within a task's bound is joined there: members linked to the pivot are one class at once; for
    the others the triangle inequality leaves those whose distances to the pivots differ by at most 0.25.
@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import (byte_values, gram_hashes, hashes_of, in_filter, mix, named, pick, presence_filter,
-                                   shuffle_partitions, worker_store)
+from panelweave.llm.common import (byte_values, gram_hashes, hashed_pieces, in_filter, mix, named, pick, presence_filter,
+                                   shuffle_partitions)
 from panelweave.llm.exchange import rice_decode, rice_encode
 from panelweave.operators.scale import null_safe_join
 from panelweave.session import durable
@@ -50,7 +50,15 @@ def shingles(words: np.ndarray, n: int = WORDS) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(words) < n:
         return mix(gram_hashes(words, len(words)) + np.uint64(len(words)))
-    return np.unique(gram_hashes(words, n))
+    return _distinct(gram_hashes(words, n))
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    keep = np.empty(len(values), bool)
+    keep[0] = True
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
 
 
 def set_key(shingle_set: np.ndarray) -> bytes:
@@ -63,12 +71,15 @@ def linked(both: np.ndarray, one: int, other: np.ndarray, percent: int) -> np.nd
     return 100 * both >= percent * (one + other - both)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int):
-    cache = worker_store("word_hashes", dict)
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[np.ndarray]:
+    """The shingle set of every row."""
     for batch in batches:
-        ids = batch.column("doc_id")
-        for row, text in enumerate(byte_values(batch, "text")):
-            yield ids, row, shingles(hashes_of(text.lower().split(), cache), n)
+        for _, words, sizes in hashed_pieces(byte_values(batch, "text")):
+            grams = gram_hashes(words, n)
+            end = 0
+            for size in sizes.tolist():
+                start, end = end, end + size
+                yield _distinct(grams[start:end - n + 1]) if size >= n else shingles(words[start:end], n)
 
 
 def _keys_and_sketch(n: int, bits: int):
@@ -94,7 +105,7 @@ def _keys_and_sketch(n: int, bits: int):
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             sizes, keys = [], []
-            for _, _, own in _sets(iter([batch]), n):
+            for own in _sets(iter([batch]), n):
                 sizes.append(len(own))
                 keys.append(set_key(own))
                 held.append((own >> np.uint64(64 - bits)).astype(np.uint32))
@@ -146,19 +157,20 @@ def _prefixes(order, heavy, n: int, percent: int, bits: int, owners: int):
         counts = [len(h) for h, _, _ in held]
         keys = np.repeat(np.frombuffer(b"".join(k for _, k, _ in held), KEY), counts)
         sizes = np.repeat(np.array([s for _, _, s in held], np.uint32), counts)
+        rests = sizes - np.concatenate([np.arange(c, dtype=np.uint32) for c in counts])
         owner = (((hashes >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)).astype(np.int64)
         owner[order.value[(hashes >> np.uint64(64 - bits)).astype(np.int64)] > heavy] = -1
         at = np.argsort(owner, kind="stable")
         cuts = np.searchsorted(owner[at], np.arange(-1, owners + 1))
         filled = [i for i in range(owners + 1) if cuts[i] < cuts[i + 1]]
         return pa.RecordBatch.from_arrays([pa.array([i - 1 for i in filled], pa.int32()), *[
-            pa.array([values[at[cuts[i]:cuts[i + 1]]].tobytes() for i in filled], pa.binary()) for values in (hashes, keys, sizes)]],
-            names=["owner", "hashes", "keys", "sizes"])
+            pa.array([values[at[cuts[i]:cuts[i + 1]]].tobytes() for i in filled], pa.binary()) for values in (hashes, keys, sizes, rests)]],
+            names=["owner", "hashes", "keys", "sizes", "rests"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = order.value
         held, gathered, seen = [], 0, set()
-        for _, _, own in _sets(batches, n):
+        for own in _sets(batches, n):
             if not len(own):
                 continue
             key = set_key(own)
@@ -167,7 +179,8 @@ def _prefixes(order, heavy, n: int, percent: int, bits: int, owners: int):
             seen.add(key)
             size = len(own)
             least = -(-percent * size // 100)  # shared shingles of a linked pair
-            rank = np.lexsort((own, weights[(own >> np.uint64(64 - bits)).astype(np.int64)]))
+            weight = weights[(own >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
+            rank = np.argsort((weight << np.uint64(56)) | (own >> np.uint64(8)), kind="stable")  # by weight, then hash
             held.append((own[rank[:size - least + 1]], key, size))
             gathered += size - least + 1
             if gathered > PIECE:
@@ -178,11 +191,30 @@ def _prefixes(order, heavy, n: int, percent: int, bits: int, owners: int):
     return run
 
 
+LOOK_AHEAD = 16  # entries of one shingle that are compared one by one; of more, all stay
+
+
+def _viable(group: np.ndarray, sizes: np.ndarray, rests: np.ndarray, percent: int) -> np.ndarray:
+    """Entries that can be the first shared shingle of a linked pair. No earlier shingle is shared then, so
+    the overlap is at most the smaller rest from that place on; a link needs percent / (100 + percent) of
+    both sizes together. Entries are sorted by group."""
+    count = np.bincount(group)[group]
+    out = count > LOOK_AHEAD
+    for ahead in range(1, LOOK_AHEAD):
+        a = np.flatnonzero((group[ahead:] == group[:-ahead]) & (count[ahead:] <= LOOK_AHEAD))
+        if not len(a):
+            break
+        b = a + ahead
+        fits = (100 + percent) * np.minimum(rests[a], rests[b]) >= percent * (sizes[a] + sizes[b])
+        out[a[fits]] = out[b[fits]] = True
+    return out
+
+
 def _groups(percent: int):
     """Members and pivots of the groups that meet in a shingle, from all messages of an owner."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [row for batch in batches for row in zip(*[batch.column(c).to_pylist() for c in ("hashes", "keys", "sizes")])]
-        hashes, keys, sizes = (np.frombuffer(b"".join(r[i] for r in rows), kind) for i, kind in enumerate((np.uint64, KEY, np.uint32)))
+        rows = [row for batch in batches for row in zip(*[batch.column(c).to_pylist() for c in ("hashes", "keys", "sizes", "rests")])]
+        hashes, keys, sizes, rests = (np.frombuffer(b"".join(r[i] for r in rows), kind) for i, kind in enumerate((np.uint64, KEY, np.uint32, np.uint32)))
         if not len(hashes):
             return
         order = np.argsort(hashes, kind="stable")
@@ -190,12 +222,20 @@ def _groups(percent: int):
         same = hashes[1:] == hashes[:-1]
         shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         order, hashes = order[shared], hashes[shared]
-        if not len(order):
-            return
-        keys, sizes = keys[order], sizes[order].astype(np.int64)
+        keys, sizes, rests = keys[order], sizes[order].astype(np.int64), rests[order].astype(np.int64)
         high, low = keys["a"].astype(np.uint64), keys["b"].astype(np.uint64)
+        # a document's copies in several messages are one entry
         order = np.lexsort((low, high, sizes, hashes))
-        hashes, sizes, high, low, keys = hashes[order], sizes[order], high[order], low[order], keys[order]
+        hashes, sizes, rests, high, low, keys = hashes[order], sizes[order], rests[order], high[order], low[order], keys[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (hashes[1:] != hashes[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+        hashes, sizes, rests, high, low, keys = (x[fresh] for x in (hashes, sizes, rests, high, low, keys))
+        if not len(hashes):
+            return
+        stays = _viable(np.cumsum(np.concatenate([[0], hashes[1:] != hashes[:-1]])), sizes, rests, percent)
+        hashes, sizes, high, low, keys = (x[stays] for x in (hashes, sizes, high, low, keys))
+        if not len(hashes):
+            return
         # a gap in the sizes that no linked pair can span opens a new group
         opens = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (100 * sizes[:-1] < percent * sizes[1:])])
         group = np.cumsum(opens) - 1
@@ -203,7 +243,9 @@ def _groups(percent: int):
         first = first[np.concatenate([[True], np.diff(group[first]) > 0])]
         pivots = keys[first][group]
         member = keys != pivots
-        pairs = np.unique(np.rec.fromarrays([pivots[member], keys[member], sizes[member].astype(">u4")], names="p,k,n").view("S24")) if member.any() else []
+        if not member.any():
+            return
+        pairs = np.unique(np.rec.fromarrays([pivots[member], keys[member], sizes[member].astype(">u4")], names="p,k,n").view("S24"))
         raw = [bytes(x).ljust(24, b"\0") for x in pairs]
         yield pa.RecordBatch.from_arrays([pa.array([x[:10] for x in raw], pa.binary()), pa.array([x[10:20] for x in raw], pa.binary()),
                                           pa.array([int.from_bytes(x[20:], "big") for x in raw], pa.int64())], names=["pivot", "key", "n"])
@@ -225,7 +267,7 @@ def _ship(flags, n: int):
         def table() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.binary()), pa.array([s for _, s in held], pa.binary())], names=["key", "shingles"])
 
-        for _, _, own in _sets(batches, n):
+        for own in _sets(batches, n):
             if not len(own):
                 continue
             key = set_key(own)
@@ -416,7 +458,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = int(_scale(heavy))
     order = spark.sparkContext.broadcast(weights)
 
-    sent = (source.mapInArrow(_prefixes(order, crowded, words, percent, sketch_bits, owners), "owner int, hashes binary, keys binary, sizes binary")
+    sent = (source.mapInArrow(_prefixes(order, crowded, words, percent, sketch_bits, owners), "owner int, hashes binary, keys binary, sizes binary, rests binary")
             .repartition(owners, F.when(F.col("owner") >= 0, F.col("owner")).otherwise(F.hash("hashes"))))
     member = "pivot binary, key binary, n long"
     if (weights > crowded).any():

@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm import exchange
-from panelweave.llm.common import byte_values, gram_hashes, hashes_of, in_filter, mix, pick, presence_filter, shuffle_partitions, worker_store
+from panelweave.llm.common import byte_values, gram_hashes, hashed_pieces, in_filter, mix, pick, presence_filter, shuffle_partitions
 from panelweave.session import durable
 
 LENGTH = 50  # words of a passage
 GRAM = 16  # words of a suffix that are compared first
-PART_WORDS = 1 << 20
+PIECE_BYTES = 4 << 20
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -69,21 +69,10 @@ def window_keys(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]):
-    """Documents of at most PART_WORDS words together (or one longer document), as bounds in the batch."""
-    cache = worker_store("word_hashes", dict)
+    """Documents of some megabytes together, or one longer document, with their first row in the batch."""
     for batch in batches:
-        held, sizes, first = [], [], 0
-        total = 0
-        for row, text in enumerate(byte_values(batch, "text")):
-            own = hashes_of(text.lower().split(), cache)
-            if held and total + len(own) > PART_WORDS:
-                yield batch, first, np.concatenate(held), np.array(sizes, np.int64)
-                held, sizes, first, total = [], [], row, 0
-            held.append(own)
-            sizes.append(len(own))
-            total += len(own)
-        if held:
-            yield batch, first, np.concatenate(held), np.array(sizes, np.int64)
+        for first, words, sizes in hashed_pieces(byte_values(batch, "text"), PIECE_BYTES):
+            yield batch, first, words, sizes
 
 
 def _suffixes(owners: int, length: int, gram: int):

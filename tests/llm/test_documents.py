@@ -12,6 +12,7 @@ from conftest import odd_rows
 from tokenizers import Tokenizer
 
 from panelweave.llm import exact_dedup, exchange, jaccard, lines, mixing, packing, repeats, tokens
+from panelweave.llm.common import hashed_pieces
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SPACES = b" \t\n\x0b\x0c\r"
@@ -25,6 +26,19 @@ def some(items):
     return Counter(map(tuple, items))
 
 
+def test_word_hashes_tell_words_apart():
+    texts = [b"a bb A\tab  ba", b"", b" ", b"x" * 50 + b" \x0b" + b"y z" * 40, "é É \u00a0".encode()]
+    for most in (1, 20, 1 << 20):
+        got = {}
+        for first, hashes, sizes in hashed_pieces(texts, most):
+            ends = np.cumsum(sizes)
+            got |= {first + i: hashes[e - n:e].tolist() for i, (n, e) in enumerate(zip(sizes, ends))}
+        names = [w for t in texts for w in t.lower().split()]
+        values = [h for i in range(len(texts)) for h in got[i]]
+        assert [len(got[i]) for i in range(len(texts))] == [len(t.split()) for t in texts]
+        assert len(set(zip(names, values))) == len(set(names)) == len(set(values))
+
+
 # exchange and exact copies
 
 @pytest.mark.parametrize("count", [0, 1, 2, 7, 1000])
