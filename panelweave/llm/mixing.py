@@ -18,6 +18,7 @@ from panelweave.session import durable
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BITS, LEVELS = 12, 5
+BROADCAST_BYTES = 32 << 20  # most bytes of the table of sources that are broadcast
 
 
 def word_count(text: Column) -> Column:
@@ -94,13 +95,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Sources without words get target 0. An empty table gives an empty result. The same rows give the same
     mix on every run.
     """
-    plan = decide(docs, id_col, text_col, source_col).select(
-        F.struct("source_size", "target", "whole", "cut", "at_cut").alias("__llm_plan"), F.col("source").alias("__llm_source"))
-    joined = docs.join(plan, named(source_col).cast("string").eqNullSafe(F.col("__llm_source")))
-    p = F.col("__llm_plan")
-    here = place(named(id_col))
+    plan = decide(docs, id_col, text_col, source_col)
+    held = plan.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 64)).first()[0] or 0
+    plan = plan.select(F.struct("source_size", "target", "whole", "cut", "at_cut").alias("__llm_plan"), F.col("source").alias("__llm_source"))
+    if held <= BROADCAST_BYTES:  # one row per source; more sources than that meet their rows in a shuffled join
+        plan = F.broadcast(plan)
+    sized = docs.withColumns({"__llm_size": word_count(named(text_col)), "__llm_here": place(named(id_col))})
+    joined = sized.join(plan, named(source_col).cast("string").eqNullSafe(F.col("__llm_source")))
+    p, here, size = F.col("__llm_plan"), F.col("__llm_here"), F.col("__llm_size")
     more = F.col("__llm_plan.cut").isNull() & (p.target > p.whole * p.source_size) | (here < p.cut) | (here == p.cut) & p.at_cut
-    size = word_count(named(text_col))
     copies = p.whole + F.when(F.coalesce(more, F.lit(False)) & (p.whole < MOST_REPEATS), 1).otherwise(0)
     out = F.struct(size.alias("size"), p.source_size.alias("source_size"), p.target.alias("target"),
                    copies.alias("copies"), (size * copies).alias("taken"))
