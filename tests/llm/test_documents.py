@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import odd_rows
+from odd_documents import odd_rows
 from tokenizers import Tokenizer
 
 from panelweave.llm import exact_dedup, exchange, jaccard, lines, mixing, packing, repeats, tokens
