@@ -85,9 +85,10 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     return durable(null_safe_join(plan, thresholds(places, plan), ["source"], "left").drop("budget"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", out_col: str = "mix") -> DataFrame:
     """Every document with ``size``, ``source_size``, ``target`` (of its source), ``copies`` and ``taken``
-    (= size * copies) in the struct column ``mix``, beside all its own columns.
+    (= size * copies) in the struct column ``out_col``, beside all its own columns; an own column of that
+    name is replaced.
 
     A source takes whole documents: all of them as often as the target covers the source, then those whose
     hash lies below the boundary; the document at the boundary is taken if that brings the sum nearer. Null
@@ -107,10 +108,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     copies = p.whole + F.when(F.coalesce(more, F.lit(False)) & (p.whole < MOST_REPEATS), 1).otherwise(0)
     out = F.struct(size.alias("size"), p.source_size.alias("source_size"), p.target.alias("target"),
                    copies.alias("copies"), (size * copies).alias("taken"))
-    return joined.select(*[named(c) for c in docs.columns], out.alias("mix"))
+    return joined.select(*[named(c) for c in docs.columns if c.lower() != out_col.lower()], out.alias(out_col))
 
 
 def repeat_taken(docs: DataFrame, **columns: str) -> DataFrame:
     """The mixed corpus: every document as often as it is taken, with its own columns."""
-    taken = mix(docs, **columns).withColumn("__llm_copy", F.explode(F.sequence(F.lit(1), F.lit(MOST_REPEATS + 1))))
-    return taken.where(F.col("__llm_copy") <= F.col("mix.copies")).select(*[named(c) for c in docs.columns])
+    taken = mix(docs, out_col="__llm_mix", **columns)
+    copies = F.explode(F.sequence(F.lit(1), F.lit(MOST_REPEATS + 1))).alias("__llm_copy")
+    repeated = taken.select(*[named(c) for c in docs.columns], F.col("__llm_mix.copies").alias("__llm_copies"), copies)
+    return repeated.where(F.col("__llm_copy") <= F.col("__llm_copies")).select(*[named(c) for c in docs.columns])

@@ -217,7 +217,7 @@ def test_perfect_hash_numbers_all_keys():
 # mixing
 
 def test_mixing(odd, none):
-    out = mixing.mix(odd.drop("mix")).collect()
+    out = mixing.mix(odd).collect()
     sizes = [(i, len([w for w in re.split("[ \t\n\x0b\x0c\r]+", t or "") if w]), s) for i, t, s in odd_rows()]
     own = Counter()
     for _, n, s in sizes:
@@ -239,9 +239,11 @@ def test_mixing(odd, none):
     for s in order:
         mine = [r for r in out if r.source == s]
         assert abs(sum(r.mix.taken for r in mine) - target[s]) <= max(r.mix.size for r in mine)
-    assert some((r.doc_id, r.mix.taken) for r in mixing.mix(odd.drop("mix").repartition(3)).collect()) == some((r.doc_id, r.mix.taken) for r in out)
-    assert sum(r.mix.copies for r in out) == mixing.repeat_taken(odd.drop("mix")).count()
-    assert mixing.mix(none.drop("mix")).count() == 0
+    assert some((r.doc_id, r.mix.taken) for r in mixing.mix(odd.repartition(3)).collect()) == some((r.doc_id, r.mix.taken) for r in out)
+    repeated = mixing.repeat_taken(odd)
+    assert repeated.columns == odd.columns
+    assert sum(r.mix.copies for r in out) == repeated.count()
+    assert mixing.mix(none).count() == 0
 
 
 # token counts

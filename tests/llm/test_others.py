@@ -147,3 +147,13 @@ def test_pipeline_stages(spark, small):
     pieces = corpus_pipeline.run(spark, small)
     assert pieces.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert pieces.count() > 0
+
+
+def test_stages_take_odd_and_empty_documents(spark, small, odd, none):
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (odd, none):
+            out = stage(spark, docs, small)
+            rows = out.collect()
+            assert rows or docs is none, name
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns, name
