@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,8 +22,17 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts and sets to Python in batches of some megabytes: Spark's own 10,000 rows a batch would
+    hold tens of megabytes of text several times over. Settings that the application made stay."""
+    for key, value in {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}.items():
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, value)
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names: other columns cannot clash."""
+    small_batches(df.sparkSession)
     return df.select(*[named(source).alias(target) for target, source in columns.items()])
 
 
