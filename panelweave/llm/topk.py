@@ -125,14 +125,17 @@ def _search(k: int):
         ids = block.column("vec_id").to_numpy()
         out: list[tuple] = []
         if len(vectors) and len(queries):
-            # of equal vectors only the k + 1 smallest ids can be among a query's best k
+            # of equal vectors only rows of the k + 1 smallest ids can be among a query's best k (its own id may be
+            # one of them), and of one id only k rows; ids are counted, not rows, as rows may repeat
             order = np.lexsort((ids, *vectors.T)) if vectors.shape[1] else np.argsort(ids, kind="stable")
-            new = np.ones(len(order), bool)
+            new, new_id = np.ones(len(order), bool), np.ones(len(order), bool)
             if len(order) > 1:
                 new[1:] = (vectors[order[1:]] != vectors[order[:-1]]).any(axis=1)
-            starts = np.flatnonzero(new)
-            nth = np.arange(len(order)) - starts[np.cumsum(new) - 1]
-            kept = order[nth <= k]
+                new_id[1:] = new[1:] | (ids[order[1:]] != ids[order[:-1]])
+            number = np.cumsum(new_id) - 1
+            id_nth = number - number[np.flatnonzero(new)][np.cumsum(new) - 1]
+            row_nth = np.arange(len(order)) - np.flatnonzero(new_id)[number]
+            kept = order[(id_nth <= k) & (row_nth < k)]
             vectors, ids = vectors[kept], ids[kept]
             floor = asked.column("floor").to_numpy().astype(np.float64)
             search = Search(vectors, ids, queries, asked.column("vec_id").to_numpy(), floor, k)

@@ -34,6 +34,17 @@ def test_top_k(spark, options):
     assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == want
 
 
+@pytest.mark.parametrize("repeats", [2, 3, 25])
+def test_top_k_counts_ids_not_rows_among_equal_vectors(spark, repeats):
+    """A query whose own id repeats inside a group of equal vectors still gets k hits; so do rows that repeat beside it."""
+    ids = [100] * repeats + list(range(101, 121)) + [200] * 2 + [105, 105] + [90] * (repeats - 1)
+    df = spark.createDataFrame([(i, [0.5, 0.25]) for i in ids], "vec_id long, embedding array<double>")
+    want = Counter()
+    for q in (100, 200):
+        want.update((q, r + 1, i) for r, i in enumerate(sorted(i for i in ids if i != q)[:10]))
+    assert Counter((r.query_id, r["rank"], r.vec_id) for r in topk.top_k(df).collect()) == want
+
+
 def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
