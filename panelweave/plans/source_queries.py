@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.operators import corpus as cp
@@ -40,29 +41,58 @@ def _(t):
     return io.read_instruct(t.spark, path)
 
 
+FILE_ROWS, FILE_BYTES = 1000, 16 << 20  # texts of a stored file, and the bytes after which a new one begins
+
+
+def number_files(rows: DataFrame, group: list[str], order: str, file_bytes: int) -> DataFrame:
+    """Adds ``part``: texts of a group, itself of at most FILE_ROWS rows, go to the next file once one holds ``file_bytes``."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    so_far = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("part", F.floor((F.sum(size).over(so_far) - size) / file_bytes))
+
+
+def stored_texts(rows: DataFrame, path: str, file_rows: int = FILE_ROWS, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """item_id and text, written to files of bounded size and read back by whole files.
+
+    A text follows a form feed and a line with its id; form feeds in texts are written \\1, backslashes \\0, null \\2."""
+    escaped = F.replace(F.replace("text", F.lit("\\"), F.lit("\\0")), F.lit("\f"), F.lit("\\1"))
+    marked = F.concat(F.lit("\f"), F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce(escaped, F.lit("\\2")))
+    placed = rows.withColumn("file", F.expr(f"monotonically_increasing_id() div {file_rows}"))
+    (number_files(placed, ["file"], "item_id", file_bytes).select("file", "part", marked.alias("text"))
+     .write.partitionBy("file", "part").text(path))
+    files = io.read_corpus(rows.sparkSession, path, "*.txt")
+    parts = files.select(F.explode(F.slice(F.split("text", "\f"), 2, 2 ** 30)).alias("record"))
+    # the writer ends every text with a newline
+    body = F.expr("substring(record, instr(record, '\n') + 1, length(record) - instr(record, '\n') - 1)")
+    text = F.replace(F.replace(body, F.lit("\\1"), F.lit("\f")), F.lit("\\0"), F.lit("\\"))
+    number = F.substring_index("record", "\n", 1)
+    return parts.select(F.when(number != "", number).cast("bigint").alias("item_id"), F.when(body != "\\2", text).alias("text"))
+
+
 @query("read_text_corpus", "SELECT item_id, text FROM benchmark")
 def _(t):
-    path = io.scratch_folder(t.spark)
-    # a file holds the texts of one bucket, each behind a line with its id
-    marked = F.concat(F.lit("\f"), F.col("item_id").cast("string"), F.lit("\n"), "text")
-    t.benchmark.select((F.col("item_id") % 8).alias("bucket"), marked.alias("text")).repartition("bucket").write.partitionBy("bucket").text(path)
-    files = io.read_corpus(t.spark, path, "*.txt")
-    parts = files.select(F.explode(F.slice(F.split("text", "\f"), 2, 2 ** 30)).alias("part"))
-    return parts.select(F.substring_index("part", "\n", 1).cast("bigint").alias("item_id"),
-                        F.regexp_replace("part", r"\A\d+\n|\n\z", "").alias("text"))
+    return stored_texts(t.benchmark.select("item_id", "text"), io.scratch_folder(t.spark))
+
+
+def stored_docs(rows: DataFrame, path: str, file_rows: int = FILE_ROWS, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """One document per term, the texts of its items in order of ids: written to numbered files of bounded size,
+    read against the index, and digested file by file, so that no value holds a document."""
+    term = (F.col("item_id") % 7).cast("int")
+    docs = rows.select(term.alias("term_idx"), (term + 100).alias("pos"), "item_id", "text")
+    index = docs.select("term_idx", "pos", F.concat(F.lit("title "), F.col("term_idx").cast("string")).alias("title")).distinct()
+    keys = ["term_idx", "pos", "file"]
+    texts = docs.where("text IS NOT NULL").withColumn("file", F.expr(f"item_id div {7 * file_rows}"))
+    (number_files(texts, keys, "item_id", file_bytes).sortWithinPartitions(*keys, "part", "item_id").drop("item_id")
+     .write.partitionBy(*keys, "part").text(path))
+    stored = io.read_docs(rows.sparkSession, path, index, "*.txt", r"term_idx=(-?\d+)/", r"pos=(-?\d+)/",
+                          {"file": r"file=(-?\d+)/", "part": r"part=(\d+)/"})
+    return index.join(io.digest_docs(stored, ["file", "part"]), ["term_idx", "pos"], "left")
 
 
 @query("read_binary_docs", """SELECT CAST(item_id % 7 AS INTEGER) AS term_idx, CAST(item_id % 7 + 100 AS INTEGER) AS pos, 'title ' || CAST(item_id % 7 AS VARCHAR) AS title,
   md5(string_agg(text, chr(10) ORDER BY item_id) || chr(10)) AS digest FROM benchmark GROUP BY item_id % 7""")
 def _(t):
-    path = io.scratch_folder(t.spark)
-    term = (F.col("item_id") % 7).cast("int")
-    docs = t.benchmark.select(term.alias("term_idx"), (term + 100).alias("pos"), "item_id", "text")  # one document per term
-    (docs.repartition("term_idx").sortWithinPartitions("term_idx", "item_id").drop("item_id")
-     .write.partitionBy("term_idx", "pos").text(path))
-    index = docs.select("term_idx", "pos", F.concat(F.lit("title "), F.col("term_idx").cast("string")).alias("title")).distinct()
-    stored = io.read_docs(t.spark, path, index, "*.txt", r"term_idx=(\d+)/", r"pos=(\d+)/")
-    return stored.select("term_idx", "pos", "title", F.md5("content").alias("digest"))
+    return stored_docs(t.benchmark.select("item_id", "text"), io.scratch_folder(t.spark))
 
 
 @query("read_experiments", """SELECT CAST(l_linenumber AS VARCHAR) AS exp_id, l_returnflag AS item, l_quantity AS score,

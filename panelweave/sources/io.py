@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,9 @@ from panelweave.functions.names import metric_in_name
 from panelweave.operators.scale import null_safe_join, ordered_rank
 from panelweave.session import ensure_checkpoint_dir
 
+# the Arrow function below travels to the workers by value
+register_pickle_by_value(sys.modules[__name__])
+
 PAIR_COLUMNS = {"b2i": ("budget_item", "indicator"), "i2i": ("indicator1", "indicator2")}
 
 
@@ -56,16 +63,44 @@ def read_doc_index(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_docs(spark: SparkSession, folder: str, index: DataFrame | None = None,
               pattern: str = "[0-9][0-9][0-9].*", term_in_path: str = r"/(\d+)/\d+\.[^/]*$",
-              pos_in_path: str = r"/\d+/(\d+)\.[^/]*$") -> DataFrame:
+              pos_in_path: str = r"/\d+/(\d+)\.[^/]*$", numbers: dict[str, str] | None = None) -> DataFrame:
     """Stored documents joined to title and author by search term and position, both of which the
-    path tells."""
+    path tells. ``numbers`` are further columns from the path, for documents stored in several files."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .option("pathGlobFilter", pattern).load(folder).select(
                  F.regexp_extract("path", term_in_path, 1).cast("int").alias("term_idx"),
-                 F.regexp_extract("path", pos_in_path, 1).cast("int").alias("pos"), "content"))
+                 F.regexp_extract("path", pos_in_path, 1).cast("int").alias("pos"),
+                 *[F.regexp_extract("path", found, 1).cast("long").alias(name) for name, found in (numbers or {}).items()], "content"))
     return files.join(read_doc_index(spark, folder) if index is None else index, ["term_idx", "pos"])
 
 
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, md5 = None, None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([md5.hexdigest()])],
+                                          names=["term_idx", "pos", "digest"])
+
+    for batch in batches:
+        for term, pos, content in zip(*[batch.column(c) for c in ("term_idx", "pos", "content")]):
+            own = term.as_py(), pos.as_py()
+            if own != key:
+                if md5:
+                    yield row()
+                key, md5 = own, hashlib.md5()
+            md5.update(content.as_buffer())
+    if md5:
+        yield row()
+
+
+def digest_docs(stored: DataFrame, order: Sequence[str]) -> DataFrame:
+    """term_idx, pos and the MD5 of documents stored in several files. A document is read file by file in
+    one task, as a digest is made from front to back; only one batch of files is held."""
+    files = stored.select("term_idx", "pos", *order, "content").repartition("term_idx", "pos")
+    return (files.sortWithinPartitions("term_idx", "pos", *order).select("term_idx", "pos", "content")
+            .mapInArrow(_digest, "term_idx int, pos int, digest string"))
+
+
 def read_experiments(spark: SparkSession, results_glob: str, results_schema: str, config: DataFrame,
                      pattern: str = r"exp_id=([^/]+)/") -> DataFrame:
     """Result files of all experiment folders, tagged by folder and joined to their configuration."""

@@ -1,7 +1,11 @@
+import hashlib
 import json
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
+from panelweave.plans import source_queries
 from panelweave.sources import io
 
 
@@ -68,3 +72,28 @@ def test_checkpoint_folder_of_the_session_is_kept(spark):
     ensure_checkpoint_dir(spark)
     assert spark.sparkContext._jsc.sc().getCheckpointDir().get() == first
     assert io.scratch_folder(spark).startswith(first)
+
+
+@pytest.mark.parametrize("limits", [{}, {"file_rows": 3}, {"file_rows": 50, "file_bytes": 40}])
+def test_stored_texts_come_back_whatever_they_hold(spark, tmp_path, limits):
+    odd = ["a\fb", "\f", "\f7\nx", "\\", "\\0", "\\1", "\\2", "\\\\f", "", "\n", "a\n\n", "\r\n x", "7\n", None, "é \u2028 中"]
+    rows = [(i - 5, odd[i % len(odd)]) for i in range(90)] + [(None, "no id")]
+    path = f"{tmp_path}/t"
+    out = source_queries.stored_texts(spark.createDataFrame(rows, "item_id long, text string").repartition(2), path, **limits)
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, rows))
+    assert len(list(Path(path).rglob("*.txt"))) >= {None: 1, 3: 30, 50: 8}[limits.get("file_rows")]  # grows with the rows
+
+
+@pytest.mark.parametrize("limits", [{}, {"file_rows": 3}, {"file_rows": 5, "file_bytes": 12}])
+def test_stored_docs_in_many_files_keep_their_digests(spark, tmp_path, limits):
+    rows = [(i, None if i % 13 == 5 or i % 7 == 6 else f"text {i}" * (i % 4) + "\n" * (i % 2)) for i in range(210)]
+    want = set()
+    for term in range(7):
+        texts = [t for i, t in rows if i % 7 == term and t is not None]
+        digest = hashlib.md5(("\n".join(texts) + "\n").encode()).hexdigest() if texts else None
+        want.add((term, term + 100, f"title {term}", digest))
+    path = f"{tmp_path}/t"
+    df = spark.createDataFrame(rows[::-1], "item_id long, text string").repartition(4)
+    out = source_queries.stored_docs(df, path, **limits).select("term_idx", "pos", "title", "digest").collect()
+    assert len(out) == 7 and {tuple(r) for r in out} == want
+    assert len(list(Path(path).rglob("*.txt"))) >= {None: 6, 3: 60, 5: 60}[limits.get("file_rows")]
