@@ -115,11 +115,13 @@ class ByteBpe:
         return out
 
 
-def choose_cuts(length: int, cuts: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> list[int]:
+def choose_cuts(length: int, cuts: np.ndarray, penalties: np.ndarray, window: int = WINDOW, all_powers: bool = False) -> list[int]:
     """End positions of the windows over a stream of ``length`` tokens.
 
     ``cuts`` are the sorted positions (1..length) where a window may end, with their penalties. Gaps of
     more than GRID tokens between them get cuts inside at TOKEN_CUT, so a window always fits.
+    Inside the stream windows of the three largest powers of two are free, with ``all_powers`` those of every
+    power; at its end every power is.
     """
     grid = min(GRID, window)
     gaps = np.diff(cuts, prepend=0)
@@ -130,8 +132,8 @@ def choose_cuts(length: int, cuts: np.ndarray, penalties: np.ndarray, window: in
         order = np.argsort(cuts, kind="stable")
         cuts, penalties = cuts[order], penalties[order]
     powers = [1 << i for i in range(window.bit_length()) if 1 << i < window]
-    large = powers[-3:]
-    best = [float("inf")] * (length + 1)
+    inner = powers if all_powers else powers[-3:]
+    best = [float("inf")] * (length + 1 + window)  # the tail stays infinite and answers look-ups before position 0
     back = [0] * (length + 1)
     best[0] = 0.0
     starts, values = deque([0]), deque([0.0])  # starts with growing best + position
@@ -140,8 +142,8 @@ def choose_cuts(length: int, cuts: np.ndarray, penalties: np.ndarray, window: in
             starts.popleft()
             values.popleft()
         prev, cost = starts[0], values[0] + window - at
-        for power in large if at < length else powers:
-            if power <= at and best[at - power] < cost:
+        for power in inner if at < length else powers:
+            if best[at - power] < cost:
                 cost, prev = best[at - power], at - power
         cost += penalty
         best[at], back[at] = cost, prev
@@ -182,7 +184,7 @@ class _Stream:
         penalties[stops] = 0.0
         penalties[len(tokens)] = 0.0
         cuts = np.flatnonzero(penalties >= 0)
-        ends = choose_cuts(len(tokens), cuts, penalties[cuts], window)
+        ends = choose_cuts(len(tokens), cuts, penalties[cuts], window, all_powers=True)
         if not last:
             ends = ends[:max(1, len(ends) - 4)]
         at, doc = 0, 0

@@ -191,6 +191,36 @@ def test_cuts_are_the_cheapest():
         assert sum(step(a, b) for a, b in zip([0, *ends], ends)) == best[last]
 
 
+@pytest.mark.parametrize("window", [16, 32, 64])
+def test_cuts_are_the_cheapest_of_all_powers(window):
+    rng = np.random.default_rng(window)
+    powers = [1 << i for i in range(10) if 1 << i <= window]
+    for _ in range(60):
+        cuts = np.unique(np.append(rng.integers(1, 200, 90), 1 + np.arange(0, 200, 16)))  # no gap is wide
+        penalties = rng.integers(0, 5, len(cuts)).astype(float)
+        ends = packing.choose_cuts(int(cuts[-1]), cuts, penalties, window, all_powers=True)
+        fixed = dict(zip(cuts.tolist(), penalties.tolist()))
+
+        def step(a, b):
+            return (0 if b - a in powers else window - (b - a)) + fixed[b]
+
+        best = {0: 0.0}
+        for b in sorted(fixed):
+            best[b] = min(best[a] + step(a, b) for a in best if b - a <= window)
+        assert all(b - a <= window for a, b in zip([0, *ends], ends))
+        assert sum(step(a, b) for a, b in zip([0, *ends], ends)) == best[int(cuts[-1])]
+
+
+def test_streams_are_packed_with_all_powers():
+    """Documents of 1, 2048, 64 and 2048 tokens leave no padding when small windows may stand inside the stream."""
+    stream = packing._Stream(0)
+    sizes = [1, 2048, 64, 2048]
+    for i, n in enumerate(sizes):
+        stream.add(i, np.full(n, 5, np.uint32))
+    pieces = list(stream.solve(np.zeros(10, bool), True, 2048))
+    assert [(p[0], p[2]) for p in pieces] == list(enumerate(sizes)) and [p[5] for p in pieces] == [0, 1, 2, 3]
+
+
 # frequent lines
 
 @pytest.mark.parametrize("options", [{}, {"group_bytes": 1}, {"least_documents": 2, "least_characters": 9, "group_bytes": 1}])
