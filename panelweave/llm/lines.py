@@ -4,7 +4,7 @@
    that hold it, and sends (key, count) to the shard of the key's range.
 2. A shard sums the counts. Over the keys found in enough documents it builds a minimal perfect hash, which
    indexes two compact arrays: 48 bits of fingerprint and the count. A shard is one row of bytes.
-3. Shards are packed into groups of at most GROUP_BYTES. Per group, documents pass a task once, hash their
+3. Arrays are cut by range to at most GROUP_BYTES and packed into groups of that size. Per group, documents pass a task once, hash their
    lines and probe the arrays; flags of lines to drop travel with the document from group to group. One
    group is the usual case; what is broadcast never exceeds GROUP_BYTES, however many lines are frequent.
 """
@@ -153,7 +153,18 @@ def _count(shards: int, least: int):
     return run
 
 
-def _build(least: int):
+def _blobs(first: np.ndarray, second: np.ndarray, counts: np.ndarray, most: int) -> Iterator[bytes]:
+    """Arrays over sorted distinct keys with the range they cover, halved until each has at most ``most`` bytes or one key."""
+    blob = pickle.dumps((first[0], first[-1], Shard(first, second, counts).state()))
+    if len(blob) <= most or len(first) == 1:
+        yield blob
+        return
+    half = len(first) // 2
+    yield from _blobs(first[:half], second[:half], counts[:half], most)
+    yield from _blobs(first[half:], second[half:], counts[half:], most)
+
+
+def _build(least: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[list[bytes]]] = {}
         for batch in batches:
@@ -166,11 +177,14 @@ def _build(least: int):
             frequent = counts >= least
             # two keys that share their first half cannot share a perfect hash: the later ones get a table of their own
             first, second, counts = first[frequent], second[frequent], counts[frequent]
+            number = 0
             while len(first):
                 begin = np.concatenate([[True], first[1:] != first[:-1]])
-                blob = pickle.dumps(Shard(first[begin], second[begin], counts[begin]).state())
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(blob)], pa.int64()), pa.array([blob], pa.binary())],
-                                                 names=["shard", "size", "blob"])
+                for blob in _blobs(first[begin], second[begin], counts[begin], most):
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([(shard << 32) + number], pa.int64()),
+                                                      pa.array([len(blob)], pa.int64()), pa.array([blob], pa.binary())],
+                                                     names=["shard", "number", "size", "blob"])
+                    number += 1
                 first, second, counts = first[~begin], second[~begin], counts[~begin]
     return run
 
@@ -178,9 +192,10 @@ def _build(least: int):
 def _probe(tables, shards: int, least: int, last: bool):
     """Add flags of lines to drop; with the last group also cut the texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_shard: dict[int, list[Shard]] = {}
+        by_shard: dict[int, list[tuple]] = {}
         for shard, blob in (tables.value if tables else []):
-            by_shard.setdefault(shard, []).append(Shard.of(pickle.loads(blob)))
+            low, high, state = pickle.loads(blob)
+            by_shard.setdefault(shard, []).append((low, high, Shard.of(state)))
         for batch in batches:
             texts = byte_values(batch, "text")
             split = [text.split(b"\n") for text in texts]
@@ -196,8 +211,9 @@ def _probe(tables, shards: int, least: int, last: bool):
                 bounds = np.searchsorted(shard[order], np.arange(shards + 1))
                 for i, own in by_shard.items():
                     at = order[bounds[i]:bounds[i + 1]]
-                    for table in own:
-                        drop[at] |= table.documents(first[at], second[at]) > 0
+                    for low, high, table in own:
+                        inside = at[(first[at] >= low) & (first[at] <= high)]
+                        drop[inside] |= table.documents(first[inside], second[inside]) > 0
                 drop &= np.array([_long_enough(key, least) for key in keys])
             cuts = np.cumsum([0, *sizes])
             if not last:
@@ -230,18 +246,18 @@ def drop_frequent(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id_type = source.schema["doc_id"].dataType.simpleString()
     shards = shuffle_partitions(docs)
     tables = durable(source.mapInArrow(_count(shards, least_characters), "shard int, first binary, second binary, counts binary")
-                     .repartition(shards, "shard").mapInArrow(_build(least_documents), "shard int, size long, blob binary"))
+                     .repartition(shards, "shard").mapInArrow(_build(least_documents, group_bytes), "shard int, number long, size long, blob binary"))
     groups: list[list[int]] = [[]]
     filled = 0
-    for row in tables.groupBy("shard").agg(F.sum("size").alias("size")).orderBy("shard").collect():  # one row per shard
+    for row in tables.select("number", "size").orderBy("number").collect():  # one row per shard and blob of group_bytes
         if groups[-1] and filled + row["size"] > group_bytes:
             groups.append([])
             filled = 0
-        groups[-1].append(row["shard"])
+        groups[-1].append(row["number"])
         filled += row["size"]
     frame = source.withColumn("flags", F.lit(None).cast("binary"))
     for i, group in enumerate(groups):
-        own = [(r["shard"], bytes(r["blob"])) for r in tables.where(F.col("shard").isin(group)).collect()] if group else []
+        own = [(r["shard"], bytes(r["blob"])) for r in tables.where(F.col("number").isin(group)).collect()] if group else []
         last = i == len(groups) - 1
         probe = _probe(spark.sparkContext.broadcast(own) if own else None, shards, least_characters, last)
         if last:

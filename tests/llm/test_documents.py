@@ -235,6 +235,23 @@ def test_frequent_lines(odd, none, options):
     assert lines.drop_frequent(none, **options).count() == 0
 
 
+def test_what_is_broadcast_stays_below_group_bytes(spark, monkeypatch):
+    """One shard that alone is larger than a group."""
+    texts = ["\n".join(f"line {i}" for i in range(1500)) + f"\nown {n}" for n in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+
+    def watched(self, value):
+        sent.append(sum(len(blob) for _, blob in value))
+        return broadcast(self, value)
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", watched)
+    monkeypatch.setattr(lines, "shuffle_partitions", lambda _: 1)
+    out = lines.drop_frequent(df, least_documents=2, group_bytes=12_000).collect()
+    assert sorted((r.n_lines, r.n_dropped, r.kept_text) for r in out) == [(1501, 1500, "own 0"), (1501, 1500, "own 1")]
+    assert len(sent) > 1 and max(sent) <= 12_000
+
+
 def test_perfect_hash_numbers_all_keys():
     keys = np.unique(np.random.default_rng(2).integers(0, 1 << 63, 50_000).astype(np.uint64))
     table = lines.PerfectHash(keys)
