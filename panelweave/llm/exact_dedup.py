@@ -127,4 +127,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     repeated = fate.where("stays AND rows > 1")
     if repeated.isEmpty():
         return out
-    return out.unionByName(matching(repeated, docs, "left_semi").dropDuplicates([id_col, text_col]))
+    # equal as in ``classify``: by the lower-cased text, null as empty
+    once = matching(repeated, docs, "left_semi").withColumn("__llm_sha", digest).dropDuplicates([id_col, "__llm_sha"])
+    return out.unionByName(once.drop("__llm_sha"))

@@ -69,6 +69,14 @@ def test_exact_dedup_keeps_one_row_of_each_text(odd, none):
     assert exact_dedup.classify(none).count() == 0
 
 
+def test_rows_that_repeat_but_for_case_stay_once(spark):
+    rows = [(9, "ABC", 1), (9, "abc", 2), (9, "Abc", 3), (8, "abC", 4), (None, None, 5), (None, "", 6), (3, "É", 7), (3, "é", 8)]
+    out = exact_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    assert out.columns == ["doc_id", "text", "n"]
+    assert Counter((r.doc_id, lowered(r.text)) for r in out.collect()) == Counter(
+        [(9, lowered("abc")), (None, lowered("")), (3, lowered("É")), (3, lowered("é"))])
+
+
 # near copies
 
 def shingle_sets():
