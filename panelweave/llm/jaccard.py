@@ -16,6 +16,7 @@ Jaccard distance is a metric, and linked documents lie within 0.25 of each other
 5. Links between classes are joined to components by label propagation with pointer jumping.
 
 No pair is listed but links to pivots and between classes; sets are shipped for regions alone.
+The result is components, not the join's links: links inside a class are neither verified nor counted.
 """
 
 from __future__ import annotations
