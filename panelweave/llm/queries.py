@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import exact_dedup, jaccard, lines, mixing, packing, quality, repeats, tokens, topk, warc
+from panelweave.llm import decontaminate, exact_dedup, jaccard, lines, mixing, packing, quality, repeats, tokens, topk, warc
 from panelweave.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,25 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS com
 FROM r JOIN d ON d.row = r.row JOIN d o ON o.row = r.root LEFT JOIN n ON n.row = r.row GROUP BY d.row, d.doc_id""")
 def _(docs):
     return jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+
+
+_NORMAL_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+@query("op12_decontamination", "documents benchmark", rf"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWERED}, '{_NORMAL_WORDS}') AS w FROM benchmark),
+t AS (SELECT DISTINCT item, md5(array_to_string(w[k + 1:k + 10], ' ')) AS h, least(len(w), 10) AS n
+      FROM (SELECT item, w, unnest(range(greatest(len(w) - 9, 1))) AS k FROM i WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWERED}, '{_NORMAL_WORDS}') AS w FROM documents),
+g AS (SELECT row, n, k, md5(array_to_string(w[k + 1:k + n], ' ')) AS h
+      FROM (SELECT row, w, n, unnest(range(greatest(len(w) - n + 1, 0))) AS k FROM d, (SELECT DISTINCT n FROM t))),
+m AS (SELECT g.row, g.k, g.n, t.item FROM g JOIN t ON g.h = t.h),
+c AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, k + unnest(range(n)) AS k FROM m) GROUP BY row),
+l AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY encode(item)) AS items FROM (SELECT DISTINCT row, item FROM m WHERE item IS NOT NULL) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON c.row = d.row LEFT JOIN l ON l.row = d.row""")
+def _(docs, benchmark):
+    found = decontaminate.find(docs, benchmark)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
