@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import decontaminate, exact_dedup, jaccard, lines, mixing, packing, quality, repeats, tokens, topk, warc
+from panelweave.llm import decontaminate, exact_dedup, jaccard, lines, mixing, packing, quality, repeats, spelling, tokens, topk, warc
 from panelweave.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,8 @@ def _(docs, benchmark):
     found = decontaminate.find(docs, benchmark)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op13_spelling_variants", "documents")
+def _(docs):
+    return spelling.group(docs)
