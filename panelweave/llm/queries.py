@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import decontaminate, exact_dedup, jaccard, lines, mixing, packing, quality, repeats, spelling, tokens, topk, warc
+from panelweave.llm import decontaminate, exact_dedup, jaccard, lines, mixing, packing, quality, repeats, spelling, tokens, topk, warc, whitening
 from panelweave.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,8 @@ def _(docs, benchmark):
 @query("op13_spelling_variants", "documents")
 def _(docs):
     return spelling.group(docs)
+
+
+@query("op11_whitening", "embeddings")
+def _(embeddings):
+    return whitening.whiten(embeddings).withColumn("deviation", F.col("deviation").cast("long"))

@@ -22,6 +22,6 @@ def test_same_rows_as_sql(spark, small, name):
 
 def test_registered_with_the_rest():
     found = contract.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in found) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in found) for i in range(1, 14)] == [1] * 13
     assert "pipeline" in found
     assert set(queries.ORACLE) <= set(contract.oracle_sql())
