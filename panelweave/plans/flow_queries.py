@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelweave.functions import answers as an
-from panelweave.functions import text as tx
 from panelweave.plans import fixtures as fx
 from panelweave.plans import flows
 from panelweave.plans import graph_queries as gq
@@ -13,7 +12,7 @@ from panelweave.plans.fixtures import PAIRS, PANEL, PROGRAMS, SPEND, TRAIN_END,
 from panelweave.plans.pair_queries import TEMPLATES, all_templates_sql, negatives_sql
 from panelweave.plans.panel_queries import customer_categories
 from panelweave.plans.registry import ORACLE, query, rnd, sql_hash, sql_rnd, sql_unit, text_tasks
-from panelweave.plans.text_queries import CHUNKS, score_sql
+from panelweave.plans.text_queries import CHUNKS, language_sql, profiles
 
 _ANSWER = "CASE max(l_returnflag) WHEN 'A' THEN 'Yes, it does' WHEN 'N' THEN 'I do not know' ELSE 'Hard to tell' END"
 _LABEL = "CASE WHEN contains(lower(answer), 'yes') THEN 'Yes' WHEN contains(lower(answer), 'no') THEN 'No' ELSE 'NA' END"
@@ -41,10 +40,8 @@ _CHUNK_TEXT = "trim(array_to_string(ws[chunk_no * 107 + 1 : chunk_no * 107 + 196
 
 
 @query("corpus_rows", f"""WITH {CHUNKS}, ch AS (SELECT doc_id, paragraph_no, chunk_no, {_CHUNK_TEXT} AS text FROM c WHERE len(ws) >= 98),
-  k AS (SELECT *, string_split_regex(lower(text), '[^\\p{{L}}]+') AS ts FROM ch),
-  s AS (SELECT *, {', '.join(f'{score_sql(l)} AS {l}' for l in tx.STOPWORDS)} FROM k),
-  kept AS (SELECT doc_id, paragraph_no, chunk_no, text, CASE WHEN en >= greatest(fr, de, es) THEN 'en' ELSE 'fr' END AS language FROM s
-    WHERE greatest(en, fr, de, es) > 0 AND (en >= greatest(fr, de, es) OR fr >= greatest(de, es))),
+  {language_sql('ch', 'doc_id, paragraph_no, chunk_no')},
+  kept AS (SELECT ch.*, language FROM ch JOIN spoken USING (doc_id, paragraph_no, chunk_no) WHERE language IN ('en', 'fr')),
   tok AS (SELECT doc_id, paragraph_no, chunk_no, generate_subscripts(ts, 1) AS pos, unnest(ts) AS token FROM (
     SELECT *, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ts FROM kept)),
   vocab AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, encode(token)) + 2 AS token_id FROM tok GROUP BY 1),
@@ -55,7 +52,7 @@ _CHUNK_TEXT = "trim(array_to_string(ws[chunk_no * 107 + 1 : chunk_no * 107 + 196
     array_to_string(list_resize(list_concat(list_concat([1], ids[1:126]), [2]), 128, -100), ' ') AS labels
   FROM kept k JOIN ids i ON i.doc_id = k.doc_id AND i.paragraph_no = k.paragraph_no AND i.chunk_no = k.chunk_no""")
 def _(t):
-    rows = flows.corpus_rows(t.documents, "doc_id", "text", ["en", "fr"], length=128, tasks=text_tasks(t.spark))
+    rows = flows.corpus_rows(t.documents, "doc_id", "text", ["en", "fr"], profiles(t), length=128, tasks=text_tasks(t.spark))
     return rows.select("doc_id", "paragraph_no", "chunk_no", "language", "split",
                        _joined("input_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("used"), _joined("labels"))
 

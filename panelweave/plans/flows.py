@@ -16,6 +16,7 @@ from panelweave.operators import aggregates as ag
 from panelweave.operators import answers as ans
 from panelweave.operators import corpus as cp
 from panelweave.operators import joins as jn
+from panelweave.operators import languages as lg
 from panelweave.operators import networks as nw
 from panelweave.operators import panel as pn
 from panelweave.operators import pairs as pr
@@ -66,7 +67,7 @@ def _framed(ids: Column, begin: bool) -> Column:
     return F.concat(*([F.array(ends[0])] if begin else []), ids, F.array(ends[1]))
 
 
-def corpus_rows(docs: DataFrame, doc: str, text: str, languages: Sequence[str], length: int = 256,
+def corpus_rows(docs: DataFrame, doc: str, text: str, languages: Sequence[str], profiles: lg.Profiles, length: int = 256,
                 words: int = 196, overlap: float = 0.45, min_words: int = 98, train_share: float = 0.8,
                 seed: int = 10, separator: str = r"\n{2,}", tasks: int | None = None) -> DataFrame:
     """Documents to padded token rows with begin and end ids and labels up to the end id, split into
@@ -75,7 +76,7 @@ def corpus_rows(docs: DataFrame, doc: str, text: str, languages: Sequence[str],
     clean = docs.select(doc, tx.strip_direction_marks(F.col(text)).alias(text))
     marked = cp.split_docs(spread(clean, doc, tasks), doc, train_share, seed)
     chunked = cp.chunk_overlap(cp.split_paragraphs(marked, text, min_words, separator), text, words, overlap)
-    kept = cp.language_filter(chunked, text, languages)
+    kept = lg.language_filter(chunked, text, languages, profiles)
     chunks = durable(kept.withColumn("chunk_id", F.concat_ws("-", doc, "paragraph_no", "chunk_no")))
     vocab = cp.vocabulary(chunks, "chunk_id", text, first_id=FIRST_ID)
     encoded = cp.encode(chunks, "chunk_id", text, vocab, length - 2).withColumn("ids", _framed(F.col("ids"), True))

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from panelweave.functions import names as nm
 from panelweave.functions import text as tx
 from panelweave.operators import corpus as cp
+from panelweave.operators import languages as lg
 from panelweave.operators import ranks as rk
 from panelweave.operators.scale import spread
 from panelweave.plans.registry import query, sql_hash, sql_unit, text_tasks
 
 
-def _docs(t):
-    return spread(t.documents.select("doc_id", "text"), "doc_id", text_tasks(t.spark))
+def _docs(t, *more):
+    return spread(t.documents.select("doc_id", "text", *more), "doc_id", text_tasks(t.spark))
 
 
 # outer newlines off, lone newlines off unless a non-ASCII character follows
@@ -44,17 +45,42 @@ def _(t):
     return cp.chunk_overlap(paragraphs, "text", 196, 0.45)
 
 
-def score_sql(lang):
-    words = ", ".join(f"'{w}'" for w in tx.STOPWORDS[lang])
-    return f"len(list_filter(ts, lambda x: x IN ({words})))"
+# ---- languages --------------------------------------------------------------
 
+PROFILE_SHARE, PROFILE_SEED = 0.1, 7  # profiles are learned from a tenth of the documents, chosen by hash
 
-@query("language_filter", f"""WITH k AS (SELECT doc_id, string_split_regex(lower(text), '[^\\p{{L}}]+') AS ts FROM documents),
-  s AS (SELECT doc_id, {', '.join(f'{score_sql(l)} AS {l}' for l in tx.STOPWORDS)} FROM k),
-  b AS (SELECT doc_id, CASE WHEN greatest(en, fr, de, es) = 0 THEN NULL WHEN en >= greatest(fr, de, es) THEN 'en' WHEN fr >= greatest(de, es) THEN 'fr'
-    WHEN de >= es THEN 'de' ELSE 'es' END AS language FROM s) SELECT * FROM b WHERE language IN ('en', 'de')""")
+
+def profiles(t):
+    return lg.learn_profiles(_docs(t, "lang"), "text", "lang", ["doc_id"], PROFILE_SHARE, PROFILE_SEED)
+
+
+def _runs_sql(columns: str, table: str) -> str:
+    padded = "('  ' || word || '  ')"
+    first, second = lg.FACTORS
+    return (f"SELECT {columns}, unnest(list_transform(range(1, CAST(length(word) AS BIGINT) + 3), lambda i: (unicode({padded}[i]) * {first} "
+            f"+ unicode({padded}[i + 1]) * {second} + unicode({padded}[i + 2])) % {lg.BUCKETS})) AS bucket FROM {table}")
+
+
+_DISTINCT_WORDS = f"unnest(list_distinct(regexp_extract_all(lower(text), '{lg.WORD}')))"
+
+
+def language_sql(texts: str, keys: str) -> str:
+    """CTEs that end with ``spoken`` (keys, language): the detected language of each text of a table."""
+    least = repr(0.5 / lg.BUCKETS)
+    return f"""taught AS (SELECT language, word, count(*) AS n FROM (SELECT lang AS language, {_DISTINCT_WORDS} AS word FROM documents
+    WHERE lang IS NOT NULL AND {sql_unit(sql_hash(PROFILE_SEED, 'doc_id'))} / 4294967296.0 < {PROFILE_SHARE}) GROUP BY 1, 2),
+  counted AS (SELECT language, bucket, CAST(sum(n) AS DOUBLE) AS n FROM ({_runs_sql('language, n', 'taught')}) GROUP BY 1, 2),
+  weights AS (SELECT language, bucket, CAST(floor({lg.UNIT} * ln((n / sum(n) OVER (PARTITION BY language) + {least}) / {least}) + 0.5) AS BIGINT) AS w FROM counted),
+  said AS (SELECT {keys}, {_DISTINCT_WORDS} AS word FROM {texts}),
+  heard AS (SELECT word, language, sum(w) AS s FROM ({_runs_sql('word', '(SELECT DISTINCT word FROM said)')}) r JOIN weights w ON w.bucket = r.bucket GROUP BY 1, 2),
+  scored AS (SELECT {keys}, language, sum(s) AS s FROM said JOIN heard ON heard.word = said.word GROUP BY ALL),
+  spoken AS (SELECT {keys}, language FROM (SELECT *, row_number() OVER best AS r, lead(s) OVER best AS next FROM scored
+    WINDOW best AS (PARTITION BY {keys} ORDER BY s DESC, language)) WHERE r = 1 AND s - coalesce(next, 0) >= {3 * lg.UNIT})"""
+
+
+@query("language_filter", f"WITH {language_sql('documents', 'doc_id')} SELECT doc_id, language FROM spoken WHERE language IN ('en', 'de')")
 def _(t):
-    return cp.language_filter(_docs(t), "text", ["en", "de"]).select("doc_id", "language")
+    return lg.language_filter(_docs(t), "text", ["en", "de"], profiles(t)).select("doc_id", "language")
 
 
 @query("strip_direction_marks", "SELECT doc_id, md5(regexp_replace(replace(text, ' the ', ' ' || chr(8235) || 'the' || chr(8236) || chr(10)), "

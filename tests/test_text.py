@@ -1,11 +1,13 @@
 import math
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from panelweave.functions import text as tx
 from panelweave.operators import corpus as cp
+from panelweave.operators import languages as lg
 
 
 def py_paragraphs(text, least):
@@ -42,10 +44,13 @@ def test_direction_marks_and_markers(spark):
 
 
 def test_language_of_given_documents(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet").select("lang", tx.detect_language(F.col("text")).alias("found"))
-    right, total = docs.agg(F.sum((F.col("lang") == F.col("found")).cast("int")), F.count("lang")).first()
-    assert right / total > 0.9
-    assert spark.range(1).select(tx.detect_language(F.lit("zzz qqq")).alias("l")).first().l is None
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    learned = lg.learn_profiles(docs, "text", "lang")
+    found = docs.select("lang", lg.detect_language(F.col("text"), learned).alias("found"))
+    right, total = found.agg(F.sum((F.col("lang") == F.col("found")).cast("int")), F.count("lang")).first()
+    assert right / total > 0.98
+    for text in ("zzz qqq", "", "12 !?", None):
+        assert spark.range(1).select(lg.detect_language(F.lit(text).cast("string"), learned).alias("l")).first().l is None
 
 
 def test_pad_mask_and_labels(spark):
@@ -110,10 +115,51 @@ def test_documents_without_tokens_stay(spark):
     assert {r.doc_id: r.ids for r in cp.encode(docs, "doc_id", "text", vocab, 2).collect()} == {1: [0, 1], 2: [], 3: [], 4: [2]}
 
 
-def test_language_recall(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("lang", tx.detect_language(F.col("text")).alias("found"))
-    for r in docs.groupBy("lang").agg(F.avg(F.coalesce(F.col("lang") == F.col("found"), F.lit(False)).cast("int")).alias("recall")).collect():
-        assert r.recall >= 0.95, r.lang
+@pytest.mark.parametrize("words,least", [(None, 0.98), (10, 0.95), (5, 0.95)])
+def test_language_recall_and_precision_on_held_out_documents(spark, words, least):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learned = lg.learn_profiles(docs, "text", "lang", ["doc_id"], 0.25, 3)
+    text, held = F.col("text"), docs.where(~lg.in_share(0.25, 3, "doc_id"))
+    if words:  # a few words from inside the text
+        held = held.where(F.size(F.split("text", r"\s+")) >= words + 2)
+        text = F.array_join(F.slice(F.split("text", r"\s+"), 2, words), " ")
+    rows = held.select("lang", lg.detect_language(text, learned).alias("found")).groupBy("lang", "found").count().collect()
+    for language in learned.languages:
+        hit = sum(r["count"] for r in rows if r.lang == r.found == language)
+        assert hit >= least * sum(r["count"] for r in rows if r.lang == language), language
+        assert hit >= least * sum(r["count"] for r in rows if r.found == language), language
+
+
+def test_profiles_equal_plain_counting(spark, small):
+    """Counts, weights and winners rebuilt in Python."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").limit(40)
+    docs = docs.union(spark.createDataFrame([(-1, None, "en"), (-2, "abc " * 3 + "x" * 70 + " Ärger", None), (-3, "", "xx"), (-4, "ß É", "xx")], docs.schema))
+    rows = [(r.text, r.lang) for r in docs.collect()]
+
+    def buckets(text):
+        words = dict.fromkeys(w for w in re.findall(r"[^\W\d_]{1,30}", (text or "").lower()))
+        return [(ord(s[i]) * 1723 + ord(s[i + 1]) * 59 + ord(s[i + 2])) % 16381 for w in words for s in [f"  {w}  "] for i in range(len(s) - 2)]
+
+    counts = {}
+    for text, lang in rows:
+        if lang:
+            counts.setdefault(lang, Counter()).update(buckets(text))
+    counts = {k: c for k, c in counts.items() if c}
+    learned = lg.learn_profiles(docs, "text", "lang")
+    assert learned.languages == tuple(sorted(counts))
+    for name, line in zip(learned.languages, learned.weights):
+        total = sum(counts[name].values())
+        want = {b: math.floor(1000 * math.log((n / total + 0.5 / 16381) / (0.5 / 16381)) + 0.5) for b, n in counts[name].items()}
+        assert {b: w for b, w in enumerate(line) if w} == {b: w for b, w in want.items() if w}
+    found = [r.l for r in docs.select(lg.detect_language(F.col("text"), learned).alias("l")).collect()]
+    for (text, _), got in zip(rows, found):
+        scores = sorted((-sum(line[b] for b in buckets(text)), name) for name, line in zip(learned.languages, learned.weights))
+        assert got == (scores[0][1] if scores[1][0] - scores[0][0] >= 3000 else None)
+
+
+def test_no_labelled_texts(spark):
+    df = spark.createDataFrame([(1, "some text", None)], "id int, text string, lang string")
+    assert lg.language_filter(df, "text", ["en"], lg.learn_profiles(df, "text", "lang")).count() == 0
 
 
 def test_chat_layout_with_and_without_system(spark):
