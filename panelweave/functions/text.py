@@ -83,21 +83,6 @@ def labels_until_eos(ids: Column, bos: int, eos: int) -> Column:
     return _only(ids, F.lit(0), last)
 
 
-def labels_answer_span(ids: Column, text: Column, answer: Column) -> Column:
-    """Keep ids of the space-separated tokens that carry the answer plus one more; the token
-    positions follow from the number of spaces in front of the two ends of the answer."""
-    start_char = F.instr(text, answer)  # 1-based, 0 when absent
-    end_char = start_char + F.length(answer) - 1
-
-    def token_at(char: Column) -> Column:
-        return F.size(F.split(F.substring(text, F.lit(1), char), " ", -1)) - 1
-
-    absent = start_char == 0
-    first = F.when(absent, F.size(ids)).otherwise(token_at(start_char))
-    last = F.when(absent, F.size(ids)).otherwise(token_at(end_char) + 1)
-    return _only(ids, first, last)
-
-
 def fill(template: Column, **values: Column) -> Column:
     """Replace {name} placeholders by column values."""
     for name, value in values.items():

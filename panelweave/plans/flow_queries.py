@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelweave.functions import answers as an
+from panelweave.operators.scale import spread
 from panelweave.plans import fixtures as fx
 from panelweave.plans import flows
 from panelweave.plans import graph_queries as gq
@@ -12,7 +13,7 @@ from panelweave.plans.fixtures import PAIRS, PANEL, PROGRAMS, SPEND, TRAIN_END,
 from panelweave.plans.pair_queries import TEMPLATES, all_templates_sql, negatives_sql
 from panelweave.plans.panel_queries import customer_categories
 from panelweave.plans.registry import ORACLE, query, rnd, sql_hash, sql_rnd, sql_unit, text_tasks
-from panelweave.plans.text_queries import CHUNKS, language_sql, profiles
+from panelweave.plans.text_queries import BEGIN, CHUNKS, END, PAD, language_sql, merges, profiles, span_sql, subword_sql
 
 _ANSWER = "CASE max(l_returnflag) WHEN 'A' THEN 'Yes, it does' WHEN 'N' THEN 'I do not know' ELSE 'Hard to tell' END"
 _LABEL = "CASE WHEN contains(lower(answer), 'yes') THEN 'Yes' WHEN contains(lower(answer), 'no') THEN 'No' ELSE 'NA' END"
@@ -39,20 +40,17 @@ def _joined(name):
 _CHUNK_TEXT = "trim(array_to_string(ws[chunk_no * 107 + 1 : chunk_no * 107 + 196], ' '), ' ')"
 
 
-@query("corpus_rows", f"""WITH {CHUNKS}, ch AS (SELECT doc_id, paragraph_no, chunk_no, {_CHUNK_TEXT} AS text FROM c WHERE len(ws) >= 98),
+@query("corpus_rows", f"""WITH RECURSIVE {CHUNKS}, ch AS (SELECT doc_id, paragraph_no, chunk_no, {_CHUNK_TEXT} AS text FROM c WHERE len(ws) >= 98),
   {language_sql('ch', 'doc_id, paragraph_no, chunk_no')},
   kept AS (SELECT ch.*, language FROM ch JOIN spoken USING (doc_id, paragraph_no, chunk_no) WHERE language IN ('en', 'fr')),
-  tok AS (SELECT doc_id, paragraph_no, chunk_no, generate_subscripts(ts, 1) AS pos, unnest(ts) AS token FROM (
-    SELECT *, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ts FROM kept)),
-  vocab AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, encode(token)) + 2 AS token_id FROM tok GROUP BY 1),
-  ids AS (SELECT doc_id, paragraph_no, chunk_no, list(token_id ORDER BY pos) AS ids FROM tok JOIN vocab ON vocab.token = tok.token GROUP BY 1, 2, 3)
+  {subword_sql('kept', 'doc_id, paragraph_no, chunk_no')}
   SELECT k.doc_id, CAST(k.paragraph_no AS INTEGER) AS paragraph_no, CAST(k.chunk_no AS INTEGER) AS chunk_no, language,
     CASE WHEN {sql_unit(sql_hash(10, 'k.doc_id'))} / 4294967296.0 < 0.8 THEN 'train' ELSE 'test' END AS split,
-    array_to_string(list_resize(list_concat(list_concat([1], ids[1:126]), [2]), 128, 0), ' ') AS input_ids, CAST(least(len(ids), 126) + 2 AS INTEGER) AS used,
-    array_to_string(list_resize(list_concat(list_concat([1], ids[1:126]), [2]), 128, -100), ' ') AS labels
-  FROM kept k JOIN ids i ON i.doc_id = k.doc_id AND i.paragraph_no = k.paragraph_no AND i.chunk_no = k.chunk_no""")
+    array_to_string(list_resize(list_concat(list_concat([{BEGIN}], ids[1:126]), [{END}]), 128, {PAD}), ' ') AS input_ids, CAST(least(len(ids), 126) + 2 AS INTEGER) AS used,
+    array_to_string(list_resize(list_concat(list_concat([{BEGIN}], ids[1:126]), [{END}]), 128, -100), ' ') AS labels
+  FROM kept k JOIN enc i ON i.doc_id = k.doc_id AND i.paragraph_no = k.paragraph_no AND i.chunk_no = k.chunk_no""")
 def _(t):
-    rows = flows.corpus_rows(t.documents, "doc_id", "text", ["en", "fr"], profiles(t), length=128, tasks=text_tasks(t.spark))
+    rows = flows.corpus_rows(t.documents, "doc_id", "text", ["en", "fr"], profiles(t), merges(t), length=128, tasks=text_tasks(t.spark))
     return rows.select("doc_id", "paragraph_no", "chunk_no", "language", "split",
                        _joined("input_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("used"), _joined("labels"))
 
@@ -60,18 +58,16 @@ def _(t):
 _LAYOUT = "Ask: {user} Answer: {response}"
 
 
-@query("instruct_rows", f"""WITH x AS (SELECT conv_id || '-' || turn AS id, trim(regexp_replace('Ask: ' || role || ' ' || turn || ' Answer: ' || coalesce(text, ''), '\\s+', ' ', 'g')) AS text,
+@query("instruct_rows", f"""WITH RECURSIVE x AS (SELECT conv_id || '-' || turn AS id, trim(regexp_replace('Ask: ' || role || ' ' || turn || ' Answer: ' || coalesce(text, ''), '\\s+', ' ', 'g')) AS text,
     trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS answer FROM conversations),
-  tok AS (SELECT id, generate_subscripts(ts, 1) AS pos, unnest(ts) AS token FROM (SELECT id, string_split(text, ' ') AS ts FROM x)),
-  vocab AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, encode(token)) + 2 AS token_id FROM tok GROUP BY 1),
-  ids AS (SELECT id, list(token_id ORDER BY pos) AS ids FROM tok JOIN vocab ON vocab.token = tok.token GROUP BY 1),
-  f AS (SELECT x.*, list_concat(ids[1:63], [2]) AS f, instr(text, answer) AS s FROM x JOIN ids ON ids.id = x.id),
-  p AS (SELECT *, len(string_split(substr(text, 1, s), ' ')) AS first, len(string_split(substr(text, 1, s + length(answer) - 1), ' ')) + 1 AS last FROM f)
-  SELECT id, CASE WHEN {sql_unit(sql_hash(10, 'id'))} / 4294967296.0 < 0.8 THEN 'train' ELSE 'test' END AS split, array_to_string(list_resize(f, 64, 0), ' ') AS input_ids,
-    CAST(len(f) AS INTEGER) AS used, array_to_string(list_resize(list_transform(f, lambda v, i: CASE WHEN s > 0 AND i BETWEEN first AND last THEN v ELSE -100 END), 64, -100), ' ') AS labels FROM p""")
+  {subword_sql('x', 'id')}, g AS (SELECT id, list_concat(ids[1:63], [{END}]) AS f, begins[1:63] AS begins, ends[1:63] AS ends FROM enc),
+  q AS (SELECT g.*, instr(text, answer) - 1 AS s, instr(text, answer) - 1 + length(answer) AS e FROM g JOIN x ON x.id = g.id),
+  p AS (SELECT *, {span_sql('begins')} FROM q)
+  SELECT id, CASE WHEN {sql_unit(sql_hash(10, 'id'))} / 4294967296.0 < 0.8 THEN 'train' ELSE 'test' END AS split, array_to_string(list_resize(f, 64, {PAD}), ' ') AS input_ids,
+    CAST(len(f) AS INTEGER) AS used, array_to_string(list_resize(list_transform(f, lambda v, i: CASE WHEN first > 0 AND i >= first AND (last = 0 OR i <= last + 1) THEN v ELSE -100 END), 64, -100), ' ') AS labels FROM p""")
 def _(t):
     rows = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat_ws(" ", "role", "turn").alias("ask"), "text")
-    out = flows.instruct_rows(rows, "id", "ask", "text", _LAYOUT, length=64)
+    out = flows.instruct_rows(spread(rows, "id", text_tasks(t.spark)), "id", "ask", "text", _LAYOUT, merges(t), length=64)
     return out.select("id", "split", _joined("input_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("used"), _joined("labels"))
 
 

@@ -20,11 +20,10 @@ from panelweave.operators import languages as lg
 from panelweave.operators import networks as nw
 from panelweave.operators import panel as pn
 from panelweave.operators import pairs as pr
+from panelweave.operators import subwords as sw
 from panelweave.operators.scale import spread
 from panelweave.session import durable
 
-BEGIN, END, FIRST_ID = 1, 2, 3  # token ids; 0 pads
-
 
 def prediction_table(pairs: DataFrame, ids: Sequence[str], names: Sequence[str], templates: Sequence[str],
                      answers: DataFrame, effect: str = "directly", parse: Callable[[Column], Column] = an.parse_yes_no,
@@ -62,44 +61,41 @@ def pair_dataset(outcome: DataFrame, spend: DataFrame, item: str, name: str, ind
     return pr.split_stratified(kept, [item, "related"], train_share, [indicator], seed)
 
 
-def _framed(ids: Column, begin: bool) -> Column:
-    ends = [F.lit(x).cast("bigint") for x in (BEGIN, END)]
-    return F.concat(*([F.array(ends[0])] if begin else []), ids, F.array(ends[1]))
+def _id(value: int) -> Column:
+    return F.array(F.lit(value).cast("bigint"))
 
 
-def corpus_rows(docs: DataFrame, doc: str, text: str, languages: Sequence[str], profiles: lg.Profiles, length: int = 256,
+def corpus_rows(docs: DataFrame, doc: str, text: str, languages: Sequence[str], profiles: lg.Profiles, merges: sw.Merges, length: int = 256,
                 words: int = 196, overlap: float = 0.45, min_words: int = 98, train_share: float = 0.8,
                 seed: int = 10, separator: str = r"\n{2,}", tasks: int | None = None) -> DataFrame:
-    """Documents to padded token rows with begin and end ids and labels up to the end id, split into
-    train and test by whole document. The chunk table is written once because both the vocabulary and
-    the encoding read it. ``tasks`` deals documents over so many tasks first, see ``scale.spread``."""
+    """Documents to padded sub-word rows with begin and end ids and labels up to the end id, split into
+    train and test by whole document. Row-local from the document to its rows. ``tasks`` deals documents over so
+    many tasks first, see ``scale.spread``."""
     clean = docs.select(doc, tx.strip_direction_marks(F.col(text)).alias(text))
     marked = cp.split_docs(spread(clean, doc, tasks), doc, train_share, seed)
     chunked = cp.chunk_overlap(cp.split_paragraphs(marked, text, min_words, separator), text, words, overlap)
     kept = lg.language_filter(chunked, text, languages, profiles)
-    chunks = durable(kept.withColumn("chunk_id", F.concat_ws("-", doc, "paragraph_no", "chunk_no")))
-    vocab = cp.vocabulary(chunks, "chunk_id", text, first_id=FIRST_ID)
-    encoded = cp.encode(chunks, "chunk_id", text, vocab, length - 2).withColumn("ids", _framed(F.col("ids"), True))
-    rows = cp.pad_truncate_mask(encoded, "ids", length)
-    return rows.join(chunks.drop(text), "chunk_id").select(
-        doc, "paragraph_no", "chunk_no", "language", "split", "input_ids", "attention_mask",
-        tx.labels_until_eos(F.col("input_ids"), BEGIN, END).alias("labels"))
+    encoded = sw.with_tokens(kept, text, merges, length - 2).withColumn("ids", F.concat(_id(merges.begin), "ids", _id(merges.end)))
+    rows = cp.pad_truncate_mask(encoded, "ids", length, merges.pad)
+    return rows.select(doc, "paragraph_no", "chunk_no", "language", "split", "input_ids", "attention_mask",
+                       tx.labels_until_eos(F.col("input_ids"), merges.begin, merges.end).alias("labels"))
 
 
-def instruct_rows(rows: DataFrame, key: str, instruction: str, output: str, layout: str, length: int = 256,
+def instruct_rows(rows: DataFrame, key: str, instruction: str, output: str, layout: str, merges: sw.Merges, length: int = 256,
                   train_share: float = 0.8, seed: int = 10) -> DataFrame:
-    """Instructions and answers to padded token rows whose labels cover the answer and the end id,
-    split by hash. ``layout`` uses {user} and {response}; white space counts as single spaces. ``key``
-    is unique."""
+    """Instructions and answers to padded sub-word rows whose labels cover the tokens of the answer and the one after it,
+    split by hash. ``layout`` uses {user} and {response}; white space counts as single spaces. Row-local."""
     def spaced(c: Column) -> Column:
         return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
 
-    shaped = durable(rows.select(key, spaced(tx.fill(F.lit(layout), user=F.col(instruction), response=F.col(output))).alias("text"),
-                                 spaced(F.col(output)).alias("answer")))
-    vocab = cp.vocabulary(shaped, key, "text", first_id=FIRST_ID)
-    ids = cp.encode(shaped, key, "text", vocab, length - 1).withColumn("ids", _framed(F.col("ids"), False))
-    labels = tx.labels_answer_span(F.col("ids"), F.col("text"), F.col("answer"))
-    padded = cp.pad_truncate_mask(ids.join(shaped, key).withColumn("labels", labels), "ids", length)
+    shaped = rows.select(key, spaced(tx.fill(F.lit(layout), user=F.col(instruction), response=F.col(output))).alias("text"),
+                         spaced(F.col(output)).alias("answer"))
+    tokens = sw.with_tokens(shaped, "text", merges, length - 1, spans="spans")
+    after = F.length("text")  # the end id touches no character
+    framed = tokens.withColumn("ids", F.concat("ids", _id(merges.end))).withColumn(
+        "spans", F.concat("spans", F.array(F.struct(after.alias("begin"), after.alias("end")))))
+    labels = sw.labels_answer_span(F.col("ids"), F.col("spans"), F.col("text"), F.col("answer"))
+    padded = cp.pad_truncate_mask(framed.withColumn("labels", labels), "ids", length, merges.pad)
     return cp.split_docs(padded, key, train_share, seed).select(
         key, "split", "input_ids", "attention_mask", tx.pad_ids(F.col("labels"), length, tx.IGNORE).alias("labels"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from importlib.util import find_spec
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from panelweave.functions import names as nm
@@ -9,6 +12,7 @@ from panelweave.functions import text as tx
 from panelweave.operators import corpus as cp
 from panelweave.operators import languages as lg
 from panelweave.operators import ranks as rk
+from panelweave.operators import subwords as sw
 from panelweave.operators.scale import spread
 from panelweave.plans.registry import query, sql_hash, sql_unit, text_tasks
 
@@ -140,46 +144,99 @@ _TOKENS = """tok AS (SELECT doc_id, generate_subscripts(ts, 1) AS pos, unnest(ts
     LEFT JOIN tok ON tok.doc_id = d.doc_id LEFT JOIN vocab ON vocab.token = tok.token GROUP BY 1)"""
 
 
-def _encoded(t, first=0, length=None):
+@query("encode_words", f"WITH {_TOKENS.format(first=0)} SELECT doc_id, CAST(len(ids) AS INTEGER) AS n, md5(array_to_string(ids, ' ')) AS digest FROM ids")
+def _(t):
     docs = _docs(t)
-    return cp.encode(docs, "doc_id", "text", cp.vocabulary(docs, "doc_id", "text", first), length)
+    return cp.encode(docs, "doc_id", "text", cp.vocabulary(docs, "doc_id", "text")).select("doc_id", F.size("ids").alias("n"), digest("ids"))
+
+
+# ---- sub-words --------------------------------------------------------------
+
+_TOKENIZERS = find_spec("public_tokenizers")
+VOCABULARY = str(Path(_TOKENIZERS.origin).with_name("byte_bpe_50k.tiktoken")) if _TOKENIZERS else "byte_bpe_50k.tiktoken"
+BEGIN, END, PAD = 50_256, 50_257, 50_258  # free ids behind this vocabulary
+
+
+def merges(t):
+    return sw.read_merges(t.spark, VOCABULARY)
+
+
+def joined(ids):
+    return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
+
 
+def digest(ids, name="digest"):
+    return F.md5(joined(ids)).alias(name)
 
-@query("encode_tokens", f"WITH {_TOKENS.format(first=0)} SELECT doc_id, CAST(len(ids) AS INTEGER) AS n, md5(array_to_string(ids, ' ')) AS digest FROM ids")
+
+# white space in front of a word: all but the last character stand alone, as by the lookahead that this SQL lacks
+_MARKED = r"regexp_replace(text, '(\s)(\s\S)', '\1' || chr(1) || '\2', 'g')"
+_PIECES = sw.PIECES.replace(r"|\s+(?!\S)", "").replace(r"[^\s\p{L}\p{N}]", r"[^\s\p{L}\p{N}\x01]").replace("'", "''")
+
+
+def subword_sql(texts: str, keys: str) -> str:
+    """CTEs of a recursive WITH that end with ``enc`` (keys, text, ids, begins, ends) for the keys of a table with texts."""
+    return f"""voc AS (SELECT hex(from_base64(tok)) AS tok, rank FROM read_csv('{VOCABULARY}', header = false, delim = ' ', quote = '', escape = '',
+    columns = {{'tok': 'VARCHAR', 'rank': 'BIGINT'}})),
+  cut AS (SELECT {keys}, generate_subscripts(ps, 1) AS pos, unnest(ps) AS piece FROM (SELECT {keys}, regexp_extract_all({_MARKED}, '{_PIECES}') AS ps FROM {texts})),
+  mrg(piece, parts) AS (SELECT piece, regexp_extract_all(hex(encode(piece)), '..') FROM (SELECT DISTINCT piece FROM cut)
+    UNION ALL SELECT piece, list_concat(list_concat(parts[1:i - 1], [parts[i] || parts[i + 1]]), parts[i + 2:]) FROM (
+      SELECT piece, parts, arg_min(i, rank * 1000000 + i) AS i FROM (SELECT piece, parts, unnest(range(1, len(parts))) AS i FROM mrg) x
+      JOIN voc ON voc.tok = parts[i] || parts[i + 1] GROUP BY piece, parts)),
+  tok AS (SELECT piece, generate_subscripts(parts, 1) AS j, unnest(parts) AS tok FROM (SELECT piece, arg_min(parts, len(parts)) AS parts FROM mrg GROUP BY piece)),
+  led AS (SELECT piece, j, rank, CAST(substr(tok.tok, 1, 2) BETWEEN '80' AND 'BF' AS INTEGER) AS inside,
+    len(list_filter(regexp_extract_all(tok.tok, '..'), lambda x: x NOT BETWEEN '80' AND 'BF')) AS leads FROM tok JOIN voc ON voc.tok = tok.tok),
+  plc AS (SELECT piece, list(rank ORDER BY j) AS ids, list(upto - leads - inside ORDER BY j) AS begins, list(upto ORDER BY j) AS ends
+    FROM (SELECT *, CAST(sum(leads) OVER (PARTITION BY piece ORDER BY j) AS BIGINT) AS upto FROM led) GROUP BY piece),
+  enc AS (SELECT {keys}, flatten(list(ids ORDER BY pos)) AS ids, flatten(list(list_transform(begins, lambda x: x + base) ORDER BY pos)) AS begins,
+    flatten(list(list_transform(ends, lambda x: x + base) ORDER BY pos)) AS ends FROM (SELECT cut.*, CAST(sum(length(cut.piece)) OVER (PARTITION BY {keys} ORDER BY pos) AS BIGINT)
+      - length(cut.piece) AS base, ids, begins, ends FROM cut JOIN plc ON plc.piece = cut.piece) GROUP BY {keys})"""
+
+
+def span_sql(labelled: str) -> str:
+    """1-based first and last labelled token of an answer at characters s to e (0-based, s < 0 when absent)."""
+    return f"""CASE WHEN s < 0 THEN 0 ELSE coalesce(list_position(list_transform(range(1, len({labelled}) + 1), lambda i: begins[i] <= s AND s < ends[i]), true), 0) END AS first,
+    CASE WHEN s < 0 THEN 0 ELSE coalesce(list_position(list_transform(range(1, len({labelled}) + 1), lambda i: begins[i] < e AND e <= ends[i]), true), 0) END AS last"""
+
+
+_DOC_IDS = f"{subword_sql('documents', 'doc_id')}, ids AS (SELECT d.doc_id, coalesce(enc.ids, []) AS ids FROM documents d LEFT JOIN enc ON enc.doc_id = d.doc_id)"
+
+
+@query("encode_tokens", f"WITH RECURSIVE {_DOC_IDS} SELECT doc_id, CAST(len(ids) AS INTEGER) AS n, md5(array_to_string(ids, ' ')) AS digest FROM ids")
 def _(t):
-    return _encoded(t).select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")).alias("digest"))
+    return sw.with_tokens(_docs(t), "text", merges(t)).select("doc_id", F.size("ids").alias("n"), digest("ids"))
 
 
-@query("pad_truncate_mask", f"""WITH {_TOKENS.format(first=3)} SELECT doc_id, array_to_string(list_resize(ids, 256, 0), ' ') AS input_ids,
+@query("pad_truncate_mask", f"""WITH RECURSIVE {_DOC_IDS} SELECT doc_id, array_to_string(list_resize(ids, 256, {PAD}), ' ') AS input_ids,
   CAST(least(len(ids), 256) AS INTEGER) AS used FROM ids""")
 def _(t):
-    padded = cp.pad_truncate_mask(_encoded(t, 3, 256), "ids", 256)
-    return padded.select("doc_id", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("input_ids"),
-                         F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("used"))
+    padded = cp.pad_truncate_mask(sw.with_tokens(_docs(t), "text", merges(t), 256), "ids", 256, PAD)
+    return padded.select("doc_id", joined("input_ids").alias("input_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("used"))
 
 
-@query("labels_until_eos", f"""WITH {_TOKENS.format(first=3)}, f AS (SELECT doc_id, list_concat(list_concat([1], ids), [2, 0, 0]) AS f FROM ids)
+@query("labels_until_eos", f"""WITH RECURSIVE {_DOC_IDS}, f AS (SELECT doc_id, list_concat(list_concat([{BEGIN}], ids), [{END}, {PAD}, {PAD}]) AS f FROM ids)
   SELECT doc_id, md5(array_to_string(list_transform(f, lambda x, i: CASE WHEN i <= len(f) - 2 THEN x ELSE -100 END), ' ')) AS labels FROM f""")
 def _(t):
-    framed = _encoded(t, 3).withColumn("f", F.concat(
-        F.array(F.lit(1).cast("bigint")), "ids", F.array(*[F.lit(x).cast("bigint") for x in (2, 0, 0)])))
-    labels = tx.labels_until_eos(F.col("f"), 1, 2)
-    return framed.select("doc_id", F.md5(F.array_join(F.transform(labels, lambda x: x.cast("string")), " ")).alias("labels"))
+    def fixed(*ids):
+        return F.array(*[F.lit(x).cast("bigint") for x in ids])
+
+    framed = sw.with_tokens(_docs(t), "text", merges(t)).withColumn("f", F.concat(fixed(BEGIN), "ids", fixed(END, PAD, PAD)))
+    return framed.select("doc_id", digest(tx.labels_until_eos(F.col("f"), BEGIN, END), "labels"))
 
 
 _TURN_TEXT = "'Q: ' || a.role || ' says' || chr(10) || ' A: ' || a.text || ' end of turn'"
 
 
-@query("labels_answer_span", f"""WITH x AS (SELECT conv_id, turn, {_TURN_TEXT} AS text, a.text AS output FROM conversations a),
-  w AS (SELECT *, string_split(text, ' ') AS ws, instr(text, output) AS s FROM x),
-  f AS (SELECT *, len(string_split(substr(text, 1, s), ' ')) AS first, len(string_split(substr(text, 1, s + length(output) - 1), ' ')) + 1 AS last FROM w)
-  SELECT conv_id, turn, md5(array_to_string(list_transform(ws, lambda v, i: CASE WHEN i BETWEEN first AND last THEN i * 7 ELSE -100 END), ' ')) AS labels FROM f""")
+@query("labels_answer_span", f"""WITH RECURSIVE x AS (SELECT conv_id, turn, {_TURN_TEXT} AS text, a.text AS output FROM conversations a),
+  {subword_sql('x', 'conv_id, turn')}, p AS (SELECT enc.*, instr(text, output) - 1 AS s, instr(text, output) - 1 + length(output) AS e FROM enc JOIN x USING (conv_id, turn)),
+  f AS (SELECT *, {span_sql('ids')} FROM p)
+  SELECT conv_id, turn, md5(array_to_string(list_transform(ids, lambda v, i: CASE WHEN first > 0 AND i >= first AND (last = 0 OR i <= last + 1) THEN v ELSE -100 END), ' ')) AS labels FROM f""")
 def _(t):
     rows = t.conversations.select("conv_id", "turn", F.col("text").alias("output"), F.concat(
         F.lit("Q: "), "role", F.lit(" says\n A: "), "text", F.lit(" end of turn")).alias("text"))
-    ids = F.transform(F.split("text", " ", -1), lambda w, i: (i + 1) * 7)
-    labels = tx.labels_answer_span(ids, F.col("text"), F.col("output"))
-    return rows.select("conv_id", "turn", F.md5(F.array_join(F.transform(labels, lambda x: x.cast("string")), " ")).alias("labels"))
+    tokens = sw.with_tokens(spread(rows, "conv_id", text_tasks(t.spark)), "text", merges(t), spans="spans")
+    labels = sw.labels_answer_span(F.col("ids"), F.col("spans"), F.col("text"), F.col("output"))
+    return tokens.select("conv_id", "turn", digest(labels, "labels"))
 
 
 # ---- chats ------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelweave.functions import text as tx
 from panelweave.operators import corpus as cp
 from panelweave.operators import languages as lg
+from panelweave.operators import subwords as sw
 
 
 def py_paragraphs(text, least):
@@ -66,8 +67,10 @@ def test_pad_mask_and_labels(spark):
 @pytest.mark.parametrize("text,answer", [("ask me now the answer is here end of it", "the answer is"), ("a b c", "c"), ("a b c", "zz")])
 def test_answer_span(spark, text, answer):
     words = text.split(" ")
-    got = spark.range(1).select(F.lit(text).alias("t"), F.lit(answer).alias("a")).select(
-        tx.labels_answer_span(F.transform(F.split("t", " "), lambda w, i: i.cast("bigint")), F.col("t"), F.col("a")).alias("l")).first().l
+    ends = [len(" ".join(words[:i + 1])) for i in range(len(words))]
+    df = spark.createDataFrame([(text, answer, list(range(len(words))), [(e - len(w), e) for w, e in zip(words, ends)])],
+                               "t string, a string, ids array<bigint>, spans array<struct<begin: int, end: int>>")
+    got = df.select(sw.labels_answer_span(F.col("ids"), F.col("spans"), F.col("t"), F.col("a")).alias("l")).first().l
     want, pos = [-100] * len(words), text.find(answer)
     if pos >= 0:
         offsets, at = [], 0
