@@ -16,13 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.operators.scale import null_safe_join, with_row
+from panelweave.operators.smoothing import fitted_posterior, posterior_mean, prefix_means
 
 # the two Arrow functions below, with what they call, travel to the workers by value
 register_pickle_by_value(sys.modules[__name__])
 
-# fixed values of the smoothing kernel
-CONSTANT, LENGTH_SCALE, NOISE = 1.0, 2.0, 1.0
-
 
 def deflate(df: DataFrame, prices: DataFrame, people: DataFrame, t: str, val: str, base: int,
             area: Sequence[str] = ()) -> DataFrame:
@@ -128,19 +126,6 @@ def endpoint_floor(panel: DataFrame, key: str, t: str, val: str, target: int) ->
         F.greatest("fitted", "first_value")).alias("final"))
 
 
-def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = np.sqrt(3.0) * np.abs(a[:, None] - b[None, :]) / LENGTH_SCALE
-    return CONSTANT + (1.0 + d) * np.exp(-d)
-
-
-def posterior_mean(years: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Smoothed values at all years given the known positions; rows of ``values`` are series."""
-    x = years[known].astype(float)
-    centre = values.mean(axis=1, keepdims=True)
-    weights = np.linalg.solve(_kernel(x, x) + NOISE * np.eye(len(x)), _kernel(x, years.astype(float)))
-    return (values - centre) @ weights + centre
-
-
 def _years_as_array(panel: DataFrame, key: str, t: str, val: str, years: Sequence[int]) -> DataFrame:
     cells = [F.max(F.when(F.col(t) == y, F.col(val))) for y in years]
     return panel.where(F.col(t).between(min(years), max(years))).groupBy(key).agg(F.array(*cells).alias("__y"))
@@ -155,32 +140,38 @@ def _as_rows(arrays: DataFrame, key: str, t: str, columns: dict[str, str], years
 def gap_fill(panel: DataFrame, key: str, t: str, val: str, years: Sequence[int],
              method: str = "kernel") -> DataFrame:
     """Fill missing years per series; observed values stay. ``kernel`` takes the posterior mean of
-    a Gaussian process with fixed parameters, ``linear`` interpolates and holds the ends."""
+    a Gaussian process with fixed parameters over centred values, ``fitted`` that with each series' own constant, length
+    scale and noise, by marginal likelihood, and adds its spread at imputed years as ``sd``, ``linear`` interpolates and
+    holds the ends."""
     years = list(years)
     if method == "linear":
         return _gap_fill_linear(panel, key, t, val, years)
+    if method not in ("kernel", "fitted"):
+        raise ValueError(f"no such method: {method}")
 
-    axis = np.array(years)
+    axis, fitted = np.array(years), method == "fitted"
 
-    @F.pandas_udf("array<double>")
-    def smooth(rows: pd.Series) -> pd.Series:
-        if len(rows) == 0:
-            return rows
-        grid = np.array([list(r) for r in rows], dtype=float)
+    @F.pandas_udf("struct<filled: array<double>, sd: array<double>>")
+    def smooth(rows: pd.Series) -> pd.DataFrame:
+        grid = np.array([list(r) for r in rows], dtype=float).reshape(len(rows), len(axis))
+        spread = np.full(grid.shape, np.nan)
         known = ~np.isnan(grid)
         patterns, which = np.unique(known, axis=0, return_inverse=True)
         which = which.ravel()
-        for i, mask in enumerate(patterns):  # one small solve per pattern of known years
+        for i, mask in enumerate(patterns):  # series with the same known years together
             members = which == i
             if mask.any() and not mask.all():
-                fitted = posterior_mean(axis, mask, grid[members][:, mask])
-                grid[members] = np.where(mask, grid[members], fitted)
-        return pd.Series(list(grid))
+                own = grid[members][:, mask]
+                mean, sd = fitted_posterior(axis, mask, own) if fitted else (posterior_mean(axis, mask, own), np.nan)
+                grid[members] = np.where(mask, grid[members], mean)
+                spread[members] = np.where(mask, np.nan, sd)
+        return pd.DataFrame({"filled": list(grid), "sd": list(spread)})
 
-    arrays = _years_as_array(panel, key, t, val, years).withColumn("__filled", smooth("__y"))
-    rows = _as_rows(arrays, key, t, {"observed": "__y", "filled": "__filled"}, years)
-    return rows.select(key, t, F.coalesce("observed", F.when(F.isnan("filled"), None).otherwise(
-        F.col("filled"))).alias(val), F.col("observed").isNull().alias("imputed"))
+    arrays = _years_as_array(panel, key, t, val, years).withColumn("__s", smooth("__y")).select(
+        key, "__y", F.col("__s.filled").alias("__filled"), F.col("__s.sd").alias("__sd"))
+    rows = _as_rows(arrays, key, t, {"observed": "__y", "filled": "__filled", "sd": "__sd"}, years)
+    return rows.select(key, t, F.coalesce("observed", F.nanvl("filled", F.lit(None))).alias(val),
+                       F.col("observed").isNull().alias("imputed"), *([F.nanvl("sd", F.lit(None)).alias("sd")] if fitted else []))
 
 
 def _gap_fill_linear(panel: DataFrame, key: str, t: str, val: str, years: Sequence[int]) -> DataFrame:
@@ -209,15 +200,10 @@ def forecast(panel: DataFrame, key: str, t: str, val: str, years: Sequence[int],
         grid = np.array([list(r) for r in rows], dtype=float)
         falls = np.diff(grid, axis=1) < 0
         falling = falls.any(axis=1)
-        start = np.where(falling, falls.argmax(axis=1) + 1, len(axis))
-        known = (np.arange(len(axis)) < start[:, None]) & ~np.isnan(grid)
-        patterns, which = np.unique(known[falling], axis=0, return_inverse=True)
-        members = np.flatnonzero(falling)
-        for i, mask in enumerate(patterns):  # one small solve per pattern of earlier years
-            own = members[which.ravel() == i]
-            fitted = posterior_mean(axis, mask, grid[own][:, mask])
-            later = np.arange(len(axis)) >= start[own][:, None]
-            grid[own] = np.where(later, np.fmax(fitted, grid[own]), grid[own])
+        start = falls[falling].argmax(axis=1) + 1
+        if falling.any():
+            own, later = grid[falling], np.arange(len(axis)) >= start[:, None]
+            grid[falling] = np.where(later, np.fmax(prefix_means(axis, own, start), own), own)
         return pd.Series([row if keep_rising or fell else None for row, fell in zip(grid, falling)])
 
     arrays = _years_as_array(panel, key, t, val, years).withColumn("__f", continued("__y")).where("__f IS NOT NULL")

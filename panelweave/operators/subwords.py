@@ -20,12 +20,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelweave.functions.text import IGNORE, let
 
+register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
+
 # fixed value: how the vocabulary's texts are cut before merging
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MOST_TOKENS = 1_000_000  # of a vocabulary that workers hold

@@ -570,6 +570,12 @@ def _(t):
         "series", "year", rnd(F.col("value"), 2).alias("value"), F.col("imputed").cast("int").alias("imputed"))
 
 
+@query("gap_fill_fitted")  # parameters by likelihood are no SQL; tests compare with a grid search and direct solves
+def _(t):
+    return pn.gap_fill(fx.panel(t), "series", "year", "value", _FIVE, "fitted").select(
+        "series", "year", rnd(F.col("value"), 2).alias("value"), rnd(F.col("sd"), 2).alias("sd"), F.col("imputed").cast("int").alias("imputed"))
+
+
 @query("gap_fill_linear", f"""WITH {PANEL}, w AS (SELECT * FROM panel WHERE year BETWEEN 1995 AND 1999),
   g AS (SELECT s.series, CAST(y AS INTEGER) AS year, w.value FROM (SELECT DISTINCT series FROM w) s CROSS JOIN range(1995, 2000) r(y)
     LEFT JOIN w ON w.series = s.series AND w.year = y),

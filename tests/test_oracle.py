@@ -33,4 +33,5 @@ def test_same_rows_as_sql(spark, small, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLE)
+    brute_force = {"gap_fill_fitted"}  # tests/test_smoothing.py
+    assert set(catalog.QUERIES) - brute_force == set(catalog.ORACLE)

@@ -165,11 +165,14 @@ from panelweave.operators import panel as pn
 spark = build_session("local[2]", 2, **{{"spark.sql.warehouse.dir": {tmp!r}}})
 df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 3.0), ("a", 3, 2.0)], "s string, t int, v double")
 print("rows", pn.forecast(df, "s", "t", "v", [1, 2, 3]).count(), pn.gap_fill(df, "s", "t", "v", [1, 2, 3, 4]).count())
+from panelweave.operators import subwords as sw
+from panelweave.plans.text_queries import VOCABULARY
+print("more", pn.gap_fill(df, "s", "t", "v", [1, 2, 3, 4], "fitted").count(), sw.with_tokens(df, "s", sw.read_merges(spark, VOCABULARY)).first().ids)
 """
     root = str(Path(__file__).resolve().parents[1])
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     run = subprocess.run([sys.executable, "-c", code.format(root=root, tmp=str(tmp_path))], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
-    assert "rows 3 4" in run.stdout, run.stderr[-800:]
+    assert "rows 3 4" in run.stdout and "more 4 [64]" in run.stdout, run.stderr[-800:]
 
 
 def test_detrend_keeps_the_mean_and_later_years(spark):
