@@ -188,22 +188,31 @@ def array_chunks(values: np.ndarray, chunk: int = CHUNK) -> tuple[list[int], lis
     return keys, data
 
 
-def presence_filter(df: DataFrame, column: str, bits: int = 24) -> np.ndarray:
+FLAGS_PER_KEY, LEAST_BITS, MOST_BITS = 256, 24, 28  # 2 to 32 MB
+
+
+def presence_filter(df: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
     """A map of 2**bits flags over the leading bits of a long column of scrambled keys. It may hold
-    keys that are not there, never the reverse; its size does not depend on the data."""
+    keys that are not there, never the reverse. Without ``bits`` its size follows the number of rows up to 32 MB;
+    beyond that it only holds more keys that are not there."""
+    rows = df.select(column).where(F.col(column).isNotNull())
+    if bits is None:
+        bits = min(MOST_BITS, max(LEAST_BITS, (FLAGS_PER_KEY * rows.count()).bit_length()))
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, bool)
+        seen = np.zeros(1 << (bits - 3), np.uint8)
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            seen[keys >> np.uint64(64 - bits)] = True
-        keys, data = array_chunks(np.packbits(seen, bitorder="little"))
+            at = np.unique(keys >> np.uint64(64 - bits))
+            np.bitwise_or.at(seen, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        keys, data = array_chunks(seen)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], names=["chunk", "data"])
 
-    rows = df.select(column).where(F.col(column).isNotNull()).mapInArrow(flag, "chunk int, data binary")
-    return add_arrays(rows, 1 << (bits - 3), "uint8", combine="or")
+    return add_arrays(rows.mapInArrow(flag, "chunk int, data binary"), 1 << (bits - 3), "uint8", combine="or")
 
 
-def in_filter(flags: np.ndarray, keys: np.ndarray, bits: int = 24) -> np.ndarray:
+def in_filter(flags: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys the filter may hold. Its size tells how many leading bits it was made with."""
+    bits = len(flags).bit_length() + 2
     at = keys.view(np.uint64) >> np.uint64(64 - bits)
     return (flags[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0

@@ -73,7 +73,7 @@ def _suspect_texts(flags):
     return run
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 24) -> DataFrame:
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (hex), place.
 
     Texts are equal when identical after lower-casing A-Z only. Null text counts as empty, and empty

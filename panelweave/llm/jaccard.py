@@ -192,22 +192,24 @@ def _prefixes(order, heavy, n: int, percent: int, bits: int, owners: int):
     return run
 
 
-LOOK_AHEAD = 16  # entries of one shingle that are compared one by one; of more, all stay
-
-
 def _viable(group: np.ndarray, sizes: np.ndarray, rests: np.ndarray, percent: int) -> np.ndarray:
     """Entries that can be the first shared shingle of a linked pair. No earlier shingle is shared then, so
     the overlap is at most the smaller rest from that place on; a link needs percent / (100 + percent) of
-    both sizes together. Entries are sorted by group."""
-    count = np.bincount(group)[group]
-    out = count > LOOK_AHEAD
-    for ahead in range(1, LOOK_AHEAD):
-        a = np.flatnonzero((group[ahead:] == group[:-ahead]) & (count[ahead:] <= LOOK_AHEAD))
-        if not len(a):
-            break
-        b = a + ahead
-        fits = (100 + percent) * np.minimum(rests[a], rests[b]) >= percent * (sizes[a] + sizes[b])
-        out[a[fits]] = out[b[fits]] = True
+    both sizes together. Entries are sorted by group.
+
+    Of a group, sorted by falling rest, an entry asks for the smallest set before it and for the best bound behind
+    it; both are running extremes, so a group of any size costs a sort.
+    """
+    order = np.lexsort((-rests, group))
+    group, size, bound = group[order], sizes[order] * percent, (100 + percent) * rests[order] - percent * sizes[order]
+    lift = (group.max(initial=0) - group).astype(np.int64) << 40  # keeps groups apart in the running extremes
+    same = group[1:] == group[:-1]
+    before, behind = np.minimum.accumulate(size + lift) - lift, np.maximum.accumulate((bound + lift)[::-1])[::-1] - lift
+    viable = np.zeros(len(group), bool)
+    viable[1:] |= same & (before[:-1] <= bound[1:])
+    viable[:-1] |= same & (behind[1:] >= size[:-1])
+    out = np.empty(len(group), bool)
+    out[order] = viable
     return out
 
 
@@ -316,6 +318,7 @@ def join_region(region: Region, percent: int) -> list[tuple[int, int]]:
     links: list[tuple[int, int]] = []
     count = len(region.sets)
     label = np.arange(count)
+    classes = [[i] for i in range(count)]
     reach = 1 - percent / 100 + 1e-9
     seen: list[np.ndarray] = []  # distances to the first few pivots
 
@@ -323,7 +326,10 @@ def join_region(region: Region, percent: int) -> list[tuple[int, int]]:
         for b in others.tolist():
             if label[a] != label[b]:
                 links.append((a, b))
-                label[label == label[b]] = label[a]
+                less, more = sorted((label[a], label[b]), key=lambda c: len(classes[c]))  # the smaller class gets the name of the larger
+                label[classes[less]] = more
+                classes[more] += classes[less]
+                classes[less] = []
 
     done = np.zeros(count, bool)
     order = [0]
@@ -436,7 +442,7 @@ def _block(key: str, blocks: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT,
-                    sketch_bits: int = SKETCH_BITS, block_shingles: int = BLOCK_SHINGLES, heavy: int = HEAVY, filter_bits: int = 24) -> DataFrame:
+                    sketch_bits: int = SKETCH_BITS, block_shingles: int = BLOCK_SHINGLES, heavy: int = HEAVY, filter_bits: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, stays, tag.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; a document's set holds its

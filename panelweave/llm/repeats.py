@@ -153,7 +153,7 @@ def _spans(owners: int, length: int):
     return run
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, filter_bits: int = 24) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, filter_bits: int | None = None) -> DataFrame:
     """One row per document with repeated passages: doc_id, n_words, repeated, dropped.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. ``repeated`` lists the maximal

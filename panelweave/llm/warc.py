@@ -69,38 +69,40 @@ def record(kind: str, page_id, url: str | None, payload: bytes | None, size: int
 
 def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
     """(header fields, block, whole record) of each record of an uncompressed stream."""
-    buffer = b""
+    buffer, at = b"", 0  # what is before ``at`` has been given out
     pieces = iter(pieces)
 
     def until(size: int) -> bool:
-        nonlocal buffer
-        more = [buffer]
-        have = len(buffer)
+        """Read on until ``size`` bytes lie behind ``at``; the only place where the rest of a piece is copied."""
+        nonlocal buffer, at
+        have = len(buffer) - at
+        if have >= size:
+            return True
+        more = [buffer[at:]]
         while have < size:
             piece = next(pieces, None)
             if piece is None:
                 break
             more.append(piece)
             have += len(piece)
-        buffer = b"".join(more)
+        buffer, at = b"".join(more), 0
         return have >= size
 
     while True:
-        while (end := buffer.find(b"\r\n\r\n")) < 0:
-            if not until(len(buffer) + 1):
-                if buffer.strip():
+        while (end := buffer.find(b"\r\n\r\n", at)) < 0:
+            if not until(len(buffer) - at + 1):
+                if buffer[at:].strip():
                     raise ValueError("archive ends inside a record header")
                 return
-        lines = buffer[:end].decode().split("\r\n")
+        lines = buffer[at:end].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("not a WARC record")
         fields = dict(line.split(": ", 1) for line in lines[1:])
-        length = int(fields["Content-Length"])
-        total = end + 4 + length + 4
-        if not until(total):
+        head, length = end + 4 - at, int(fields["Content-Length"])
+        if not until(head + length + 4):
             raise ValueError("archive ends inside a record block")
-        yield fields, buffer[end + 4:end + 4 + length], buffer[:total]
-        buffer = buffer[total:]
+        yield fields, buffer[at + head:at + head + length], buffer[at:at + head + length + 4]
+        at += head + length + 4
 
 
 def inflate(stream, size: int = PIECE) -> Iterator[bytes]:
@@ -129,7 +131,7 @@ def _attempt() -> str:
     return f"{task.partitionId():06d}-{task.taskAttemptId()}"
 
 
-def with_digests(pages: DataFrame, filter_bits: int = 24) -> DataFrame:
+def with_digests(pages: DataFrame, filter_bits: int | None = None) -> DataFrame:
     """page_id, url, html, digest, size and refers_to. Only rows whose digest may repeat are shuffled:
     repeated digests are found on (digest, id) rows, and a fixed-size filter of them picks the suspects."""
     digest = F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256)
