@@ -188,7 +188,7 @@ def array_chunks(values: np.ndarray, chunk: int = CHUNK) -> tuple[list[int], lis
     return keys, data
 
 
-FLAGS_PER_KEY, LEAST_BITS, MOST_BITS = 256, 24, 28  # 2 to 32 MB
+FLAGS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 24, 28  # 2 to 32 MB
 
 
 def presence_filter(df: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
