@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.operators.scale import attach_stats, exact_percentiles, null_safe_join, with_row
+from panelweave.operators.scale import attach_stats, null_safe_join, with_row
+from panelweave.operators.selection import percentiles
 
 
 def roll_up(df: DataFrame, detail: str, keys: Sequence[str], val: str, label: str) -> DataFrame:
@@ -137,13 +138,11 @@ def attach_scalar(df: DataFrame, scalars: DataFrame) -> DataFrame:
     return with_row(df, checked)
 
 
-def trim_edges(edges: DataFrame, weight: str = "weight", lo: float = 0.05, hi: float = 0.95,
-               tiebreak: Sequence[str] = ("src", "dst")) -> DataFrame:
+def trim_edges(edges: DataFrame, weight: str = "weight", lo: float = 0.05, hi: float = 0.95) -> DataFrame:
     """Zero the weights outside the two exact percentiles of the non-zero weights."""
-    cuts = exact_percentiles(edges.where(F.col(weight) != 0), weight, [lo, hi], tiebreak)
-    inside = (F.col(weight) <= F.col("p1")) & (F.col(weight) >= F.col("p0"))
-    return with_row(edges, cuts).withColumn(
-        "trimmed", F.when(inside, F.col(weight)).otherwise(F.lit(0.0))).drop("p0", "p1")
+    least, most = (F.lit(cut).cast("double") for cut in percentiles(edges.where(F.col(weight) != 0), weight, [lo, hi]))
+    inside = (F.col(weight) <= most) & (F.col(weight) >= least)
+    return edges.withColumn("trimmed", F.when(inside, F.col(weight)).otherwise(F.lit(0.0)))
 
 
 def edge_rows(edges: DataFrame, weight: str = "weight") -> DataFrame:

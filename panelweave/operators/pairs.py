@@ -19,6 +19,7 @@ from panelweave.operators.scale import (
     running_sums,
     with_row,
 )
+from panelweave.operators.selection import smallest_by_hash
 from panelweave.session import durable
 
 EXAMPLE_QUESTION, EXAMPLE_ANSWER = "Example Question ", "Example Answer "  # fixed values
@@ -65,10 +66,9 @@ def split_stratified(df: DataFrame, strata: Sequence[str], train_share: float, i
 
 
 def sample_n(df: DataFrame, n: int, ids: Sequence[str], seed: int = 42) -> DataFrame:
-    """n rows without replacement, all rows when there are no more. Only ``ids``, which make rows
-    unique, are ranked; the rows are fetched by a semi-join."""
-    chosen = hash_rank(df.select(*ids), [], seed, ids, "__r").where(F.col("__r") < n)
-    return null_safe_join(df, chosen.select(*ids), ids, "left_semi")
+    """n rows without replacement, all rows when there are no more: those whose ``ids``, which make rows
+    unique, have the smallest hashes. A filter, without a sort or a join."""
+    return smallest_by_hash(df, n, ids, seed)
 
 
 def sample_balanced(df: DataFrame, label: str, n: int, ids: Sequence[str], seed: int = 42) -> DataFrame:
