@@ -40,10 +40,10 @@ def posterior_mean(years: np.ndarray, known: np.ndarray, values: np.ndarray) ->
     """Smoothed values at all years given the known positions, with the fixed kernel; rows of ``values`` are series,
     which are centred."""
     x = years[known]
-    centre = values.mean(axis=1, keepdims=True)
     weights = np.linalg.solve(fixed_kernel(x, x) + NOISE * np.eye(len(x)), fixed_kernel(x, years))
+    weights += (1.0 - weights.sum(axis=0)) / len(x)  # the mean takes what the weights leave
     # summed year by year: a product of matrices rounds differently from batch to batch
-    return sum((values - centre)[:, i, None] * weights[i] for i in range(len(x))) + centre
+    return sum(values[:, i, None] * weights[i] for i in range(len(x)))
 
 
 def prefix_means(years: np.ndarray, grid: np.ndarray, lengths: np.ndarray) -> np.ndarray:
