@@ -100,5 +100,7 @@ def detect_language(text: Column, profiles: Profiles, margin: float = 3.0) -> Co
 
 
 def language_filter(df: DataFrame, text: str, languages: Sequence[str], profiles: Profiles, margin: float = 3.0) -> DataFrame:
-    """Keep texts whose detected language is allowed; undetectable ones drop."""
-    return df.withColumn("language", detect_language(F.col(text), profiles, margin)).where(F.col("language").isin(*languages))
+    """Keep texts whose detected language is allowed; undetectable ones drop. The choice is made inside a generator: a
+    filter on the column would be pushed below it and detect every language again."""
+    found = F.array(detect_language(F.col(text), profiles, margin))
+    return df.withColumn("language", F.explode(F.filter(found, lambda one: one.isin(*languages))))
