@@ -48,7 +48,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-ORACLE_SQL = None  # training, near copies and the packing programme are not SQL; tests compare with brute force
+ORACLE_SQL = None  # training, near copies and the packing programme are not SQL; tests/llm/test_chain.py compares all rows with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
