@@ -35,18 +35,12 @@ def deflate(df: DataFrame, prices: DataFrame, people: DataFrame, t: str, val: st
 
 
 def line_fit(panel: DataFrame, keys: Sequence[str], x: Column, y: str, where: Column | None = None) -> DataFrame:
-    """Least-squares slope and intercept per series in closed form; null with fewer than two points."""
+    """Least-squares slope and intercept per series from centred moments, so that large, nearly constant values keep
+    their digits; null with fewer than two different points."""
     keep = F.col(y).isNotNull() if where is None else (where & F.col(y).isNotNull())
     xx = F.when(keep, x.cast("double"))
-    yy = F.when(keep, F.col(y))
-    sums = panel.groupBy(*keys).agg(
-        F.count(yy).alias("__n"), F.sum(xx).alias("__x"), F.sum(yy).alias("__y"),
-        F.sum(xx * xx).alias("__xx"), F.sum(xx * yy).alias("__xy"))
-    spread = F.col("__n") * F.col("__xx") - F.col("__x") * F.col("__x")
-    slope = F.when(spread > 0, (F.col("__n") * F.col("__xy") - F.col("__x") * F.col("__y")) / spread)
-    return sums.select(*keys, slope.alias("slope"),
-                       ((F.col("__y") - slope * F.col("__x")) / F.col("__n")).alias("intercept"),
-                       (F.col("__y") / F.col("__n")).alias("mean"))
+    yy = F.when(keep, F.col(y).cast("double"))
+    return panel.groupBy(*keys).agg(F.regr_slope(yy, xx).alias("slope"), F.regr_intercept(yy, xx).alias("intercept"), F.avg(yy).alias("mean"))
 
 
 def detrend(panel: DataFrame, key: str, t: str, val: str, train_end: int) -> DataFrame:

@@ -9,20 +9,28 @@ from pyspark.sql import functions as F
 
 from panelweave.operators.scale import attach_stats, null_safe_join
 
+MOST_KEYS = 10_000  # columns that a pivot may find in the data
+
+
 def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], var: str, val: str) -> DataFrame:
     return df.unpivot(list(ids), list(values), var, val)
 
 
 def _key_values(df: DataFrame, key: str, values: Sequence | None) -> list:
-    """The given keys, else all keys of the data (they become columns, so they are few)."""
+    """The given keys, else all keys of the data but null. Each becomes a column; too many raise."""
     if values is not None:
         return list(values)
-    return sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).distinct().collect())
+    found = df.select(key).where(F.col(key).isNotNull()).distinct().limit(MOST_KEYS + 1).collect()
+    if len(found) > MOST_KEYS:
+        raise ValueError(f"{key} has more than {MOST_KEYS} values; list those that shall become columns")
+    return sorted(r[0] for r in found)
 
 
-def _guard_stray(columns: list[Column], kinds: list, names: list[str], key: str, values: list) -> list[Column]:
-    """Columns of a pivot, the first of which raises when a row's key is not among the values."""
-    known = F.coalesce(F.col(key).isin(*values), F.lit(False)) if values else F.lit(False)
+def _guard_stray(columns: list[Column], kinds: list, names: list[str], key: str, values: list,
+                 listed: bool) -> list[Column]:
+    """Columns of a pivot, the first of which raises when a row's key is not among the values. A null key counts
+    as such if the caller listed the values."""
+    known = F.coalesce(F.col(key).isin(*values), F.lit(not listed))
     stray = F.count(F.when(~known, F.lit(1))) > 0
     message = F.lit(f"a {key} that is not among the listed ones")
     first = F.when(stray, F.raise_error(message).cast(kinds[0])).otherwise(columns[0])
@@ -31,9 +39,10 @@ def _guard_stray(columns: list[Column], kinds: list, names: list[str], key: str,
 
 def to_wide(df: DataFrame, ids: Sequence[str], key: str, val: str, values: Sequence | None = None,
             strict: bool = True) -> DataFrame:
-    """Long to wide in one aggregation. Without ``values`` every key of the data gets a column. With
-    ``strict`` a repeated (ids, key) and a key outside ``values`` raise."""
-    values = _key_values(df, key, values)
+    """Long to wide in one aggregation. Without ``values`` every key of the data but null gets a column (at most
+    ``MOST_KEYS``, else it raises); a row with a null key then adds nothing but its ids. With ``strict`` a
+    repeated (ids, key) and a key outside given ``values``, null included, raise."""
+    listed, values = values is not None, _key_values(df, key, values)
     if not values:
         return df.select(*ids).distinct()
     columns = []
@@ -47,19 +56,19 @@ def to_wide(df: DataFrame, ids: Sequence[str], key: str, val: str, values: Seque
         columns.append(cell)
     names = [str(v) for v in values]
     if strict:
-        return df.groupBy(*ids).agg(*_guard_stray(columns, [kind], names, key, values))
+        return df.groupBy(*ids).agg(*_guard_stray(columns, [kind], names, key, values, listed))
     return df.groupBy(*ids).agg(*[c.alias(n) for c, n in zip(columns, names)])
 
 
 def to_wide_mean(df: DataFrame, ids: Sequence[str], key: str, val: str, values: Sequence | None = None,
                  strict: bool = True) -> DataFrame:
     """Long to wide, duplicates averaged, rows with a null id dropped. Keys as in :func:`to_wide`."""
-    values = _key_values(df, key, values)
+    listed, values = values is not None, _key_values(df, key, values)
     if not values:
         return df.na.drop(subset=list(ids)).select(*ids).distinct()
     columns = [F.avg(F.when(F.col(key) == F.lit(v), F.col(val))) for v in values]
     names = [str(v) for v in values]
-    named = (_guard_stray(columns, ["double"], names, key, values) if strict
+    named = (_guard_stray(columns, ["double"], names, key, values, listed) if strict
              else [c.alias(n) for c, n in zip(columns, names)])
     return df.na.drop(subset=list(ids)).groupBy(*ids).agg(*named)
 

@@ -35,6 +35,33 @@ def test_pivot_mean_averages_and_drops_null_ids(spark):
     assert table(rc.to_wide_mean(df, ["k"], "y", "v", [1]), "k", "1") == [("a", 2.0)]
 
 
+def test_pivots_of_null_keys(spark):
+    """Keys taken from the data leave null out; a listed set does not hold it."""
+    df = spark.createDataFrame([(1, "a", 2.0), (1, None, 5.0), (2, None, 7.0), (3, "b", 4.0)], "id int, key string, v double")
+    for pivot in (rc.to_wide, rc.to_wide_mean):
+        got = {r.id: (r.a, r.b) for r in pivot(df, ["id"], "key", "v").collect()}
+        assert got == {1: (2.0, None), 2: (None, None), 3: (None, 4.0)}
+        with pytest.raises(Exception, match="not among the listed"):
+            pivot(df, ["id"], "key", "v", ["a", "b"]).collect()
+
+
+def test_pivots_refuse_keys_without_bound(spark, monkeypatch):
+    monkeypatch.setattr(rc, "MOST_KEYS", 3)
+    df = spark.range(4).selectExpr("1 AS id", "concat('k', id) AS key", "id AS v")
+    with pytest.raises(ValueError, match="more than 3"):
+        rc.to_wide(df, ["id"], "key", "v")
+    assert len(rc.to_wide(df.where("v < 3"), ["id"], "key", "v").columns) == 4
+
+
+def test_lines_through_large_values(spark):
+    """A slope of 0.001 on values near 1e9, and no line through one point or one period."""
+    df = spark.createDataFrame([("a", t, 1e9 + 0.001 * t) for t in range(2000, 2030)] + [("b", 2000, 5.0), ("c", 2000, 1.0), ("c", 2000, 3.0), ("d", 2000, None)],
+                               "series string, t int, v double").repartition(5)
+    fit = {r.series: r for r in pn.line_fit(df, ["series"], F.col("t"), "v").collect()}
+    assert fit["a"].slope == pytest.approx(0.001, rel=1e-4)
+    assert [(fit[s].slope, fit[s].mean) for s in "bcd"] == [(None, 5.0), (None, 2.0), (None, None)]
+
+
 def test_spread_numbered_raises_beyond_n(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y"), ("b", "z")], "k string, v string")
     assert sorted((r.k, r.c1, r.c2 or "") for r in rc.spread_numbered(df, "k", "v", "c", 2).collect()) == [
