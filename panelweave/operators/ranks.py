@@ -83,8 +83,9 @@ def dedup_series(df: DataFrame, age_order: Sequence[str], vintage_rank: Column,
                  national: str = "national", comparator: Column | None = None,
                  strict: bool = False) -> DataFrame:
     """The exclusion cascade: narrower age bands, repeated rows outside the longest sub-series,
-    repeated comparators, repeated rows of older vintages. With ``strict`` a repetition left on
-    (series, group, period) raises.
+    repeated comparators, repeated rows of older vintages. The rules may leave a repetition on (series,
+    group, period), such as a row that is its age's only one beside a national row of another age; with
+    ``strict`` that raises, for data in which it must not occur.
 
     Each rule reads what the one before left, so the two intermediate results are written to the
     checkpoint folder; without that every rule would recompute all earlier ones.

@@ -3,8 +3,10 @@ import subprocess
 import sys
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
+from compare import rows
 from pyspark.sql import functions as F
 
 from panelweave.functions.numbers import clamp_rate, mean_of_present
@@ -12,6 +14,7 @@ from panelweave.operators import aggregates as ag
 from panelweave.operators import panel as pn
 from panelweave.operators import ranks as rk
 from panelweave.operators import recode as rc
+from panelweave.plans import catalog
 
 
 def table(df, *columns):
@@ -124,6 +127,17 @@ def test_cascade_leaves_unique_keys(spark):
     assert table(out, "period", "subgroup", "value") == [(y, "new", 2.0) for y in (2013, 2014, 2015)]
 
 
+def test_cascade_query_keeps_a_repetition_that_its_rules_leave(spark, tmp_path):
+    """A row that is its age's only one is both longest and latest, so no rule drops it beside a national row."""
+    spark.sql("""SELECT * FROM VALUES (7L, 'N', 'F', 1, 100.0D, TIMESTAMP '1998-03-01 00:00:00'), (7L, 'A', 'F', 5, 50.0D, TIMESTAMP '1998-06-01 00:00:00'),
+        (7L, 'N', 'F', 1, 10.0D, TIMESTAMP '1999-03-01 00:00:00') AS t(l_suppkey, l_returnflag, l_linestatus, l_linenumber, l_extendedprice, l_shipdate)""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    ours = catalog.QUERIES["exclusion_cascade"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert len(ours) == 3
+    assert rows(ours) == rows(con.sql(catalog.ORACLE["exclusion_cascade"]).df())
+
+
 def test_gaps_and_adjacent_changes(spark):
     df = long(spark, {"a": [(2013, 1), (2014, 3), (2017, 2), (2018, 1)]})
     assert {r.year: (r.step, r.max_gap) for r in rk.gaps(df, ["series"], "year").collect()} == {
