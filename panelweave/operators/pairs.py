@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -95,11 +95,21 @@ def with_templates(pairs: DataFrame, templates: Sequence[str]) -> DataFrame:
 def prompts(pairs: DataFrame, templates: Sequence[str], columns: Sequence[str], effect: str = "") -> DataFrame:
     """Fill every template with the pair's names. Dots at both ends of a name go, an
     "arbitrary" effect leaves its word blank, double spaces collapse. ``template`` keeps the wording."""
-    word = "" if effect == "arbitrary" else effect
-    rows = with_templates(pairs, templates)
-    shaped = single_spaced(fill(F.col("template"), effect=F.lit(word)))
-    names = {c: F.btrim(F.col(c), F.lit(".")) for c in columns}
-    return rows.withColumn("prompt", fill(shaped, **names)).withColumn("template", shaped)
+    shaped = _shaped(F.col("template"), effect)
+    return with_templates(pairs, templates).withColumn("prompt", _named(shaped, {c: F.col(c) for c in columns})).withColumn("template", shaped)
+
+
+def _shaped(template: Column, effect: str) -> Column:
+    return single_spaced(fill(template, effect=F.lit("" if effect == "arbitrary" else effect)))
+
+
+def _named(shaped: Column, names: Mapping[str, Column]) -> Column:
+    return fill(shaped, **{c: F.btrim(name, F.lit(".")) for c, name in names.items()})
+
+
+def prompt_array(names: Mapping[str, Column], templates: Sequence[str], effect: str = "") -> Column:
+    """The prompts of :func:`prompts` as one array per row, a member's prompt at its own place (from 0)."""
+    return F.array(*[_named(_shaped(F.lit(t), effect), names) for t in templates])
 
 
 def _draw(rows: DataFrame, keys: Sequence[str], examples: DataFrame, k: int, seed: int,

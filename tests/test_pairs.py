@@ -10,6 +10,7 @@ from panelweave.functions import uncertainty as un
 from panelweave.operators import answers as ans
 from panelweave.operators import evaluation as ev
 from panelweave.operators import pairs as pr
+from panelweave.plans import flows
 
 
 @pytest.fixture(scope="module")
@@ -201,3 +202,17 @@ def test_label_name_age(spark):
     df = spark.createDataFrame(cases, "name string, age string, grp string, want string")
     for r in df.select(nm.label_name_age(F.col("name"), F.col("age"), F.col("grp")).alias("got"), "want").collect():
         assert r.got == r.want
+
+
+def test_prediction_table_ships_no_prompts_and_keeps_repeated_pairs(spark):
+    pairs = spark.createDataFrame([(1, ".roads.", "life"), (1, "schools", "life"), (2, "parks", "air"), (3, "none", "asked")], "id int, item string, goal string")
+    answers = spark.createDataFrame([(1, 1, "Yes"), (1, 0, "no way"), (2, 0, "yes"), (2, 0, "maybe"), (2, 7, "yes"), (2, None, "yes"), (9, 0, "yes"), (None, 0, "no")],
+                                    "id int, member int, answer string")
+    out = flows.prediction_table(pairs, ["id"], ["item", "goal"], ["Does {item} {effect} move {goal}?", "Is {goal} {item}?"], answers)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    assert not [line for line in plan.splitlines() if "prompt" in line and any(node in line for node in ("Exchange", "Sort ", "Aggregate"))]
+    got = sorted((r.id, r.item, r.Yes, r.No, r.NA, r.prompts, r.predictions) for r in out.collect())
+    first = ["Does roads directly move life?", "Does schools directly move life?", "Is life roads?", "Is life schools?"]
+    both = (0.5, 0.5, 0.0, first, ["No", "No", "Yes", "Yes"])
+    assert got == [(1, ".roads.", *both), (1, "schools", *both), (2, "parks", 0.5, 0.0, 0.5, ["Does parks directly move air?"] * 2, ["NA", "Yes"])]
