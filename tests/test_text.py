@@ -178,3 +178,18 @@ def test_document_split_is_stable(spark):
     again = {r.id: r.split for r in cp.split_docs(docs.repartition(7), "id", 0.8, 1).collect()}
     assert first == again
     assert 0.75 < sum(s == "train" for s in first.values()) / 2000 < 0.85
+
+
+def test_language_filter_scores_batches_as_the_column_does(spark, small):
+    """Whole batches in numpy, no run of characters as a row value, and the same choice also for odd texts."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang", "text")
+    learned = lg.learn_profiles(docs, "text", "lang")
+    odd = [None, "", "1 2", "a", "\U0001d4d0\U0001d4d1 \U0001f600", "\u0130\u03a3 ZUM \u00dfa", "the the the", "x" * 100]
+    rows = docs.select("text").unionByName(spark.createDataFrame([(t,) for t in odd], "text string"))
+    for margin in (3.0, 0.0, 200.0):
+        ours = lg.language_filter(rows, "text", ["en", "fr"], learned, margin)
+        plan = ours._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "sequence(" not in plan and "Exchange" not in plan
+        same = rows.select("text", lg.detect_language(F.col("text"), learned, margin).alias("language")).where(F.col("language").isin("en", "fr"))
+        order = ["text", "language"]
+        assert ours.orderBy(*order).collect() == same.orderBy(*order).collect()
