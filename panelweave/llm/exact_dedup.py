@@ -89,8 +89,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     rows = durable(source.select("doc_id", F.col("text").cast("string").alias("text"))
                    .mapInArrow(_digest, f"doc_id {id_type}, sha binary")
                    .withColumn("part", F.spark_partition_id().cast("long")).withColumn("place", F.monotonically_increasing_id()))
-    answers = (rows.select("sha", "part").mapInArrow(_send(owners), exchange.MESSAGE)
-               .repartition(owners, "owner").mapInArrow(exchange.answer, exchange.ANSWER))
+    answers = (exchange.to_owners(rows.select("sha", "part").mapInArrow(_send(owners), exchange.MESSAGE), owners)
+               .mapInArrow(exchange.answer, exchange.ANSWER))
     marked = durable(rows.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
         _mark(owners), f"doc_id {id_type}, sha binary, place long, suspect boolean, fp long"))
     suspects = marked.where("suspect")

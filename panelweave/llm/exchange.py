@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 MESSAGE = "owner int, part long, codes binary, twice binary"
 ANSWER = "owner int, part long, repeated binary, first binary"
@@ -32,6 +33,11 @@ def rice_encode(values: np.ndarray) -> bytes:
     return head + np.packbits(unary).tobytes() + np.packbits(bits.ravel()).tobytes()
 
 
+def rice_count(code: bytes) -> int:
+    """How many numbers a code holds."""
+    return int(np.frombuffer(code, np.uint64, 1)[0]) if code else 0
+
+
 def rice_decode(code: bytes) -> np.ndarray:
     if not code:
         return np.empty(0, np.uint64)
@@ -73,38 +79,48 @@ def messages(part: int, keys: np.ndarray, owners: int) -> pa.RecordBatch:
     ], names=["owner", "part", "codes", "twice"])
 
 
+def to_owners(sent: DataFrame, owners: int) -> DataFrame:
+    """Messages, each owner's in a partition of its own: a hash of so few numbers would put several owners in one."""
+    return sent.repartitionById(owners, "owner")
+
+
 def _received(batches: Iterator[pa.RecordBatch]):
-    """Messages in the order of their parts, their keys, and all keys that occur more than once, sorted."""
+    """Messages in the order of their parts, where each one's keys end among all keys laid end to end, the order that
+    sorts these, the sorted keys, and for each of them: does it occur more than once, and is it the first of its equals.
+
+    All arrays are as long as the keys: what is held does not grow with the number of messages times that of keys.
+    """
     rows = sorted(row for batch in batches for row in zip(*[batch.column(n).to_pylist() for n in ("part", "owner", "codes", "twice")]))
-    sent = [rice_decode(codes) for _, _, codes, _ in rows]
-    if not rows:
-        return rows, sent, np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    source = np.repeat(np.arange(len(sent)), [len(own) for own in sent])
-    keys = np.concatenate(sent)
+    ends = np.cumsum([0, *[rice_count(codes) for _, _, codes, _ in rows]])
+    keys, again = np.empty(ends[-1], np.uint64), np.empty(ends[-1], bool)
+    for a, b, (_, _, codes, flags) in zip(ends, ends[1:], rows):
+        keys[a:b], again[a:b] = rice_decode(codes), flags_of(flags, b - a)
     order = np.argsort(keys, kind="stable")
-    keys, source = keys[order], source[order]
+    keys, again = keys[order], again[order]
     same = keys[1:] == keys[:-1]  # neighbours in the sorted order
-    again = np.concatenate([keys[1:][same], *[own[flags_of(flags, len(own))] for own, (_, _, _, flags) in zip(sent, rows)]])
-    begins = np.concatenate([[True], ~same])
-    return rows, sent, np.unique(again), keys[begins], source[begins]
+    again[1:] |= same
+    again[:-1] |= same
+    first = np.ones(len(keys), bool)
+    first[1:] = ~same
+    return rows, ends, order, keys, again, first
 
 
 def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per message: which of its keys are repeated, and for which of them it is the first part of all."""
-    rows, sent, again, firsts, first_source = _received(batches)
+    rows, ends, order, _, again, begins = _received(batches)
     if not rows:
         return
-    repeated = [np.isin(own, again, assume_unique=True) for own in sent]
-    first = [first_source[np.searchsorted(firsts, own)] == i for i, own in enumerate(sent)]
+    repeated, first = np.empty_like(again), np.empty_like(begins)
+    repeated[order], first[order] = again, begins
     yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int32()), pa.array([r[0] for r in rows], pa.int64()),
-                                      pa.array(list(map(bitmap, repeated)), pa.binary()), pa.array(list(map(bitmap, first)), pa.binary())],
+                                      *[pa.array([bitmap(flags[a:b]) for a, b in zip(ends, ends[1:])], pa.binary()) for flags in (repeated, first)]],
                                      names=["owner", "part", "repeated", "first"])
 
 
 def repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The keys that are repeated, as long."""
-    again = _received(batches)[2]
-    yield pa.RecordBatch.from_arrays([pa.array(again.view(np.int64))], names=["key"])
+    _, _, _, keys, again, first = _received(batches)
+    yield pa.RecordBatch.from_arrays([pa.array(keys[again & first].view(np.int64))], names=["key"])
 
 
 def marks(keys: np.ndarray, answers: pa.Table, owners: int) -> tuple[np.ndarray, np.ndarray]:

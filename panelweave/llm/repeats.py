@@ -167,13 +167,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     source = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.col("text").cast("string").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
     owners = shuffle_partitions(docs)
-    shared = durable(source.mapInArrow(_suffixes(owners, length, gram), exchange.MESSAGE)
-                     .repartition(owners, "owner").mapInArrow(exchange.repeated_keys, "key long"))
+    shared = durable(exchange.to_owners(source.mapInArrow(_suffixes(owners, length, gram), exchange.MESSAGE), owners)
+                     .mapInArrow(exchange.repeated_keys, "key long"))
     flags = spark.sparkContext.broadcast(presence_filter(shared, "key", filter_bits))
     rows = durable(source.mapInArrow(_extensions(flags, length, gram),
                                      f"doc_id {id_type}, part long, row long, n_words long, starts binary, keys binary"))
-    answers = (rows.select("part", "keys").mapInArrow(_send(owners), exchange.MESSAGE)
-               .repartition(owners, "owner").mapInArrow(exchange.answer, exchange.ANSWER))
+    answers = (exchange.to_owners(rows.select("part", "keys").mapInArrow(_send(owners), exchange.MESSAGE), owners)
+               .mapInArrow(exchange.answer, exchange.ANSWER))
     span = "array<struct<begin:long,end:long>>"
     return rows.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
         _spans(owners, length), f"doc_id {id_type}, n_words long, repeated {span}, dropped {span}")

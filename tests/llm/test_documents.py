@@ -49,6 +49,53 @@ def test_rice_codes_round_trip(count):
     assert np.array_equal(exchange.rice_decode(exchange.rice_encode(near)), near)
 
 
+def sent_to_one_owner(parts, most, rng):
+    """Keys of each part and the messages of all, as the one owner gets them, not in order."""
+    keys = [rng.choice(most, most // 4).astype(np.uint64) << np.uint64(20) for _ in range(parts)]
+    batches = [exchange.messages(part, own, 1) for part, own in enumerate(keys)]
+    return keys, [batches[i] for i in rng.permutation(parts)]
+
+
+def test_owners_answers_by_counting():
+    keys, batches = sent_to_one_owner(20, 400, np.random.default_rng(3))
+    counts, seen = Counter(k for own in keys for k in own.tolist()), set()
+    assert 1 in counts.values()
+    [again] = exchange.repeated_keys(iter(batches))
+    assert again.column("key").to_pylist() == sorted(k for k, n in counts.items() if n > 1)
+    [answers] = exchange.answer(iter(batches))
+    answers = {part: (a, b) for part, a, b in zip(*[answers.column(n).to_pylist() for n in ("part", "repeated", "first")])}
+    for part, own in enumerate(keys):
+        own = np.unique(own).tolist()
+        repeated, first = (exchange.flags_of(bits, len(own)).tolist() for bits in answers[part])
+        assert repeated == [counts[k] > 1 for k in own]
+        assert first == [k not in seen for k in own]
+        seen |= set(own)
+    assert list(exchange.answer(iter([]))) == []
+    assert [batch.num_rows for batch in exchange.repeated_keys(iter([]))] == [0]
+
+
+def test_an_owner_holds_its_keys_not_all_of_them_for_each_message():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    half = [np.unique(rng.integers(0, 1 << 64, 600, dtype=np.uint64)) for _ in range(400)]
+    batches = [exchange.messages(part, own, 1) for part, own in enumerate(half + half)]  # each key in two parts
+    total = 2 * sum(map(len, half))
+    for run in (exchange.answer, exchange.repeated_keys):
+        tracemalloc.start()
+        list(run(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80 * total, run.__name__
+
+
+def test_each_owner_has_a_partition(spark):
+    owners = 40
+    sent = spark.range(owners * 3).selectExpr("CAST(id % 40 AS INT) AS owner", "id AS part")
+    held = exchange.to_owners(sent, owners).rdd.glom().map(lambda rows: {r.owner for r in rows}).collect()
+    assert held == [{i} for i in range(owners)]
+
+
 def test_exact_dedup(odd):
     out = exact_dedup.classify(odd).collect()
     groups = defaultdict(list)
